@@ -10,11 +10,18 @@ from workload.base import Registry, quote, table
 reg = Registry()
 
 # style of plan key: travel day lists, schedule day_slot cells, recipe day_meal cells
-_SLOT = F.when(F.col("l_linestatus") == "O", "dimineață").otherwise("după-amiază")
-_MEAL = (
-    F.when(F.col("l_returnflag") == "A", "mic_dejun").when(F.col("l_returnflag") == "N", "pranz").otherwise("cina")
-)
-_LEVEL = F.when(F.col("p_size") % 3 == 0, "high").when(F.col("p_size") % 3 == 1, "medium").otherwise("low")
+def _slot():
+    return F.when(F.col("l_linestatus") == "O", "dimineață").otherwise("după-amiază")
+
+
+def _meal():
+    flag = F.col("l_returnflag")
+    return F.when(flag == "A", "mic_dejun").when(flag == "N", "pranz").otherwise("cina")
+
+
+def _level():
+    rest = F.col("p_size") % 3
+    return F.when(rest == 0, "high").when(rest == 1, "medium").otherwise("low")
 
 
 def order_items(spark, sf, style: str = "travel"):
@@ -23,7 +30,7 @@ def order_items(spark, sf, style: str = "travel"):
     The empty rows come by union, not by an outer join: nothing has to meet on the order key but partial sums.
     """
     day = F.concat(F.lit("day"), F.col("l_linenumber").cast("string"))
-    tail = {"travel": None, "schedule": _SLOT, "recipe": _MEAL}[style]
+    tail = {"travel": None, "schedule": _slot(), "recipe": _meal()}[style]
     key = day if tail is None else F.concat(day, F.lit("_"), tail)
     lines = table(spark, sf, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus"
@@ -49,7 +56,7 @@ def order_items(spark, sf, style: str = "travel"):
         (size <= 40).alias("family_friendly"),
         (size.cast("decimal(9,1)") / 10).cast("decimal(9,1)").alias("duration_hours"),
         F.col("p_retailprice").cast("decimal(18,2)").alias("cost_lei"),
-        _LEVEL.alias("priority"),
+        _level().alias("priority"),
         F.col("p_brand").isin("Brand#1", "Brand#2", "Brand#3", "Brand#4", "Brand#5", "Brand#6", "Brand#7").alias("vegan"),
         (~F.col("p_brand").isin("Brand#8", "Brand#9")).alias("vegetarian"),
         F.col("p_brand").isin("Brand#10", "Brand#11").alias("contains_gluten"),
