@@ -617,24 +617,28 @@ def run_check(rows: DataFrame, keys: list[str], name: str, **params) -> DataFram
     return _evaluate(rows, keys, [(None, check)]).select(*keys, "satisfied")
 
 
-def run_checks(rows: DataFrame, keys: list[str], check_id: str = "check_id") -> DataFrame:
+def run_checks(rows: DataFrame, keys: list[str], names: list[str] | None = None) -> DataFrame:
     """``keys, check_id, check_fn, satisfied, error`` for rows that pair every item with every check of its plan.
 
-    ``rows`` carry ``check_id, check_fn, params`` (VARIANT).  An unknown name is unsatisfied, with an error text.
+    ``rows`` carry ``check_id, check_fn, params`` (VARIANT).  A name that is not registered is unsatisfied, with an
+    error text.  ``names`` limits the generated expression to the checks the specification can hold.
     """
     rows = with_item_columns(rows)
+    used = {n: REGISTRY[n] for n in REGISTRY if names is None or n in names}
     i, p = item_view(), VariantParams("params")
-    checks = [(name, build(i, p)) for name, build in REGISTRY.items()]
-    group = [*keys, check_id, "check_fn"]
-    # verdicts read the parameters, so they ride along as text (a VARIANT cannot be grouped)
-    carried = rows.withColumn("_params", F.to_json("params"))
-    named = _evaluate(carried.where(F.col("check_fn") != CONSECUTIVE), group, checks)
-    known = F.col("check_fn").isin(*REGISTRY)
+    checks = [(name, build(i, p)) for name, build in used.items()]
+    group = [*keys, "check_id", "check_fn"]
+    # the verdict reads the parameters again, so they are grouped on as text (a VARIANT cannot be)
+    texts = rows.withColumn("_params", F.to_json("params"))
+    named = _evaluate(texts.where(F.col("check_fn") != CONSECUTIVE), [*group, "_params"], checks)
+    known = F.col("check_fn").isin(*used)
     out = named.select(
         *group,
         F.when(known, F.col("satisfied")).otherwise(False).alias("satisfied"),
         F.when(~known, F.concat(F.lit("Unknown constraint function: "), F.col("check_fn"))).alias("error"),
     )
+    if names is not None and CONSECUTIVE not in names:
+        return out
     runs = consecutive_same_type(rows.where(F.col("check_fn") == CONSECUTIVE), group)
     return out.unionByName(runs.withColumn("error", F.lit(None).cast("string")))
 
@@ -660,7 +664,6 @@ def _evaluate(rows: DataFrame, group: list[str], checks: list[tuple[str | None,
     value = lambda n: _pick(checks, lambda c: c.values[n] if n < len(c.values) else None, F.lit(0))
     prepared = rows.select(
         *group,
-        *([F.col("_params")] if many else []),
         _pick(checks, lambda c: c.unit if c.unit is not None else whole_plan, whole_plan).alias("_unit"),
         *[value(n).alias(f"_v{n}") for n in range(width)],
         _pick(checks, lambda c: c.token, F.lit(None).cast("string")).alias("_token"),
@@ -671,7 +674,6 @@ def _evaluate(rows: DataFrame, group: list[str], checks: list[tuple[str | None,
         *[F.sum(f"_v{n}").alias(f"_v{n}") for n in range(width)],
         (F.count_distinct("_token") if has_token else F.lit(0)).alias("_tokens"),
         F.max("_error").alias("_error"),
-        *([F.any_value("_params").alias("_params")] if many else []),
     )
     if many:
         per_unit = per_unit.withColumn("params", F.parse_json("_params"))
@@ -687,7 +689,6 @@ def _evaluate(rows: DataFrame, group: list[str], checks: list[tuple[str | None,
         F.sum("_bad").alias("_bad"),
         F.sum("_good").alias("_good"),
         F.max("_error").alias("_error"),
-        *([F.any_value("_params").alias("_params")] if many else []),
     )
     if many:
         per_plan = per_plan.withColumn("params", F.parse_json("_params"))
