@@ -107,6 +107,39 @@ class VariantParams:
         return F.coalesce(self._get(name, "array<string>"), mapped, fallback)
 
 
+class TypedParams(VariantParams):
+    """Item-level access: known parameters were unpacked into the ``param`` struct once per check specification."""
+
+    KNOWN = {
+        "double": "exact_count max_budget max_cost max_outdoor min_per_day max_per_day max_hours max_budget_per_day "
+        "min_total max_activities num_days max_total min_types min_days_with_appointments max_calories min_calories "
+        "max_prep_time calorie_threshold max_high_calorie",
+        "string": "type_required type_forbidden entity_name priority type_keyword expected",
+        "boolean": "indoor_only outdoor_only must_have_outdoor",
+        "array<string>": "forbidden_days allowed_slots meals valid_ids",
+        "map<string,string>": "fact_db",
+    }
+    TYPES = {name: kind for kind, names in KNOWN.items() for name in names.split()}
+
+    def __init__(self) -> None:
+        super().__init__("_variant")
+
+    def _get(self, name: str, kind: str) -> Column:
+        if kind == "map<string,string>" and self.TYPES.get(name) != kind:
+            return F.lit(None).cast(kind)
+        if kind == "array<string>" and self.TYPES.get(name, kind) != kind:
+            return F.lit(None).cast(kind)
+        if self.TYPES.get(name) == kind:
+            return F.col(f"param.{name}")
+        return F.try_variant_get(F.try_parse_json("params_json"), f"$.{name}", kind)
+
+
+def unpacked(params: Column) -> list[Column]:
+    """``params_json`` and ``param`` for a check specification; compute them once per specification."""
+    typed = [F.try_variant_get(params, f"$.{n}", t).alias(n) for n, t in TypedParams.TYPES.items()]
+    return [F.to_json(params).alias("params_json"), F.struct(*typed).alias("param")]
+
+
 # --- check description -------------------------------------------------------------------------------------
 @dataclass(frozen=True)
 class Check:
@@ -620,17 +653,18 @@ def run_check(rows: DataFrame, keys: list[str], name: str, **params) -> DataFram
 def run_checks(rows: DataFrame, keys: list[str], names: list[str] | None = None) -> DataFrame:
     """``keys, check_id, check_fn, satisfied, error`` for rows that pair every item with every check of its plan.
 
-    ``rows`` carry ``check_id, check_fn, params`` (VARIANT).  A name that is not registered is unsatisfied, with an
-    error text.  ``names`` limits the generated expression to the checks the specification can hold.
+    ``rows`` carry ``check_id, check_fn`` and the ``unpacked`` parameters.  A name that is not registered is
+    unsatisfied, with an error text.  ``names`` limits the generated expression to the checks the specification can hold.
     """
     rows = with_item_columns(rows)
     used = {n: REGISTRY[n] for n in REGISTRY if names is None or n in names}
-    i, p = item_view(), VariantParams("params")
-    checks = [(name, build(i, p)) for name, build in used.items()]
+    i = item_view()
+    at_items = [(name, build(i, TypedParams())) for name, build in used.items()]
+    at_totals = [(name, build(i, VariantParams("params"))) for name, build in used.items()]
     group = [*keys, "check_id", "check_fn"]
-    # the verdict reads the parameters again, so they are grouped on as text (a VARIANT cannot be)
-    texts = rows.withColumn("_params", F.to_json("params"))
-    named = _evaluate(texts.where(F.col("check_fn") != CONSECUTIVE), [*group, "_params"], checks)
+    # the verdict reads the parameters again, so they are grouped on as text
+    ordinary = rows.where(F.col("check_fn") != CONSECUTIVE)
+    named = _evaluate(ordinary, [*group, "params_json"], at_items, at_totals)
     known = F.col("check_fn").isin(*used)
     out = named.select(
         *group,
@@ -657,7 +691,17 @@ def _pick(checks: list[tuple[str | None, Check]], get: Callable[[Check], Column
     return default if out is None else out.otherwise(default)
 
 
-def _evaluate(rows: DataFrame, group: list[str], checks: list[tuple[str | None, Check]]) -> DataFrame:
+def _evaluate(
+    rows: DataFrame,
+    group: list[str],
+    checks: list[tuple[str | None, Check]],
+    at_totals: list[tuple[str | None, Check]] | None = None,
+) -> DataFrame:
+    """Sums and distinct tokens per unit, then per plan, then the verdict.
+
+    ``at_totals`` are the same checks reading their parameters from the grouped text.
+    """
+    at_totals = at_totals or checks
     width = max([len(c.values) for _, c in checks] + [0])
     many = checks[0][0] is not None
     whole_plan = F.lit("")
@@ -676,13 +720,13 @@ def _evaluate(rows: DataFrame, group: list[str], checks: list[tuple[str | None,
         F.max("_error").alias("_error"),
     )
     if many:
-        per_unit = per_unit.withColumn("params", F.parse_json("_params"))
+        per_unit = per_unit.withColumn("params", F.parse_json("params_json"))
     totals = SimpleNamespace(v=[F.col(f"_v{n}") for n in range(width)], tokens=F.col("_tokens"))
     in_unit = F.col("_unit").isNotNull()
     never = F.lit(False)
     flagged = per_unit.withColumn(
-        "_bad", one(in_unit & _pick(checks, lambda c: c.bad(totals) if c.bad else None, never))
-    ).withColumn("_good", one(in_unit & _pick(checks, lambda c: c.good(totals) if c.good else None, never)))
+        "_bad", one(in_unit & _pick(at_totals, lambda c: c.bad(totals) if c.bad else None, never))
+    ).withColumn("_good", one(in_unit & _pick(at_totals, lambda c: c.good(totals) if c.good else None, never)))
     per_plan = flagged.groupBy(*group).agg(
         *[F.sum(f"_v{n}").alias(f"_v{n}") for n in range(width)],
         F.sum("_tokens").alias("_tokens"),
@@ -691,9 +735,9 @@ def _evaluate(rows: DataFrame, group: list[str], checks: list[tuple[str | None,
         F.max("_error").alias("_error"),
     )
     if many:
-        per_plan = per_plan.withColumn("params", F.parse_json("_params"))
+        per_plan = per_plan.withColumn("params", F.parse_json("params_json"))
     totals.bad, totals.good = F.col("_bad"), F.col("_good")
-    verdict = _pick(checks, lambda c: c.ok(totals), F.lit(False))
+    verdict = _pick(at_totals, lambda c: c.ok(totals), F.lit(False))
     return per_plan.withColumn("satisfied", (F.col("_error") == 0) & F.coalesce(verdict, F.lit(False)))
 
 

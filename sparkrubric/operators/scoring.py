@@ -137,12 +137,13 @@ def check_results(parsed: DataFrame, instances: DataFrame, keys: list[str]) -> D
     rows = joined.withColumn("planned_names", names).withColumn(
         "rows", F.concat(F.flatten(F.transform("cells", item_rows)), F.transform("entities", entity_row))
     )
+    spec = ["check_id", "check_fn", "params_json", "param"]
     narrow = rows.select(*keys, "checks", "facts", "rows").repartition(*keys)
     paired = (
         narrow.select(*keys, "facts", "rows", F.explode("checks").alias("check"))
-        .select(*keys, "facts", "rows", "check.check_id", "check.check_fn", "check.params")
-        .select(*keys, "facts", "check_id", "check_fn", "params", F.explode_outer("rows").alias("item"))
-        .select(*keys, "facts", "check_id", "check_fn", "params", "item.*")
+        .select(*keys, "facts", "rows", *[f"check.{n}" for n in spec])
+        .select(*keys, "facts", *spec, F.explode_outer("rows").alias("item"))
+        .select(*keys, "facts", *spec, "item.*")
     )
     return ck.run_checks(paired, keys)
 

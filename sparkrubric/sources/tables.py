@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkrubric.functions import morphology as mo
 from sparkrubric.functions import text as tx
+from sparkrubric.operators import checks as ck
 
 CHECK = "id string, type string, description_ro string, description_en string, check_fn string, params variant"
 GOAL = "id string, type string, description string, check_fn string, params variant"
@@ -118,12 +119,13 @@ def check_structs(world: str = "world") -> Column:
             c[ro].alias("description_ro"),
             c[en].alias("description_en"),
             c["check_fn"].alias("check_fn"),
-            c["params"].alias("params"),
+            *ck.unpacked(c["params"]),
         )
 
+    typed = ",".join(f"{n}:{t}" for n, t in ck.TypedParams.TYPES.items())
     none = F.array().cast(
         "array<struct<check_id:string,kind:string,id:string,description_ro:string,description_en:string,"
-        "check_fn:string,params:variant>>"
+        f"check_fn:string,params_json:string,param:struct<{typed}>>>"
     )
     return F.concat(
         F.coalesce(F.transform(constraints, spec("constraint", "description_ro", "description_en")), none),

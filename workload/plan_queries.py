@@ -294,7 +294,7 @@ def order_check_results(spark, sf):
     """Every order against the specification, paired row by row."""
     specs = F.array(
         *[
-            F.struct(F.lit(n).alias("check_id"), F.lit(fn).alias("check_fn"), ck.describe_params(p).alias("params"))
+            F.struct(F.lit(n).alias("check_id"), F.lit(fn).alias("check_fn"), *ck.unpacked(ck.describe_params(p)))
             for n, fn, p in _SPEC
         ]
     )
