@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkrubric.operators import ordered as od
 from sparkrubric.plans import worlds as wd
+from sparkrubric.sources.lineage import materialize
 
 # --- fixed values ------------------------------------------------------------------------------------------
 SPEC_VERSION = "0.1"
@@ -30,7 +31,8 @@ def generate_feasible(requests: DataFrame, world_type: str, hard: bool = False,
     """
     build = wd.WORLDS[world_type]
     limit = max_retries or (HARD_RETRIES if hard else BASE_RETRIES)
-    first = build(requests, hard).withColumn("attempts", F.lit(0))
+    # the worlds are long expressions: written once, they are neither built twice nor pulled into later filters
+    first = materialize(build(requests, hard)).withColumn("attempts", F.lit(0))
     if world_type == "fact":
         return first
     failed = first.where(~F.col("feasible")).select("instance_id", "seed", "difficulty")
@@ -39,7 +41,7 @@ def generate_feasible(requests: DataFrame, world_type: str, hard: bool = False,
         attempt_seed(F.col("seed"), F.col("attempts")).alias("seed"),
         "difficulty",
     )
-    later = build(tries, hard).where("feasible")
+    later = materialize(build(tries, hard)).where("feasible")
     parts = F.split("instance_id", r"\|")
     named = later.withColumn("attempts", F.element_at(parts, -1).cast("int")).withColumn(
         "instance_id", F.array_join(F.slice(parts, 1, F.size(parts) - 1), "|")
