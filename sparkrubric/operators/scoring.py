@@ -11,6 +11,7 @@ from sparkrubric.operators import checks as ck
 from sparkrubric.operators import entities as en
 from sparkrubric.operators import quality as ql
 from sparkrubric.sources import tables as tb
+from sparkrubric.sources.lineage import materialize
 
 # --- fixed values ------------------------------------------------------------------------------------------
 CHECK_SHARE, FORMAT_SHARE = 0.85, 0.15
@@ -174,7 +175,7 @@ def evaluate(
 ) -> DataFrame:
     """One metrics row per parsed output that has an instance: U, R, G, F, flags and details.
 
-    ``instances`` come from ``prepare_instances``.  A plan with a non-string list element cannot be scored and gets
+    ``parsed`` and ``instances`` (from ``prepare_instances``) should be stored tables, as ``evaluate_run`` makes them.  A plan with a non-string list element cannot be scored and gets
     zeros with the reason in ``parse_error``.  ``lemmas`` (``keys, lemmas``) switches F to the lemma variant.
     """
     keys = keys or ["run_id", "instance_id"]
@@ -207,6 +208,23 @@ def evaluate(
     ).drop("broken")
 
 
+def evaluate_run(
+    outputs: DataFrame, instances: DataFrame, runs: list[str] | None = None, order: str = "row_pos", **options
+) -> DataFrame:
+    """Batch evaluation of raw outputs (``run_id, instance_id, output`` and a line order) against raw instances.
+
+    The last line per id counts.  Parsed outputs and prepared instances are written once to the checkpoint folder:
+    the text is parsed a single time, and the long parsing expressions stay out of the later plans.  With ``runs`` every
+    instance of those runs appears, missing outputs scoring 0.
+    """
+    keys = ["run_id", "instance_id"]
+    latest = tb.latest(outputs.select(*keys, "output", order), keys, [order])
+    parsed = materialize(parse_run(latest).drop("output", order))
+    prepared = materialize(tb.prepare_instances(instances, articulated=options.get("lemmas") is not None))
+    metrics = evaluate(parsed, prepared, keys, **options)
+    return metrics if runs is None else with_missing(instances, metrics, runs)
+
+
 def with_missing(instances: DataFrame, metrics: DataFrame, runs: list[str] | None = None) -> DataFrame:
     """Every instance (of every listed run) with its metrics; a missing output scores 0 and is flagged."""
     wanted, keys = instances.select("instance_id").distinct(), ["instance_id"]
