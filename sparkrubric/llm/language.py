@@ -155,7 +155,7 @@ def predict(
 
     given = documents.drop("lang_pred", "score", "cosine")
     given = given.withColumn("text", F.col("text").cast("string"))
-    schema = T.StructType(given.schema.fields)
+    schema = T.StructType(list(given.schema.fields))
     for name, kind in (("lang_pred", T.StringType()), ("score", T.DoubleType()), ("cosine", T.DoubleType())):
         schema = schema.add(name, kind)
 

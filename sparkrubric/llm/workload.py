@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrubric.llm import language, lines, mixing, pieces, simhash
+from sparkrubric.llm import language, lines, mixing, pieces, rules, simhash
 from workload.base import Registry, table
 
 reg = Registry()
@@ -66,3 +66,80 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.drop_templates(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+RULES_SQL = """
+WITH lines AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents
+),
+line_counts AS (
+    SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+    FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id
+),
+words AS (
+    SELECT doc_id, coalesce(lang, chr(1)) AS stratum, coalesce(text, '') AS text,
+        regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w
+    FROM documents
+),
+windows AS (
+    SELECT doc_id, i, w[i:i + 4] AS win FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM words)
+),
+repeated AS (
+    SELECT doc_id, unnest(generate_series(i, i + 4)) AS p
+    FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM windows) WHERE n > 1
+),
+repeats AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM repeated GROUP BY doc_id),
+counts AS (
+    SELECT doc_id, stratum, len(w)::BIGINT AS n_words,
+        coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+        length(regexp_replace(text, '[^A-Z]', '', 'g'))::BIGINT AS n_upper,
+        coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+        coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+    FROM words LEFT JOIN line_counts USING (doc_id) LEFT JOIN repeats USING (doc_id)
+),
+measured AS (
+    SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+        CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0 END AS symbol_ratio,
+        CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS dup_line_ratio,
+        CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END AS repeat_ratio,
+        CASE WHEN word_chars > 0 THEN n_upper / word_chars ELSE 0 END AS upper_ratio,
+        CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END AS mean_word_chars
+    FROM counts
+),
+long AS (
+    SELECT doc_id, stratum, measure, value FROM measured
+    UNPIVOT (value FOR measure IN (symbol_ratio, dup_line_ratio, repeat_ratio, upper_ratio, mean_word_chars))
+),
+cutoffs(measure, place, cutoff) AS (VALUES {cutoffs}),
+good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+tries AS (
+    SELECT stratum, measure, place, cutoff, count(*) AS n, count(*) FILTER (WHERE value > cutoff) AS k
+    FROM long JOIN good USING (doc_id) JOIN cutoffs USING (measure) GROUP BY ALL
+),
+tested AS (
+    SELECT *, list_sum(list_transform(generate_series(0, k), lambda i: exp(
+        lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln(0.004) + (n - i) * ln(0.996)))) AS p,
+        (SELECT count(DISTINCT stratum) FROM tries) AS strata
+    FROM tries
+),
+ends AS (
+    SELECT stratum, measure, min(CASE WHEN p > 0.05 / (strata * 5) THEN place END) AS failed_at, max(place) AS last
+    FROM tested GROUP BY ALL
+),
+chosen AS (
+    SELECT t.stratum, t.measure, t.cutoff FROM tested t JOIN ends e USING (stratum, measure)
+    WHERE t.place = coalesce(e.failed_at - 1, e.last)
+),
+rejected AS (SELECT DISTINCT doc_id FROM long JOIN chosen USING (stratum, measure) WHERE value > cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rejected) AS kept
+FROM measured
+""".replace(
+    "{cutoffs}", ", ".join(f"('{m}', {n}, {c})" for m, cs in rules.CUTOFFS.items() for n, c in enumerate(cs))
+)
+
+
+@reg.add("op2_risk_controlled_rules", RULES_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
