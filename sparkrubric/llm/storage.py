@@ -47,3 +47,13 @@ def ready_for_python(spark: SparkSession, rows: int = 512) -> None:
                 out.write(file, str(file.relative_to(package.parent)))
         context.addPyFile(str(archive))  # Spark sends it to every executor
         _SHIPPED.add(context.applicationId)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table that ``written`` made, once nothing reads it any more."""
+    spark = df.sparkSession
+    folder = shared_folder(spark).rpartition(":")[2]
+    for made in {file.rpartition("/")[0] for file in df.inputFiles()}:
+        if made.rpartition("/")[0].endswith(folder):  # only what lies in the shared folder itself
+            path = spark._jvm.org.apache.hadoop.fs.Path(made)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

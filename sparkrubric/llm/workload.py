@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrubric.llm import language, lines, mixing, pieces, rules, simhash
+from sparkrubric.llm import language, lines, mixing, pieces, repeats, rules, simhash
 from workload.base import Registry, table
 
 reg = Registry()
@@ -143,3 +143,30 @@ FROM measured
 @reg.add("op2_risk_controlled_rules", RULES_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+REPEATS_SQL = """
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+windows AS (
+    SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS win
+    FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM words)
+),
+later AS (
+    SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) AS first FROM windows) WHERE first < doc_id
+),
+removed AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 49)) AS p FROM later),
+numbered AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS p FROM words),
+kept AS (
+    SELECT n.doc_id, string_agg(word, ' ' ORDER BY n.p) AS text, count(*) AS n
+    FROM numbered n LEFT JOIN removed r ON n.doc_id = r.doc_id AND n.p = r.p WHERE r.p IS NULL GROUP BY n.doc_id
+)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, len(w.w)::BIGINT - coalesce(k.n, 0) AS n_removed,
+    sha256(coalesce(k.text, '')) AS kept_sha256
+FROM words w LEFT JOIN kept k USING (doc_id)
+"""
+
+
+@reg.add("op3_seed_and_extend", REPEATS_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeats.drop_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
