@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrubric.llm import language, lines, mixing, pieces, repeats, rules, simhash
+from sparkrubric.llm import credentials, language, lines, mixing, pieces, repeats, rules, simhash
 from workload.base import Registry, table
 
 reg = Registry()
@@ -170,3 +170,63 @@ FROM words w LEFT JOIN kept k USING (doc_id)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = repeats.drop_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+SECRETS_SQL = """
+WITH kinds(kind, name, pattern, prefix, least) AS (VALUES
+    (0, 'assign', '(?i:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?[A-Za-z0-9+/_.=-]+',
+        '^(?i:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?', 8),
+    (1, 'access', 'AKIA[A-Z0-9]+', '^$', 16),
+    (2, 'hex', '[0-9a-f]+', '^$', 32),
+    (3, 'generic', '[A-Za-z0-9+/_-]{20,}', '^$', 20)
+),
+matches AS (
+    SELECT doc_id, source, kind, name, prefix, least, unnest(m) AS m, unnest(gaps[:len(m)]) AS gap, unnest(generate_series(1, len(m))) AS i
+    FROM (
+        SELECT d.doc_id, d.source, k.*, regexp_extract_all(coalesce(d.text, ''), k.pattern) AS m,
+            string_split_regex(coalesce(d.text, ''), k.pattern) AS gaps
+        FROM documents d, kinds k
+    )
+),
+placed AS (
+    SELECT *, regexp_replace(m, prefix, '') AS value,
+        sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop
+    FROM matches
+),
+candidates AS (
+    SELECT doc_id, source, kind, name, (stop - length(m))::BIGINT AS start, stop::BIGINT AS stop, value,
+        len(list_distinct(string_split(value, ''))) >= 8 AS varied
+    FROM placed
+    WHERE length(value) >= least AND (kind < 3 OR regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]'))
+),
+owned AS (SELECT value, count(DISTINCT source) AS owners FROM candidates GROUP BY value),
+spans AS (
+    SELECT c.*, varied AND owners < 2 AS live FROM candidates c JOIN owned USING (value)
+    WHERE kind < 3 OR varied AND owners < 2 AND NOT EXISTS (
+        SELECT 1 FROM candidates b WHERE b.doc_id = c.doc_id AND b.kind < 3 AND b.start < c.stop AND c.start < b.stop)
+),
+listed AS (
+    SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access,
+        count(*) FILTER (WHERE kind = 2) AS n_hex, count(*) FILTER (WHERE live) AS n_live,
+        string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) FILTER (WHERE kind < 3) AS base,
+        string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) AS spans
+    FROM spans GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+    sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
+FROM documents LEFT JOIN listed USING (doc_id)
+"""
+
+
+@reg.add("op5_secret_ownership", SECRETS_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = credentials.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("found", lambda s: s["kind"] < credentials.BASE)
+
+    def count(kind: int):
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{credentials.KINDS[kind][0]}")
+
+    counts = [count(n) for n in range(credentials.BASE)]
+    n_live = F.size(F.filter("found", lambda s: s["live"])).cast("long")
+    spans = credentials.span_list
+    return found.select("doc_id", *counts, F.sha2(spans(base), 256).alias("base_sha256"), spans(F.col("found")).alias("spans"), n_live.alias("n_live"))
