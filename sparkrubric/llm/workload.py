@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrubric.llm import credentials, language, lines, mixing, pieces, repeats, rules, simhash
+from sparkrubric.llm import classifier, credentials, language, lines, mixing, pieces, repeats, rules, simhash
 from workload.base import Registry, table
 
 reg = Registry()
@@ -230,3 +230,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_live = F.size(F.filter("found", lambda s: s["live"])).cast("long")
     spans = credentials.span_list
     return found.select("doc_id", *counts, F.sha2(spans(base), 256).alias("base_sha256"), spans(F.col("found")).alias("spans"), n_live.alias("n_live"))
+
+
+@reg.add("op9_quality_classifier")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = classifier.train(documents, table(spark, sf_dir, "labels"), remainder(3) != 1)
+    found = classifier.score(documents, model)
+    return found.select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
