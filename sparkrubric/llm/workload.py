@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrubric.llm import classifier, credentials, language, lines, mixing, pieces, repeats, rules, simhash
+from sparkrubric.llm import classifier, credentials, language, lines, mixing, pieces, repeats, rules, search, simhash
 from workload.base import Registry, table
 
 reg = Registry()
@@ -238,3 +238,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = classifier.train(documents, table(spark, sf_dir, "labels"), remainder(3) != 1)
     found = classifier.score(documents, model)
     return found.select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@reg.add("op10_bm25_search")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return search.search(documents, documents.where("doc_id % 100 = 0"))
