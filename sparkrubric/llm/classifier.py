@@ -134,32 +134,36 @@ def train_vectors(sample: DataFrame, vocabulary: int = 8192) -> WordVectors:
 
 @dataclass
 class Network:
-    """``score = sigmoid(relu(x a + b) c + d) / temperature)`` of standardized rows."""
+    """``score = sigmoid((relu(z a + b) c + d) / temperature)``, ``z`` the rows in units of the training spread, within
+    three of its mean."""
 
     mean: np.ndarray
     scale: np.ndarray
     weights: list[np.ndarray]
     temperature: float
 
+    def inputs(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -3, 3)
+
     def logits(self, x: np.ndarray) -> np.ndarray:
         a, b, c, d = self.weights
-        return np.maximum((x - self.mean) / self.scale @ a + b, 0) @ c + d[0]
+        return np.maximum(self.inputs(x) @ a + b, 0) @ c + d[0]
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -500, 500)))
 
 
-def train_network(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 60, seed: int = 5) -> Network:
+def train_network(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 30, steps: int = 1500, decay: float = 3e-3, seed: int = 5) -> Network:
     """Adam on the log loss with weight decay; every fifth row is left out and fits the temperature."""
     held = np.arange(len(y)) % 5 == 4 if len(y) >= 25 else np.zeros(len(y), bool)
     rng = np.random.default_rng(seed)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-    fit_x, fit_y = ((x - mean) / scale)[~held], y[~held]
+    fit_x, fit_y = np.clip((x - mean) / scale, -3, 3)[~held], y[~held]
     size = x.shape[1]
     weights = [rng.normal(0, (2 / size) ** 0.5, (size, hidden)), np.zeros(hidden), rng.normal(0, (1 / hidden) ** 0.5, hidden), np.zeros(1)]
     first, second, step = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
     batch = 128
-    for _ in range(max(epochs, 4000 * batch // max(1, len(fit_y)) if len(fit_y) < 4000 else epochs)):
+    for _ in range(max(epochs, steps * batch // len(fit_y))):
         order = rng.permutation(len(fit_y))
         for at in range(0, len(order), batch):
             rows = order[at : at + batch]
@@ -169,7 +173,7 @@ def train_network(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int =
             back = np.outer(error, weights[2]) * (z > 0)
             step += 1
             for n, gradient in enumerate((fit_x[rows].T @ back, back.sum(axis=0), h.T @ error, error.sum(keepdims=True))):
-                gradient = gradient + 1e-3 * weights[n]
+                gradient = gradient + decay * weights[n]
                 first[n] = 0.9 * first[n] + 0.1 * gradient
                 second[n] = 0.999 * second[n] + 0.001 * gradient**2
                 weights[n] = weights[n] - 0.003 * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.999**step)) + 1e-8)

@@ -67,7 +67,7 @@ def mix(
     are replaced.  An empty table, or no weight above zero, gives no rows.
     """
     rates = repetition_rates(documents, weights, exponent, size).where("rate > 0")
-    parts = F.ceil(F.col("rate") / LARGEST_MEAN).cast("int")
+    parts = F.greatest(F.ceil(F.col("rate") / LARGEST_MEAN), F.lit(1)).cast("int")
     rates = rates.select(F.col("source").alias("of"), parts.alias("parts"), _cumulative(F.col("rate") / parts).alias("sums"))
     rates = written(rates, "rates")
 

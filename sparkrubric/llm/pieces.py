@@ -62,7 +62,7 @@ class Pieces:
 
     def surfaces(self, spaced: str) -> list[str]:
         """The pieces of a text as they stand in it; a character without a piece is one."""
-        return [p.surface for p in self.library.encode(spaced, out_type="immutable_proto").pieces if p.surface]
+        return [p.surface for p in self.library.encode(spaced, return_type="proto").pieces if p.surface]
 
     def _fits(self, left: str, right: str) -> bool:
         return self.surfaces(left + right) == [left, right]

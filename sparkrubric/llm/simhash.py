@@ -51,15 +51,16 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         texts = batch.column("text").cast(pa.binary())
         codes = np.fromiter((fingerprint(x.as_py()) for x in texts), np.uint64, len(texts))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(codes.view(np.int64))], ["doc_id", "code"])
+        columns = [batch.column("doc_id"), batch.column("key"), pa.array(codes.view(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "code"])
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
-    """``(doc_id, code)`` of every document; ``code`` is the fingerprint's bits as a long."""
+    """``(doc_id, key, code)`` of every document: the text's ``xxhash64``, and the fingerprint's bits as a long."""
     ready_for_python(documents.sparkSession)
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        _fingerprints, "doc_id long, code long"
-    )
+    text = F.col("text").cast("string")
+    rows = documents.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("key"), text.alias("text"))
+    return rows.mapInArrow(_fingerprints, "doc_id long, key long, code long")
 
 
 class BKTree:
@@ -183,10 +184,10 @@ def links(codes: DataFrame, radius: int = 3, shard_limit: int = 4096) -> DataFra
 
 
 def near_duplicates(documents: DataFrame, radius: int = 3, shard_limit: int = 4096) -> DataFrame:
-    """``(doc_id, code, component_id)`` of every row of ``documents(doc_id, text)``.
+    """``(doc_id, key, code, component_id, component)`` of every row of ``documents(doc_id, text)``.
 
-    Rows link at ``radius`` differing bits or fewer; ``component_id`` is the smallest doc_id reachable.  Equal codes are one
-    class, so copies cost one row each.  Null and empty texts have code zero, linked like any other.  A repeated doc_id
+    Rows link at ``radius`` differing bits or fewer; ``component_id`` is the smallest doc_id reachable, ``component`` a
+    code that stands for the group even where ids repeat.  Equal codes are one class, so copies cost one row each.  Null and empty texts have code zero, linked like any other.  A repeated doc_id
     gives a row each time.  A null doc_id is never the smallest; its component is null if it has null ids only.  Other
     columns are ignored; an empty table gives an empty one.
     """
@@ -196,13 +197,18 @@ def near_duplicates(documents: DataFrame, radius: int = 3, shard_limit: int = 40
     tagged = classes.join(roots, "code", "left").select("code", "first_id", F.coalesce("root", "code").alias("root"))
     tagged = written(tagged, "tagged")
     smallest = tagged.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    known = written(tagged.join(smallest, "root").select("code", "component_id"), "known")
-    return marks.join(known, "code").select("doc_id", "code", "component_id")
+    known = tagged.join(smallest, "root").select("code", "component_id", F.col("root").alias("component"))
+    known = written(known, "known")
+    return marks.join(known, "code").select("doc_id", "key", "code", "component_id", "component")
 
 
 def one_of_each(documents: DataFrame, radius: int = 3) -> DataFrame:
-    """The documents whose doc_id is the smallest of their group, once each and with all columns.  Rows without an id
-    can't be told apart and stay."""
-    kept = near_duplicates(documents, radius).where("doc_id = component_id").select("doc_id").distinct()
-    first = documents.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(documents.where("doc_id IS NULL")).select(*documents.columns)
+    """One document of each group, with all columns: the one with the smallest doc_id (of several texts of that id, the one
+    with the smallest hash; of equal rows, one).  Rows without an id can't be told apart and stay."""
+    groups = near_duplicates(documents, radius).where("doc_id IS NOT NULL").groupBy("component")
+    kept = groups.agg(F.min(F.struct("doc_id", "key")).alias("first")).select("first.*")
+    kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key"))
+    rows = documents.select(F.struct(*documents.columns).alias("row"))
+    doc_id, key = F.col("row.doc_id").cast("long"), F.xxhash64(F.col("row.text").cast("string"))
+    first = rows.join(kept, (doc_id == F.col("kept_id")) & (key == F.col("kept_key"))).dropDuplicates(["kept_id", "kept_key"])
+    return first.select("row.*").unionByName(documents.where("doc_id IS NULL"))
