@@ -16,7 +16,7 @@ BLOCK_TYPE = "struct<block:string,explanation:string,start:int,stop:int>"
 
 
 def allow_duplicate_keys(spark: SparkSession) -> None:
-    """Make JSON objects with a repeated key parse, the last value winning."""
+    """Make JSON objects with a repeated key parse in this session, the last value winning."""
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
 
@@ -51,11 +51,16 @@ def _fold_to_zero(braces: Column, up: str) -> Column:
     return F.aggregate(braces, state, step, lambda s: s["hit"])
 
 
+def _after(brace: str, text: Column, place: Column) -> Column:
+    """Place of the next brace after ``place``, 0 if there is none."""
+    return F.call_function("locate", F.lit(brace), text, place + 1)
+
+
 def _naked(text: Column) -> Column:
     """The last balanced ``{...}``.
 
-    The text is cut after every brace, so the folds run over braces instead of characters and the block and the
-    text before it are joined back from the pieces.
+    A text with one brace of either kind is cut there.  Any other is cut after every brace, so the folds run over braces
+    instead of characters and the block and the text before it are joined back from the pieces.
     """
 
     def locate(pieces: Column) -> Column:
@@ -91,7 +96,16 @@ def _naked(text: Column) -> Column:
             ),
         )
 
-    return F.when(text.contains("{") & text.contains("}"), tx.let(F.split(text, r"(?<=[{}])"), locate))
+    opens, closes = F.instr(text, "{"), F.instr(text, "}")
+    single = (opens > 0) & (opens < closes) & (_after("{", text, opens) == 0) & (_after("}", text, closes) == 0)
+    only = F.struct(
+        F.substring(text, opens, closes - opens + 1).alias("block"),
+        F.left(text, opens - 1).alias("explanation"),
+        (opens - 1).alias("start"),
+        closes.alias("stop"),
+    )
+    both = text.contains("{") & text.contains("}")
+    return F.when(single, only).when(both, tx.let(F.split(text, r"(?<=[{}])"), locate))
 
 
 def json_block(text: Column | str) -> Column:
@@ -111,8 +125,10 @@ def repair_json(block: Column) -> Column:
 def parse_outputs(df: DataFrame, output: str = "output") -> DataFrame:
     """Add ``explanation, plan_json, plan, format_ok, repaired, parse_error``.
 
-    ``plan`` is a VARIANT, null when no block parses.  Repair covers comments and trailing commas.
+    ``plan`` is a VARIANT, null when no block parses.  Repair covers comments and trailing commas.  An object that repeats
+    a key keeps its last value, for which this sets a session option (``allow_duplicate_keys``).
     """
+    allow_duplicate_keys(df.sparkSession)
     found = df.withColumn("_block", json_block(F.coalesce(output, F.lit(""))))
     block = F.col("_block.block")
     parsed = (

@@ -51,7 +51,6 @@ ITEM_COLUMNS = {
 # --- fixed values ------------------------------------------------------------------------------------------
 MEAL_NAMES = {"mic_dejun": "breakfast", "pranz": "lunch", "cina": "dinner"}
 BREAKFAST_KEYS = ("_mic_dejun", "_breakfast")
-MAX_TRACKED_DAYS = 9
 # --- end of fixed values -----------------------------------------------------------------------------------
 
 
@@ -611,13 +610,16 @@ def _no_slot_overlaps(i, p):
 CONSECUTIVE = "check_no_consecutive_same_type"
 
 
-def consecutive_same_type(rows: DataFrame, group: list[str]) -> DataFrame:
+def consecutive_same_type(rows: DataFrame, group: list[str], max_days: int | None = None) -> DataFrame:
     """``group, satisfied``: no two consecutive days with the same non-empty set of types.
 
-    Days count from day1 up to the first missing one, nine at most.  A day's set holds distinct types only.
+    Days count from day1 up to the first missing one; ``max_days`` (nine in the published scores) ends them earlier.  A
+    day's set holds distinct types only.
     """
     i = item_view()
-    number = F.regexp_extract("key", f"^day([1-{MAX_TRACKED_DAYS}])$", 1).try_cast("int")
+    number = F.regexp_extract("key", "^day([1-9][0-9]*)$", 1).try_cast("int")
+    if max_days is not None:
+        number = F.when(number <= max_days, number)
     days = (
         rows.withColumn("_day", number)
         .groupBy(*group, "_day")

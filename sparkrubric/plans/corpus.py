@@ -18,36 +18,46 @@ HARD_COUNTS = {"travel": 100, "schedule": 75, "fact": 50, "recipe": 75}
 # --- end of fixed values -----------------------------------------------------------------------------------
 
 
-def attempt_seed(seed: Column, attempt: Column) -> Column:
-    """Seed of the n-th try: the given one first, then ``seed + 10000, seed + 10001, ...``."""
-    return F.when(attempt == 0, seed).otherwise(seed + RETRY_STEP + attempt - 1)
+def attempt_seed(seed: Column, attempt: Column, hard: bool = False) -> Column:
+    """Seed of the n-th try, the given one first: then ``seed + 10000, seed + 10001, ...``, in hard corpora ``seed + 1,
+    seed + 2, ...``."""
+    later = seed + attempt if hard else seed + RETRY_STEP + attempt - 1
+    return F.when(attempt == 0, seed).otherwise(later)
 
 
 def generate_feasible(requests: DataFrame, world_type: str, hard: bool = False, max_retries: int | None = None) -> DataFrame:
     """Worlds for ``(instance_id, seed, difficulty)``, regenerated from the next seed while no plan is possible.
 
-    First tries run for everyone; only the ids that failed are expanded into their remaining tries, of which the first
-    feasible one is kept.  ``attempts`` tells how many tries failed; an id with no feasible try is left out.
+    First tries run for everyone, then the ids without a plan get one further try, then two, four and so on, up to
+    ``max_retries`` tries in all; the first feasible try is kept.  ``attempts`` tells how many tries failed before it.  An
+    id without a feasible try keeps its last one, flagged by ``feasible`` = false.
     """
     build = wd.WORLDS[world_type]
     limit = max_retries or (HARD_RETRIES if hard else BASE_RETRIES)
     # the worlds are long expressions: written once, they are neither built twice nor pulled into later filters
-    first = materialize(build(requests, hard)).withColumn("attempts", F.lit(0))
+    made = materialize(build(requests, hard), "worlds").withColumn("attempts", F.lit(0))
     if world_type == "fact":
-        return first
-    failed = first.where(~F.col("feasible")).select("instance_id", "seed", "difficulty")
-    tries = failed.withColumn("attempts", F.explode(F.sequence(F.lit(1), F.lit(limit - 1)))).select(
-        F.concat_ws("|", "instance_id", F.col("attempts").cast("string")).alias("instance_id"),
-        attempt_seed(F.col("seed"), F.col("attempts")).alias("seed"),
-        "difficulty",
-    )
-    later = materialize(build(tries, hard)).where("feasible")
-    parts = F.split("instance_id", r"\|")
-    named = later.withColumn("attempts", F.element_at(parts, -1).cast("int")).withColumn(
-        "instance_id", F.array_join(F.slice(parts, 1, F.size(parts) - 1), "|")
-    )
-    best = od.best_row(named, ["instance_id"], [F.col("attempts")]).select("instance_id", "best.*")
-    return first.where("feasible").unionByName(best)
+        return made
+    done, tried, width = made.where("feasible"), 1, 1
+    last = made.where("NOT feasible")
+    while tried < limit and not last.isEmpty():
+        numbers = F.sequence(F.lit(tried), F.lit(min(tried + width, limit) - 1))
+        open_ids = last.select("instance_id", "difficulty").join(requests.select("instance_id", "seed"), "instance_id")
+        tries = open_ids.withColumn("attempts", F.explode(numbers)).select(
+            F.concat_ws("|", "instance_id", F.col("attempts").cast("string")).alias("instance_id"),
+            attempt_seed(F.col("seed"), F.col("attempts"), hard).alias("seed"),
+            "difficulty",
+        )
+        parts = F.split("instance_id", r"\|")
+        named = build(tries, hard).withColumn("attempts", F.element_at(parts, -1).cast("int"))
+        named = named.withColumn("instance_id", F.array_join(F.slice(parts, 1, F.size(parts) - 1), "|"))
+        named = materialize(named, "worlds")
+        # the first feasible try, else the last one
+        order = F.when(F.col("feasible"), F.col("attempts")).otherwise(2 * limit - F.col("attempts"))
+        best = materialize(od.best_row(named, ["instance_id"], [order]).select("instance_id", "best.*"), "worlds")
+        done, last = done.unionByName(best.where("feasible")), best.where("NOT feasible")
+        tried, width = tried + width, 2 * width
+    return done.unionByName(last)
 
 
 def requests(spark: SparkSession, world_type: str, count: int, seed_start: int, difficulty: str, hard: bool) -> DataFrame:

@@ -171,36 +171,25 @@ def cheapest_per_class(
 def schedule_feasible(appointments: Column, days: Column, slots: Column, constraints: Column) -> Column:
     """A choice of appointments and free slots under the constraints.
 
-    ``appointments`` are structs with ``name, priority``; ``days`` and ``slots`` are label arrays (at most 24 cells).  A
-    state is one number: a bit per used slot and a small counter per priority.  Only counts of kept appointments per
-    priority matter, so interchangeable choices fall together.
+    ``appointments`` are structs with ``name, priority``; ``days`` and ``slots`` are label arrays of any length.  Slots
+    that every rule treats alike form a class, and so do days; a state holds how many slots of each class each day has
+    used, days in sorted order, and how many appointments of each priority are kept.  Interchangeable choices fall
+    together, so states grow with the kinds of days and not with the subsets of cells.
     """
     c = constraints
     restriction = rule(c, "check_priority_day_restriction")
     slot_rule = rule(c, "check_slot_type_restriction")
     high_rule = rule(c, "check_priority_slot_restriction")
     per_day = number(c, "check_max_appointments_per_day", "max_per_day", 2)
-    n_slots = F.size(slots)
 
     def lowered(parameters: Column, name: str) -> Column:
         values = F.try_variant_get(parameters, f"$.{name}", "array<string>")
         return F.transform(F.coalesce(values, F.array().cast("array<string>")), F.lower)
 
-    def cell(d: Column, i: Column, s: Column, j: Column) -> Column:
-        one = F.lit(1).cast("bigint")
-        return F.struct(
-            shift_left(one, i * n_slots + j).alias("bit"),
-            shift_left(shift_left(one, n_slots) - 1, i * n_slots).alias("day_bits"),
-            (j == 0).alias("opens_day"),
-            F.lower(d).alias("day"),
-            F.lower(s).alias("slot"),
-        )
-
     rules = {
         "appointments": appointments,
-        "cells": F.flatten(
-            F.transform(days, lambda d, i: F.transform(slots, lambda s, j: cell(d, i, s, j)))
-        ),
+        "days": F.transform(days, F.lower),
+        "slots": F.transform(slots, F.lower),
         "cap": F.when(has_rule(c, "check_no_back_to_back"), F.least(per_day, F.lit(1.0))).otherwise(per_day),
         "max_total": number(c, "check_max_total_appointments", "max_total", INFINITE),
         "keep_high": has_rule(c, "check_keep_high_priority"),
@@ -214,76 +203,95 @@ def schedule_feasible(appointments: Column, days: Column, slots: Column, constra
         "n_high": at_level(appointments, "high"),
         "n_medium": at_level(appointments, "medium"),
     }
-    return F.when(F.size(appointments) == 0, True).otherwise(bound(rules, _schedule_search))
+    return F.when(F.size(appointments) == 0, True).otherwise(bound(rules, _schedule_classes))
 
 
 def at_level(appointments: Column, level: str) -> Column:
     return F.size(F.filter(appointments, lambda a: F.coalesce(a["priority"], F.lit("low")) == level))
 
 
-def shift_left(value: Column, places: Column) -> Column:
-    return F.call_function("shiftleft", value, places)
-
-
-def _schedule_search(r: SimpleNamespace) -> Column:
-    shift = {"high": 24, "medium": 34, "low": 44}
-    taken = lambda s, lv: F.shiftright(s, shift[lv]).bitwiseAND(F.lit(1023))
-    used = lambda s: s.bitwiseAND(F.lit((1 << 24) - 1))
-    total = lambda s: F.bit_count(used(s))
+def _schedule_classes(r: SimpleNamespace) -> Column:
+    """Slots by whether they suit high priorities (2) and the restricted word (1), days by whether they are banned."""
 
     def matches(slot: Column, wanted: Column) -> Column:
         return F.exists(wanted, lambda w: slot.contains(w) | w.contains(slot))
 
+    def suits(slot: Column, wanted: Column) -> Column:
+        return (F.size(wanted) == 0) | matches(slot, wanted)
+
+    of_slot = F.transform(r.slots, lambda s: suits(s, r.high_slots).cast("int") * 2 + suits(s, r.allowed).cast("int"))
+    values = {
+        "sizes": F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.size(F.filter(of_slot, lambda x: x == k))),
+        "start": F.array_sort(
+            F.transform(
+                r.days,
+                lambda d: F.struct(
+                    F.array_contains(r.banned, d).alias("banned"), F.array_repeat(F.lit(0), 4).alias("used")
+                ),
+            )
+        ),
+    }
+    return bound(values, lambda x: _schedule_search(r, x))
+
+
+def _schedule_search(r: SimpleNamespace, x: SimpleNamespace) -> Column:
+    def added(day: Column) -> Column:
+        return F.aggregate(day["used"], F.lit(0), lambda a, b: a + b)
+
+    def state(days: Column, high: Column, medium: Column, low: Column) -> Column:
+        return F.struct(days.alias("days"), high.alias("high"), medium.alias("medium"), low.alias("low"))
+
+    def total(s: Column) -> Column:
+        return s["high"] + s["medium"] + s["low"]
+
     def place(states: Column, a: Column) -> Column:
         priority = F.coalesce(a["priority"], F.lit("low"))
-        step = F.when(priority == "high", 1 << shift["high"]).when(priority == "medium", 1 << shift["medium"])
-        step = step.otherwise(1 << shift["low"]).cast("bigint")
-        name = F.lower(a["name"])
-        special = (r.word != "") & name.contains(r.word) & (F.size(r.allowed) > 0)
-        open_cells = F.filter(
-            r.cells,
-            lambda cell: ~((priority == r.level) & F.array_contains(r.banned, cell["day"]))
-            & ~((priority == "high") & (F.size(r.high_slots) > 0) & ~matches(cell["slot"], r.high_slots))
-            & ~(special & ~matches(cell["slot"], r.allowed)),
-        )
-        return tx.let(
-            open_cells,
-            lambda free: F.array_distinct(
-                F.flatten(
-                    F.transform(
-                        states,
-                        lambda s: F.concat(
-                            F.array(s),
-                            F.when(
-                                total(s) < r.max_total,
-                                F.transform(
-                                    F.filter(
-                                        free,
-                                        lambda cell: (s.bitwiseAND(cell["bit"]) == 0)
-                                        & (F.bit_count(s.bitwiseAND(cell["day_bits"])) < r.cap),
-                                    ),
-                                    lambda cell: s + cell["bit"] + step,
-                                ),
-                            ).otherwise(F.array().cast("array<bigint>")),
-                        ),
-                    )
-                )
-            ),
+        special = (r.word != "") & F.lower(a["name"]).contains(r.word)
+        # classes of slots that take this appointment
+        kinds = F.filter(
+            F.sequence(F.lit(0), F.lit(3)), lambda k: ((priority != "high") | (k >= 2)) & (~special | (k % 2 == 1))
         )
+        one = lambda *levels: F.when(priority.isin(*levels), 1).otherwise(0)
+        lowest = F.when(priority.isin("high", "medium"), 0).otherwise(1)
+
+        def moved(s: Column, i: Column, k: Column) -> Column:
+            def day(d: Column, j: Column) -> Column:
+                used = F.transform(d["used"], lambda u, kk: F.when((j == i) & (kk == k), u + 1).otherwise(u))
+                return F.struct(d["banned"].alias("banned"), used.alias("used"))
+
+            days = F.array_sort(F.transform(s["days"], day))
+            return state(days, s["high"] + one("high"), s["medium"] + one("medium"), s["low"] + lowest)
+
+        def moves(s: Column) -> Column:
+            days = s["days"]
 
-    def day_count(s: Column) -> Column:
-        return F.size(F.filter(r.cells, lambda cell: cell["opens_day"] & (s.bitwiseAND(cell["day_bits"]) != 0)))
+            def open_day(i: Column) -> Column:
+                first = (i == 0) | (F.get(days, i) != F.get(days, i - 1))  # of equal days one will do
+                allowed = ~((priority == r.level) & F.get(days, i)["banned"])
+                return first & allowed & (added(F.get(days, i)) < r.cap)
+
+            places = F.filter(F.sequence(F.lit(0), F.size(days) - 1), open_day)
+            free = lambda i: F.filter(kinds, lambda k: F.get(F.get(days, i)["used"], k) < F.get(x.sizes, k))
+            return F.flatten(F.transform(places, lambda i: F.transform(free(i), lambda k: moved(s, i, k))))
+
+        def grown(s: Column) -> Column:
+            may = (total(s) < r.max_total) & (F.size(s["days"]) > 0)
+            return F.concat(F.array(s), F.when(may, moves(s)).otherwise(F.slice(F.array(s), 1, 0)))
+
+        return F.array_distinct(F.flatten(F.transform(states, grown)))
 
     def accept(states: Column) -> Column:
         def ok(s: Column) -> Column:
-            all_high, all_medium = taken(s, "high") == r.n_high, taken(s, "medium") == r.n_medium
-            ordered = all_high & ((taken(s, "low") == 0) | all_medium)
-            enough = F.when(total(s) == 0, r.drop_order).otherwise(day_count(s) >= r.spread)
+            all_high, all_medium = s["high"] == r.n_high, s["medium"] == r.n_medium
+            ordered = all_high & ((s["low"] == 0) | all_medium)
+            in_use = F.size(F.filter(s["days"], lambda d: added(d) > 0))
+            enough = F.when(total(s) == 0, r.drop_order).otherwise(in_use >= r.spread)
             return (~r.keep_high | all_high) & (~r.drop_order | ordered) & enough
 
         return F.exists(states, ok)
 
-    return F.aggregate(r.appointments, F.array(F.lit(0).cast("bigint")), place, accept)
+    zero = F.lit(0)
+    return F.aggregate(r.appointments, F.array(state(x.start, zero, zero, zero)), place, accept)
 
 
 # --- recipe --------------------------------------------------------------------------------------------------
@@ -292,8 +300,9 @@ def recipe_feasible(dishes: Column, days: Column, constraints: Column) -> Column
 
     ``dishes`` are structs with ``meal, vegetarian, vegan, contains_gluten, contains_lactose, prep_time_min, calories``,
     meal being mic_dejun / pranz / cina.  Valid day menus are listed first.  Without a repeat rule the lightest menu
-    serves every day; with it a state is the set of used dishes (one bit each, 56 at most) plus the count of
-    high-calorie dishes, and breakfasts are taken in rising order, so each set of days is built once.
+    serves every day.  With it, taking the lightest menu that shares no dish with those before is tried first; where that
+    finds no plan, a state is the set of used dishes plus the count of high-calorie ones, and breakfasts are taken in
+    rising order, so each set of days is built once.
     """
     c = constraints
     rules = {
@@ -336,7 +345,7 @@ def _recipe_meals(r: SimpleNamespace) -> Column:
             d["meal"].alias("meal"),
             d["calories"].cast("double").alias("kcal"),
             d["prep_time_min"].cast("double").alias("prep"),
-            shift_left(F.lit(1).cast("bigint"), n).alias("bit"),
+            n.alias("no"),
             (d["calories"].cast("double") > r.heavy_from).cast("int").alias("heavy"),
         ),
     )
@@ -364,9 +373,9 @@ def _recipe_menus(r: SimpleNamespace, m: SimpleNamespace) -> Column:
 
     def menu(b: Column, n: Column, d: Column) -> Column:
         return F.struct(
-            (b["bit"] + n["bit"] + d["bit"]).alias("bits"),
-            b["bit"].alias("first"),
             (b["heavy"] + n["heavy"] + d["heavy"]).alias("heavy"),
+            b["no"].alias("first"),
+            F.array(n["no"], d["no"]).alias("others"),
         )
 
     def dinners(b: Column, n: Column) -> Column:
@@ -374,7 +383,6 @@ def _recipe_menus(r: SimpleNamespace, m: SimpleNamespace) -> Column:
 
     values = {
         "menus": F.flatten(F.flatten(F.transform(m.b, lambda b: F.transform(m.n, lambda n: dinners(b, n))))),
-        "morning": F.aggregate(m.b, F.lit(0).cast("bigint"), lambda acc, b: acc + b["bit"]),
         "enough": (F.size(m.b) >= r.days) & (F.size(m.n) >= r.days) & (F.size(m.d) >= r.days),
     }
     return bound(values, lambda x: x.enough & _recipe_days(r, x))
@@ -383,21 +391,39 @@ def _recipe_menus(r: SimpleNamespace, m: SimpleNamespace) -> Column:
 def _recipe_days(r: SimpleNamespace, x: SimpleNamespace) -> Column:
     lightest = F.array_min(F.transform(x.menus, lambda v: v["heavy"]))
     repeated = (F.size(x.menus) > 0) & (lightest * r.days <= r.heavy_limit)
-    heavy_at = 56
+    none = F.array().cast("array<int>")
+
+    def take(s: Column, v: Column) -> Column:
+        fits = (s["n"] < r.days) & ~F.array_contains(s["used"], v["first"]) & ~F.arrays_overlap(s["used"], v["others"])
+        chosen = F.struct(
+            (s["n"] + 1).alias("n"),
+            (s["heavy"] + v["heavy"]).alias("heavy"),
+            F.concat(s["used"], F.array(v["first"]), v["others"]).alias("used"),
+        )
+        return F.when(fits, chosen).otherwise(s)
+
+    first = F.struct(F.lit(0).alias("n"), F.lit(0).alias("heavy"), none.alias("used"))
+    greedy = F.aggregate(F.array_sort(x.menus), first, take, lambda s: (s["n"] == r.days) & (s["heavy"] <= r.heavy_limit))
 
     def next_day(states: Column, _: Column) -> Column:
         def grow(s: Column) -> Column:
             fits = F.filter(
                 x.menus,
-                lambda v: (s.bitwiseAND(v["bits"]) == 0)
-                & (v["first"] > s.bitwiseAND(x.morning))
-                & (F.shiftright(s, heavy_at) + v["heavy"] <= r.heavy_limit),
+                lambda v: (v["first"] > s["last"])
+                & ~F.arrays_overlap(s["used"], v["others"])
+                & (s["heavy"] + v["heavy"] <= r.heavy_limit),
+            )
+            return F.transform(
+                fits,
+                lambda v: F.struct(
+                    v["first"].alias("last"),
+                    (s["heavy"] + v["heavy"]).alias("heavy"),
+                    F.array_sort(F.concat(s["used"], v["others"])).alias("used"),
+                ),
             )
-            return F.transform(fits, lambda v: s + v["bits"] + F.shiftleft(v["heavy"].cast("bigint"), heavy_at))
 
         return F.array_distinct(F.flatten(F.transform(states, grow)))
 
-    found = F.aggregate(
-        F.sequence(F.lit(1), r.days), F.array(F.lit(0).cast("bigint")), next_day, lambda s: F.size(s) > 0
-    )
-    return F.when(r.no_repeat, found).otherwise(F.coalesce(repeated, F.lit(False)))
+    start = F.struct(F.lit(-1).alias("last"), F.lit(0).alias("heavy"), none.alias("used"))
+    found = F.aggregate(F.sequence(F.lit(1), r.days), F.array(start), next_day, lambda s: F.size(s) > 0)
+    return F.when(r.no_repeat, F.when(greedy, True).otherwise(found)).otherwise(F.coalesce(repeated, F.lit(False)))

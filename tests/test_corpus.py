@@ -62,3 +62,122 @@ def test_travel_feasibility_matches_brute_force(spark):
     )
     got = {r.id: r.ok for r in df.select("id", fe.travel_feasible(F.col("pool"), F.col("days"), rules).alias("ok")).collect()}
     assert got == {n: brute_travel(pool, days, budget, kinds) for n, pool, days, budget, kinds in cases}
+
+
+def _constraints(**checks):
+    return F.array(*[F.struct(F.lit(f"check_{n}").alias("check_fn"), F.lit(p).alias("params")) for n, p in checks.items()])
+
+
+def test_wide_schedules(spark):
+    meeting = F.array(F.struct(F.lit("a").alias("name"), F.lit("high").alias("priority")))
+    for n in (2, 12, 13, 30):
+        days = [f"d{i}" for i in range(n)]
+        banned = ", ".join(f'"{d}"' for d in days[:-1])
+        for forbidden, want in ((banned, True), (f'{banned}, "{days[-1]}"', False)):
+            rules = _constraints(
+                keep_high_priority="{}", priority_day_restriction=f'{{"priority": "high", "forbidden_days": [{forbidden}]}}'
+            )
+            ok = fe.schedule_feasible(meeting, F.array(*[F.lit(d) for d in days]), F.array(F.lit("m"), F.lit("e")), rules)
+            assert spark.range(1).select(ok.alias("ok")).first().ok is want
+
+
+def brute_schedule(meetings, days, slots, rules):
+    cells = list(itertools.product(days, slots))
+
+    def accepted(kept):
+        n = {p: meetings.count(p) for p in ("high", "medium", "low")}
+        k = {p: sum(meetings[i] == p for i, _ in kept) for p in n}
+        if rules.get("keep") and k["high"] < n["high"] or len(kept) > rules.get("max", 99):
+            return False
+        if rules.get("drop") and (k["high"] < n["high"] or (k["low"] and k["medium"] < n["medium"])):
+            return False
+        return bool(rules.get("drop")) if not kept else len({cells[c][0] for _, c in kept}) >= rules.get("spread", 1)
+
+    def search(i, kept):
+        if i == len(meetings):
+            return accepted(kept)
+        if search(i + 1, kept):
+            return True
+        for c, (day, slot) in enumerate(cells):
+            taken = [cells[x] for _, x in kept]
+            if (day, slot) in taken or sum(d == day for d, _ in taken) >= rules.get("cap", 2):
+                continue
+            if meetings[i] == "medium" and day in rules.get("ban", ()):
+                continue
+            if meetings[i] == "high" and "slots" in rules and slot not in rules["slots"]:
+                continue
+            if search(i + 1, [*kept, (i, c)]):
+                return True
+        return False
+
+    return search(0, [])
+
+
+def test_schedule_feasibility_matches_brute_force(spark):
+    rng = random.Random(1)
+    options = {
+        "keep": ("check_keep_high_priority", lambda: (1, "{}")),
+        "drop": ("check_must_drop_lowest_priority", lambda: (1, "{}")),
+        "max": ("check_max_total_appointments", lambda: (n := rng.randrange(1, 4), f'{{"max_total": {n}}}')),
+        "spread": ("check_spread_across_days", lambda: (n := rng.randrange(1, 4), f'{{"min_days_with_appointments": {n}}}')),
+        "ban": ("check_priority_day_restriction", lambda: (["d0"], '{"priority": "medium", "forbidden_days": ["D0"]}')),
+        "slots": ("check_priority_slot_restriction", lambda: (["m"], '{"required_slots": ["m"]}')),
+        "cap": ("check_max_appointments_per_day", lambda: (1, '{"max_per_day": 1}')),
+    }
+    rows, want = [], {}
+    for n in range(80):
+        meetings = [rng.choice(("high", "medium", "low")) for _ in range(rng.randrange(1, 5))]
+        days, slots = [f"d{i}" for i in range(rng.randrange(1, 4))], ["m", "e"][: rng.randrange(1, 3)]
+        chosen = {k: (check, *make()) for k, (check, make) in options.items() if rng.random() < 0.5}
+        want[n] = brute_schedule(meetings, days, slots, {k: v for k, (_, v, _) in chosen.items()})
+        rows.append((n, [("x", m) for m in meetings], days, slots, [(check, text) for check, _, text in chosen.values()]))
+    df = spark.createDataFrame(
+        rows,
+        "id int, m array<struct<name:string,priority:string>>, days array<string>, slots array<string>, "
+        "rules array<struct<check_fn:string,params:string>>",
+    )
+    ok = fe.schedule_feasible(F.col("m"), F.col("days"), F.col("slots"), F.col("rules"))
+    assert {r.id: r.ok for r in df.select("id", ok.alias("ok")).collect()} == want
+    assert 0 < sum(want.values()) < len(want)
+
+
+def test_recipes_without_repeats(spark):
+    fields = "meal vegetarian vegan contains_gluten contains_lactose prep_time_min calories".split()
+
+    def dishes(sizes):
+        return F.array(
+            *[
+                F.struct(*[F.lit(v).alias(f) for f, v in zip(fields, (m, True, True, False, False, 10, c), strict=True)])
+                for m, cs in zip(("mic_dejun", "pranz", "cina"), sizes, strict=True)
+                for c in cs
+            ]
+        )
+
+    def feasible(sizes, days, **rules):
+        rules = _constraints(no_duplicates="{}", **rules)
+        return spark.range(1).select(fe.recipe_feasible(dishes(sizes), F.lit(days), rules).alias("ok")).first().ok
+
+    for n in (18, 22, 25):  # 54, 66 and 75 dishes
+        assert feasible([range(300, 300 + n)] * 3, 2)
+    assert not feasible([[1], [1, 2], [1, 2]], 2)
+    # the lightest menus collide: only the crossed pairs stay within the limit
+    limit = '{"max_calories": 13}'
+    assert feasible([[1, 9], [1, 2], [2, 10]], 2, max_daily_calories=limit)
+    assert not feasible([[1, 9], [1, 3], [2, 10]], 2, max_daily_calories='{"max_calories": 11}')
+
+
+def test_infeasible_ids_are_flagged(spark, monkeypatch):
+    tried = []
+
+    def build(requests, hard):
+        tried.extend(r.seed for r in requests.collect())
+        return requests.withColumn("feasible", F.col("seed").isin(1, 12, 10_003))
+
+    monkeypatch.setitem(co.wd.WORLDS, "travel", build)
+    asked = spark.createDataFrame([("a", 1, "easy"), ("b", 2, "easy"), ("c", 9, "hard"), ("d", 50, "hard")], "instance_id string, seed long, difficulty string")
+    base = {r.instance_id: (r.seed, r.feasible, r.attempts) for r in co.generate_feasible(asked, "travel", max_retries=4).collect()}
+    assert base == {"a": (1, True, 0), "b": (10_003, True, 2), "c": (10_011, False, 3), "d": (10_052, False, 3)}
+    hard = {r.instance_id: (r.seed, r.feasible, r.attempts) for r in co.generate_feasible(asked, "travel", True).collect()}
+    assert hard == {"a": (1, True, 0), "b": (11, False, 9), "c": (12, True, 3), "d": (59, False, 9)}
+    tried.clear()
+    assert co.generate_feasible(asked, "travel", max_retries=1).count() == 4 and len(tried) == 4

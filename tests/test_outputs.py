@@ -69,3 +69,13 @@ def test_score_formulas(spark):
     cols = "constraints_satisfied int, constraints_total int, format_satisfied int, format_total int, explanation_chars int"
     rows = sc.understanding(spark.createDataFrame([(2, 3, 5, 5, 80), (2, 3, 5, 5, 20)], cols)).collect()
     assert rows[0].U == pytest.approx(0.401852, abs=1e-6) and rows[1].U == pytest.approx(0.200926, abs=1e-6)
+
+
+def test_repeated_keys_and_brace_paths(spark):
+    texts = ['text {"day1": ["a"], "day1": ["b"]}', 'x {"a": {"b": 1}} y', "} { no", 'only {"a": 1} end', "{", "a } b"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, output string")
+    rows = {r.id: r for r in op.parse_outputs(df).select("id", "plan_json", "explanation", F.to_json("plan").alias("plan")).collect()}
+    assert rows[0].plan == '{"day1":["b"]}'
+    assert rows[1].plan_json == '{"a": {"b": 1}}' and rows[1].explanation == "x"
+    assert rows[3].plan_json == '{"a": 1}' and rows[3].explanation == "only"
+    assert all(rows[i].plan is None for i in (2, 4, 5))

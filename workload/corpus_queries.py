@@ -106,10 +106,8 @@ def _(spark, sf):
         F.lit(1.0).alias("duration_hours"),
         F.col("p_retailprice").cast("decimal(18,2)").alias("cost_lei"),
     )
-    # three places are chosen, so three of each kind and place are enough
-    kept = fe.cheapest_per_class(options, ["o_orderkey"], ["type", "indoor"], "cost_lei", ["id"], 3)
     fields = ["name", "type", "indoor", "family_friendly", "duration_hours", "cost_lei"]
-    pools = kept.groupBy("o_orderkey").agg(F.collect_list(F.struct(*fields)).alias("pool"))
+    pools = options.groupBy("o_orderkey").agg(F.collect_list(F.struct(*fields)).alias("pool"))
     rules = _rules(
         budget_limit='{"max_budget": 3600}',
         first_day_constraint='{"indoor_only": true}',
@@ -121,6 +119,31 @@ def _(spark, sf):
     return orders.join(tested, "o_orderkey", "left").na.fill(False, ["feasible"])
 
 
+def order_meetings(spark, sf):
+    """``o_orderkey, meetings``: one appointment per order line, its priority from the part's size."""
+    level = F.element_at(F.array(*[F.lit(x) for x in ("high", "medium", "low")]), (F.col("p_size") % 3 + 1).cast("int"))
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), level.alias("priority"))
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey").join(part, "l_partkey")
+    meeting = F.struct(F.lit("m").alias("name"), "priority")
+    return lines.groupBy("o_orderkey").agg(F.sort_array(F.collect_list(meeting)).alias("meetings"))
+
+
+def _labels(*names: str):
+    return F.array(*[F.lit(n) for n in names])
+
+
+def _for_all_orders(spark, sf, tested):
+    orders = table(spark, sf, "orders").select("o_orderkey")
+    return orders.join(tested, "o_orderkey", "left").na.fill(True, ["feasible"])
+
+
+def _each_problem_once(spark, sf, feasible):
+    """Many orders ask the same: each set of appointments is tested once."""
+    meetings = order_meetings(spark, sf)
+    tested = meetings.select("meetings").distinct().select("meetings", feasible.alias("feasible"))
+    return _for_all_orders(spark, sf, meetings.join(tested, "meetings").select("o_orderkey", "feasible"))
+
+
 @reg.add(
     "feasible_schedule",
     """SELECT o_orderkey, n = 0 OR (h <= 3 AND (h >= 2 OR (h = 1 AND n >= 2) OR (h = 0 AND n >= 2 AND l >= 1))) AS feasible
@@ -129,59 +152,97 @@ def _(spark, sf):
              FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey GROUP BY 1)""",
 )
 def _(spark, sf):
-    part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_size") % 3).alias("m"))
-    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
-    levels = {"high": 0, "medium": 1, "low": 2}
-    counts = lines.join(part, "l_partkey").groupBy("o_orderkey").agg(
-        *[F.count_if(F.col("m") == n).alias(lv) for lv, n in levels.items()]
-    )
-    # appointments of one priority are alike: four cells hold four, a fifth already shows that not all fit
-    alike = [F.array_repeat(F.lit(lv), F.least(F.col(lv), F.lit(5)).cast("int")) for lv in levels]
-    meetings = F.transform(F.concat(*alike), lambda lv: F.struct(F.lit("m").alias("name"), lv.alias("priority")))
     rules = _rules(
         keep_high_priority="{}",
         max_total_appointments='{"max_total": 3}',
         spread_across_days='{"min_days_with_appointments": 2}',
         priority_day_restriction='{"priority": "medium", "forbidden_days": ["marți"]}',
     )
-    days, slots = [F.array(*[F.lit(x) for x in v]) for v in (("Luni", "Marți"), ("dimineață", "după-amiază"))]
-    tested = counts.select("o_orderkey", fe.schedule_feasible(meetings, days, slots, rules).alias("feasible"))
-    orders = table(spark, sf, "orders").select("o_orderkey")
-    return orders.join(tested, "o_orderkey", "left").na.fill(True, ["feasible"])
+    days, slots = _labels("Luni", "Marți"), _labels("dimineață", "după-amiază")
+    return _each_problem_once(spark, sf, fe.schedule_feasible(F.col("meetings"), days, slots, rules))
 
 
+# thirteen days of two slots, two appointments at most; high priorities fit on the last day only
 @reg.add(
-    "feasible_recipe",
-    """WITH c AS (SELECT DISTINCT l_orderkey AS o, l_returnflag AS f, p_size AS s FROM lineitem JOIN part ON l_partkey = p_partkey),
-       ok AS (SELECT DISTINCT a.o FROM c a JOIN c n ON n.o = a.o JOIN c r ON r.o = a.o
-              WHERE a.f = 'A' AND n.f = 'N' AND r.f = 'R' AND (a.s + n.s + r.s) * 20 BETWEEN 600 AND 2000
-                AND n.s > a.s AND n.s > r.s AND a.s + n.s + r.s <= 90)
-       SELECT DISTINCT c.o AS o_orderkey, ok.o IS NOT NULL AS feasible FROM c LEFT JOIN ok ON ok.o = c.o""",
+    "feasible_schedule_wide",
+    """SELECT o_orderkey, n = 0 OR h <= 2 AS feasible
+       FROM (SELECT o_orderkey, count(l_orderkey) AS n, count(*) FILTER (WHERE p_size % 3 = 0) AS h
+             FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey GROUP BY 1)""",
 )
 def _(spark, sf):
-    part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size")
-    meal = F.when(F.col("l_returnflag") == "A", "mic_dejun").when(F.col("l_returnflag") == "N", "pranz")
-    # dishes of one meal and size are alike, and there are fifty sizes
-    alike = (
-        table(spark, sf, "lineitem")
-        .join(part, "l_partkey")
-        .select(F.col("l_orderkey").alias("o_orderkey"), meal.otherwise("cina").alias("meal"), "p_size")
-        .distinct()
+    names = [f"ziua {n}" for n in range(1, 14)]
+    banned = ", ".join(f'"{n}"' for n in names[:-1])
+    rules = _rules(
+        keep_high_priority="{}",
+        max_total_appointments='{"max_total": 2}',
+        priority_day_restriction=f'{{"priority": "high", "forbidden_days": [{banned}]}}',
     )
-    dish = F.struct(
+    return _each_problem_once(
+        spark, sf, fe.schedule_feasible(F.col("meetings"), _labels(*names), _labels("dimineață", "seara"), rules)
+    )
+
+
+def dish(size):
+    """A dish of a part's size: its preparation time, and twenty times as many calories."""
+    return F.struct(
         "meal",
         *[F.lit(v).alias(n) for n, v in {"vegetarian": True, "vegan": True, "contains_gluten": False,
                                          "contains_lactose": False}.items()],
-        F.col("p_size").alias("prep_time_min"),
-        (F.col("p_size") * 20).alias("calories"),
+        F.col(size).alias("prep_time_min"),
+        (F.col(size) * 20).alias("calories"),
     )
+
+
+def line_dishes(spark, sf):
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size")
+    meal = F.when(F.col("l_returnflag") == "A", "mic_dejun").when(F.col("l_returnflag") == "N", "pranz")
+    lines = table(spark, sf, "lineitem").join(part, "l_partkey")
+    return lines.select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", meal.otherwise("cina").alias("meal"), "p_size")
+
+
+@reg.add(
+    "feasible_recipe",
+    """WITH c AS (SELECT DISTINCT l_orderkey AS o, l_returnflag AS f, p_size AS s FROM lineitem JOIN part ON l_partkey = p_partkey),
+       ok AS (SELECT DISTINCT a.o FROM c a JOIN c n ON n.o = a.o JOIN c r ON r.o = a.o
+              WHERE a.f = 'A' AND n.f = 'N' AND r.f = 'R' AND (a.s + n.s + r.s) * 20 BETWEEN 600 AND 2000
+                AND n.s > a.s AND n.s > r.s AND a.s + n.s + r.s <= 90)
+       SELECT o_orderkey, ok.o IS NOT NULL OR NOT EXISTS (SELECT 1 FROM c WHERE c.o = o_orderkey) AS feasible
+       FROM orders LEFT JOIN ok ON ok.o = o_orderkey""",
+)
+def _(spark, sf):
     rules = _rules(
         calorie_range='{"min_calories": 600, "max_calories": 2000}',
         max_prep_time_per_day='{"max_prep_time": 90}',
         lunch_heaviest_meal="{}",
     )
-    menus = alike.groupBy("o_orderkey").agg(F.collect_list(dish).alias("dishes"))
-    return menus.select("o_orderkey", fe.recipe_feasible(F.col("dishes"), F.lit(1), rules).alias("feasible"))
+    menus = line_dishes(spark, sf).groupBy("o_orderkey").agg(F.collect_list(dish("p_size")).alias("dishes"))
+    tested = menus.select("o_orderkey", fe.recipe_feasible(F.col("dishes"), F.lit(1), rules).alias("feasible"))
+    return _for_all_orders(spark, sf, tested)
+
+
+# two days of three different dishes each, out of all that a customer has ordered (often more than 56); light enough
+# menus exist if the two lightest dishes of each meal can be paired up
+@reg.add(
+    "feasible_recipe_wide",
+    """WITH c AS (SELECT DISTINCT o_custkey AS k, l_returnflag AS f, l_partkey AS p, p_size AS s FROM orders
+                  JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
+       two AS (SELECT k, f, min(s) AS a, CASE WHEN count(*) > 1 THEN list_sort(list(s))[2] END AS b FROM c GROUP BY k, f),
+       m AS (SELECT k, max(a) FILTER (WHERE f = 'A') AS a1, max(b) FILTER (WHERE f = 'A') AS a2,
+                    max(a) FILTER (WHERE f = 'N') AS n1, max(b) FILTER (WHERE f = 'N') AS n2,
+                    max(a) FILTER (WHERE f = 'R') AS r1, max(b) FILTER (WHERE f = 'R') AS r2 FROM two GROUP BY k)
+       SELECT k AS o_custkey, coalesce(least(
+           CASE WHEN a2 + n2 + r2 IS NOT NULL THEN greatest(a1 + n1 + r1, a2 + n2 + r2) END,
+           CASE WHEN a2 + n2 + r2 IS NOT NULL THEN greatest(a1 + n1 + r2, a2 + n2 + r1) END,
+           CASE WHEN a2 + n2 + r2 IS NOT NULL THEN greatest(a1 + n2 + r1, a2 + n1 + r2) END,
+           CASE WHEN a2 + n2 + r2 IS NOT NULL THEN greatest(a1 + n2 + r2, a2 + n1 + r1) END) <= 30, false) AS feasible
+       FROM m""",
+)
+def _(spark, sf):
+    rules = _rules(no_duplicates="{}", max_daily_calories='{"max_calories": 600}')
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    lines = line_dishes(spark, sf).join(orders, "o_orderkey").select("o_custkey", "l_partkey", "meal", "p_size").distinct()
+    menus = lines.groupBy("o_custkey").agg(F.collect_list(dish("p_size")).alias("dishes"))
+    return menus.select("o_custkey", fe.recipe_feasible(F.col("dishes"), F.lit(2), rules).alias("feasible"))
 
 
 # --- inflected forms ---------------------------------------------------------------------------------------------------
