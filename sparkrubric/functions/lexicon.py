@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkrubric.functions import text as tx
+
 # --- fixed values ------------------------------------------------------------------------------------------
 # ASCII spelling : accepted Romanian spellings
 VALID_SPELLINGS = """
@@ -100,10 +102,10 @@ CRITICAL_WORDS = "si in sa ca la"
 
 # Base words for the default English list; inflected forms are derived, see ``inflect``.
 ENGLISH_VERB_STEMS = """
-    want look walk talk start help need work seem call ask visit explore enjoy recommend schedule allow ensure
-    include require provide consider prefer avoid arrange suit match explain suggest indicate offer create
+    want walk talk start help need work seem call ask visit explore enjoy recommend schedule allow ensure
+    include require provide consider avoid arrange suit match explain suggest indicate offer create
     finish achieve reach follow list add remove assign allocate organize maintain play watch stay wait happen
-    change believe remember learn receive turn move live open close experience
+    change believe remember learn receive turn move close experience
 """
 ENGLISH_NOUN_STEMS = """
     thing year way day week hand place case question government number night point home room mother father
@@ -124,12 +126,9 @@ ENGLISH_PLAIN = """
     another yet once indoor outdoor suitable friendly
 """
 
-_STRIP = str.maketrans("ăâîșțşţĂÂÎȘȚŞŢ", "aaistst" + "AAISTST")
-
-
 def strip_word(word: str) -> str:
     """Driver-side twin of ``text.strip_diacritics`` for building literal sets."""
-    return word.translate(_STRIP)
+    return word.translate(str.maketrans(tx.ACCENTED, tx.PLAIN))
 
 
 def valid_spellings() -> dict[str, list[str]]:

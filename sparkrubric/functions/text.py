@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values ------------------------------------------------------------------------------------------
@@ -17,6 +17,9 @@ WORD_PATTERN = r"[a-zA-ZăâîșțĂÂÎȘȚ]+(?:[-'][a-zA-ZăâîșțĂÂÎȘȚ
 NUMBER_PATTERN = r"[0-9]+(?:[.,][0-9]+)*"
 DIACRITICS = "ăâîșț"
 MATCH_PUNCTUATION = '.,;:!?"()[]{}'
+# letters with diacritics, and the plain letters they stand for
+ACCENTED = "ăâîșțşţĂÂÎȘȚŞŢ"
+PLAIN = "aaiststAAISTST"
 # --- end of fixed values -----------------------------------------------------------------------------------
 
 SPACE = f"[{SPACE_CHARS}]"
@@ -41,7 +44,7 @@ def normalize_diacritics(text: Column | str) -> Column:
 
 
 def strip_diacritics(text: Column | str) -> Column:
-    return F.translate(_col(text), "ăâîșțşţĂÂÎȘȚŞŢ", "aaistst" + "AAISTST")
+    return F.translate(_col(text), ACCENTED, PLAIN)
 
 
 def has_romanian_diacritics(text: Column | str) -> Column:
@@ -83,18 +86,40 @@ def trim_space(text: Column | str) -> Column:
     return F.regexp_replace(_col(text), f"^{SPACE}+|{SPACE}+$", "")
 
 
+#: Pieces whose lengths are added up together; keeps the work on a long text from growing with its square.
+RUN = 64
+
+
+def running_ends(pieces: Column) -> Column:
+    """Summed lengths of the pieces up to and including each."""
+
+    def total(lengths: Column) -> Column:
+        return F.aggregate(lengths, F.lit(0), lambda a, b: a + b)
+
+    def ends(runs: Column) -> Column:
+        before = F.aggregate(
+            runs, F.array(F.lit(0)), lambda acc, run: F.concat(acc, F.array(F.element_at(acc, -1) + total(run)))
+        )
+        inside = lambda run, at: F.transform(run, lambda _, i: at + total(F.slice(run, 1, i + 1)))
+        return let(before, lambda starts: F.flatten(F.transform(runs, lambda run, r: inside(run, F.get(starts, r)))))
+
+    numbers = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(pieces) / RUN).cast("int") - 1, F.lit(0)))
+    lengths = F.transform(pieces, F.char_length)
+    return let(lengths, lambda x: let(F.transform(numbers, lambda r: F.slice(x, r * RUN + 1, RUN)), ends))
+
+
 def tokens(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """Token table ``(keys, pos, token, lower, start, end, is_word)``, one row per token.
 
-    Each extracted piece is the blank run before a token plus the token, so offsets are running lengths within
-    one document.
+    Each extracted piece is the blank run before a token plus the token, so offsets are running lengths, added up inside
+    the row.
     """
     piece = F.regexp_extract_all(F.col(text), F.lit(f"({SPACE}*)({TOKEN_PATTERN})"), F.lit(0))
-    doc = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     token = F.regexp_replace("piece", f"^{SPACE}+", "")
+    placed = let(piece, lambda p: F.arrays_zip(p.alias("piece"), running_ends(p).alias("end")))
     return (
-        df.select(*keys, F.posexplode(piece).alias("pos", "piece"))
-        .withColumn("end", F.sum(F.char_length("piece")).over(doc).cast("int"))
+        df.select(*keys, F.posexplode(placed).alias("pos", "x"))
+        .select(*keys, "pos", F.col("x.piece"), F.col("x.end"))
         .withColumn("token", token)
         .select(
             *keys,

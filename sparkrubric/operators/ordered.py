@@ -8,13 +8,28 @@ from pyspark.sql import functions as F
 from sparkrubric.functions import text as tx
 
 
-def running_index(df: DataFrame, keys: list[str], bucket: Column, order: list[str], name: str = "pos") -> DataFrame:
+def range_bucket(df: DataFrame, column: str, rows_per_bucket: int = 1 << 20) -> Column:
+    """A bucket number that rises with a numeric column, from its range and the number of rows: about
+    ``rows_per_bucket`` rows each where values are even, and 65,536 buckets at most, so that neither a bucket nor the list
+    of a key's buckets outgrows a task."""
+    found = df.agg(F.min(column).alias("low"), F.max(column).alias("high"), F.count(F.lit(1)).alias("n")).first()
+    n = max(1, min(1 << 16, -(-found["n"] // rows_per_bucket)))
+    if found["low"] is None or n == 1:
+        return F.lit(0)
+    width = (float(found["high"]) - float(found["low"])) / n or 1.0
+    return F.coalesce(F.floor((F.col(column) - F.lit(found["low"])) / F.lit(width)).cast("int"), F.lit(-1))
+
+
+def running_index(
+    df: DataFrame, keys: list[str], bucket: Column | str, order: list[str], name: str = "pos"
+) -> DataFrame:
     """Add the 0-based position of each row within its key and the key's row count (``{name}_of``).
 
-    ``bucket`` must not decrease along ``order``.  Rows are ranked within (key, bucket), and bucket sizes, summed on the
-    map side, give the offset; so a hot key is spread over its buckets instead of being sorted in one task.
+    ``bucket`` must not decrease along ``order``; a column name stands for ``range_bucket`` of it.  Rows are ranked within
+    (key, bucket), and bucket sizes, summed on the map side, give the offset; so a hot key is spread over its buckets
+    instead of being sorted in one task.
     """
-    marked = df.withColumn("_bucket", bucket)
+    marked = df.withColumn("_bucket", range_bucket(df, bucket) if isinstance(bucket, str) else bucket)
     sizes = marked.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
@@ -44,7 +59,7 @@ def difficulty_by_position(position: Column, total: Column) -> Column:
     return F.when(position < total * 0.4, "easy").when(position < total * 0.8, "medium").otherwise("hard")
 
 
-def disambiguate(df: DataFrame, keys: list[str], name: str, bucket: Column, order: list[str]) -> DataFrame:
+def disambiguate(df: DataFrame, keys: list[str], name: str, bucket: Column | str, order: list[str]) -> DataFrame:
     """Add ``unique_name``: names that repeat within a key get their running number."""
     indexed = running_index(df, [*keys, name], bucket, order, "_nth")
     numbered = F.concat(F.col(name), F.lit(" ("), (F.col("_nth") + 1).cast("string"), F.lit(")"))

@@ -29,11 +29,13 @@ def read_instances(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_outputs(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Output rows with ``run_id`` (file name without extension) and ``row_pos``, which follows line order in a file."""
+    """Output rows with ``run_id`` (file name without extension), ``run_path`` (the whole path, which tells files of one name
+    in different folders apart) and ``row_pos``, which follows line order in a file."""
     raw = spark.read.schema(OUTPUT_SCHEMA).json(path)
     return raw.select(
         "*",
         F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("run_id"),
+        F.col("_metadata.file_path").alias("run_path"),
         F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("row_pos"),
     )
 

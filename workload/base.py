@@ -63,7 +63,7 @@ def r6(column: Column | str) -> Column:
 
 
 def strip_sql(x: str) -> str:
-    return f"translate({x}, 'ăâîșțşţĂÂÎȘȚŞŢ', 'aaisttsAAISTTS')".replace("aaisttsAAISTTS", "aaistst" + "AAISTST")
+    return f"translate({x}, '{tx.ACCENTED}', '{tx.PLAIN}')"
 
 
 def normalize_sql(x: str) -> str:

@@ -235,12 +235,12 @@ def answers(spark, sf):
     )
     asked = (
         table(spark, sf, "customer")
-        .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .select(
             "c_custkey", "n_name", spelled.alias("ref"), ((F.col("n_regionkey") + F.col("c_custkey") % 3) % 5).alias("r")
         )
     )
-    return asked.join(F.broadcast(facts), F.col("r") == F.col("n_regionkey")).select(
+    return asked.join(facts, F.col("r") == F.col("n_regionkey")).select(
         "c_custkey", "n_name", "facts", "ref", F.lit("answer").alias("key"), F.lit("string").alias("kind"),
         F.lit(True).alias("truthy"),
     )

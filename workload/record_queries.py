@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkrubric.functions import outputs as op
@@ -105,12 +108,11 @@ def _(spark, sf):
     "sink_metrics_json",
     f"""SELECT md5(to_json({{'doc_id': doc_id, 'source': source, 'lang': lang,
                              'n_words': {count_sql('text', tx.NON_SPACE + '+')}::BIGINT,
-                             'head': substr(text, 1, 40)}})) AS digest, doc_id FROM documents""",
+                             'text': text}})) AS digest, doc_id FROM documents""",
 )
 def _(spark, sf):
     docs = table(spark, sf, "documents").select(
-        "doc_id", "source", "lang", tx.space_word_count("text").cast("bigint").alias("n_words"),
-        F.substring("text", 1, 40).alias("head"),
+        "doc_id", "source", "lang", tx.space_word_count("text").cast("bigint").alias("n_words"), "text",
     )
     return docs.select("doc_id", F.md5(tb.as_json(docs)).alias("digest"))
 
@@ -409,17 +411,17 @@ def _(spark, sf):
 @reg.add(
     "missing_entity_names",
     f"""WITH {_FOUND},
-        plan AS (SELECT doc_id, item_id, md5(text) AS name FROM
-                 (SELECT doc_id, unnest([doc_id % 4, doc_id % 4 + 4, -1]) AS item_id FROM documents)
-                 LEFT JOIN benchmark USING (item_id))
+        plan AS (SELECT d.doc_id, b.item_id, md5(b.text) AS name FROM documents d JOIN benchmark b ON b.item_id % 4 = d.doc_id % 4
+                 UNION ALL SELECT doc_id, -1, NULL FROM documents)
         SELECT doc_id, item_id, coalesce(name, '(unknown entity)') AS name FROM plan
         WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.doc_id = plan.doc_id AND f.item_id = plan.item_id)""",
 )
 def _(spark, sf):
-    residue = F.col("doc_id") % 4
-    planned = table(spark, sf, "documents").select(
-        "doc_id", F.explode(F.array(residue, residue + 4, F.lit(-1).cast("bigint"))).alias("item_id")
-    )
+    # each document plans all items of its residue, and one that does not exist
+    documents = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 4).alias("residue"))
+    items = table(spark, sf, "benchmark").select("item_id", (F.col("item_id") % 4).alias("residue"))
+    planned = documents.join(items, "residue").select("doc_id", "item_id")
+    planned = planned.unionByName(documents.select("doc_id", F.lit(-1).cast("bigint").alias("item_id")))
     gone = planned.join(mentioned(spark, sf), ["doc_id", "item_id"], "left_anti")
     names = table(spark, sf, "benchmark").select("item_id", F.md5("text").alias("name"))
     return rp.missing_names(gone, names, [], "item_id", "name")
@@ -689,26 +691,22 @@ def _(spark, sf):
     return d.select("instance_id", *_scores(d, "delta_U", "delta_R", "delta_F"), "is_large").orderBy("instance_id")
 
 
+SOURCES = [f"src{n}" for n in range(20)]
+
+
 @reg.add(
     "model_table",
     report_sql()
-    + """SELECT n_words AS words, round(max(g) FILTER (WHERE source = 'src0'), 6) AS src0,
-                round(max(g) FILTER (WHERE source = 'src1'), 6) AS src1,
-                round(max(g) FILTER (WHERE source = 'src2'), 6) AS src2 FROM
-         (SELECT n_words::INT AS n_words, source, max(g) AS g FROM report GROUP BY 1, 2) GROUP BY 1
-         HAVING src0 IS NOT NULL OR src1 IS NOT NULL OR src2 IS NOT NULL""",
+    + "SELECT n_words AS words, "
+    + ", ".join(f"round(max(g) FILTER (WHERE source = '{m}'), 6) AS {m}" for m in SOURCES)
+    + " FROM (SELECT n_words::INT AS n_words, source, max(g) AS g FROM report GROUP BY 1, 2) GROUP BY 1",
 )
 def _(spark, sf):
     # one "instance" per text length, the best score of each source as its model's result
-    models = ["src0", "src1", "src2"]
     scored = ql.text_quality(documents(spark, sf), "ro_text", detail=False)
-    results = (
-        scored.where(F.col("source").isin(models))
-        .groupBy(F.col("n_words").alias("words"), "source")
-        .agg(F.max("G").alias("G"))
-    )
-    wide = rp.model_table(results, "words", "source", models, r6("G"))
-    return wide.select("words", *models)
+    results = scored.groupBy(F.col("n_words").alias("words"), "source").agg(F.max("G").alias("G"))
+    wide = rp.model_table(results, "words", "source", SOURCES, r6("G"))
+    return wide.select("words", *SOURCES)
 
 
 # --- aggregates over plans ---------------------------------------------------------------------------------------------
@@ -790,15 +788,11 @@ def _(spark, sf):
         (SELECT doc_id, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS phrase
          FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i
                FROM (SELECT doc_id, regexp_extract_all(lower(text), {quote(tx.WORD_CHAR + '+')}) AS words FROM documents)))
-        GROUP BY 1 HAVING count(*) >= 10""",
+        GROUP BY 1""",
 )
 def _(spark, sf):
     grams = od.trigrams(table(spark, sf, "documents"), ["doc_id"], "text")
-    return (
-        grams.groupBy("trigram")
-        .agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs"))
-        .where("n >= 10")
-    )
+    return grams.groupBy("trigram").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
 _LINE_ORDER = ["l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate"]
@@ -816,7 +810,7 @@ def order_lines(spark, sf):
 )
 def _(spark, sf):
     indexed = od.running_index(
-        order_lines(spark, sf), ["l_orderkey"], F.floor(F.col("l_partkey") / 256), _LINE_ORDER
+        order_lines(spark, sf), ["l_orderkey"], "l_partkey", _LINE_ORDER
     )
     days = indexed.withColumn("day", od.round_robin(F.col("pos"), 3))
     return days.groupBy("l_orderkey", "day").agg(F.count(F.lit(1)).alias("n"), F.sum("l_partkey").alias("parts"))
@@ -831,7 +825,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
-    indexed = od.running_index(orders, ["o_orderpriority"], F.floor(F.col("o_orderkey") / 4096), ["o_orderkey"])
+    indexed = od.running_index(orders, ["o_orderpriority"], "o_orderkey", ["o_orderkey"])
     marked = indexed.withColumn("difficulty", od.difficulty_by_position(F.col("pos"), F.col("pos_of")))
     return marked.groupBy("o_orderpriority", "difficulty").agg(
         F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key")
@@ -849,7 +843,7 @@ def _(spark, sf):
 def _(spark, sf):
     names = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
     lines = order_lines(spark, sf).join(names, "l_partkey")
-    unique = od.disambiguate(lines, ["l_orderkey"], "p_name", F.floor(F.col("l_partkey") / 256), _LINE_ORDER)
+    unique = od.disambiguate(lines, ["l_orderkey"], "p_name", "l_partkey", _LINE_ORDER)
     return unique.groupBy("l_orderkey", "unique_name").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -880,18 +874,23 @@ def _(spark, sf):
 
 
 # --- sets ------------------------------------------------------------------------------------------------------------------
+WORLDS_BY_PRIORITY = {"1": "urgent", "2": "high", "3": "medium", "4": "unset", "5": "low"}
+
+
 @reg.add(
     "union_worlds",
-    "SELECT o_orderkey, 'urgent' AS world_type FROM orders WHERE o_orderpriority LIKE '1%' UNION ALL "
-    "SELECT o_orderkey, 'low' FROM orders WHERE o_orderpriority LIKE '5%'",
+    " UNION ALL ".join(
+        f"SELECT o_orderkey, '{name}' AS world_type FROM orders WHERE o_orderpriority LIKE '{p}%'"
+        for p, name in WORLDS_BY_PRIORITY.items()
+    ),
 )
 def _(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
     worlds = [
         orders.where(F.col("o_orderpriority").startswith(p)).select("o_orderkey", F.lit(name).alias("world_type"))
-        for p, name in (("1", "urgent"), ("5", "low"))
+        for p, name in WORLDS_BY_PRIORITY.items()
     ]
-    return worlds[0].unionByName(worlds[1])
+    return reduce(DataFrame.unionByName, worlds)
 
 
 @reg.add(
@@ -959,10 +958,11 @@ _LEMMA = "CASE WHEN w LIKE '%ing' THEN left(w, length(w) - 3) ELSE w END"
 
 @reg.add(
     "text_lemmas",
-    f"""SELECT doc_id, count(DISTINCT {_LEMMA}) AS n_lemmas, count(DISTINCT {_LEMMA}) FILTER
+    f"""SELECT documents.doc_id, coalesce(n_lemmas, 0) AS n_lemmas, coalesce(n_terms, 0) AS n_terms FROM documents LEFT JOIN (
+        SELECT doc_id, count(DISTINCT {_LEMMA}) AS n_lemmas, count(DISTINCT {_LEMMA}) FILTER
               (WHERE {_LEMMA} IN ('the', 'and', 'reest')) AS n_terms
         FROM (SELECT doc_id, unnest(regexp_extract_all({match_sql('text')}, '[A-Za-zăâîșțĂÂÎȘȚ]+')) AS w FROM documents)
-        GROUP BY 1""",
+        GROUP BY 1) USING (doc_id)""",
 )
 def _(spark, sf):
     docs = table(spark, sf, "documents")
@@ -980,4 +980,4 @@ def _(spark, sf):
         "doc_id",
         F.size("lemmas").cast("bigint").alias("n_lemmas"),
         F.size(F.array_intersect("lemmas", terms)).cast("bigint").alias("n_terms"),
-    ).where("n_lemmas > 0")
+    )
