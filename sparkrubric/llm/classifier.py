@@ -99,28 +99,41 @@ def train_vectors(sample: DataFrame, vocabulary: int = 8192) -> WordVectors:
     known = np.sort(np.array([r["word"] for r in top], np.int64).view(np.uint64))
     vocab = WordVectors(known, np.empty((0, DIM)))
 
+    def listed(words: np.ndarray, vectors: np.ndarray) -> pa.RecordBatch:
+        offsets = pa.array(np.arange(len(words) + 1) * DIM, pa.int32())
+        lists = pa.ListArray.from_arrays(offsets, pa.array(vectors.ravel().astype(np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64)), lists], ["word", "vector"])
+
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(known), DIM), np.int64)
+        sums = np.zeros(len(known) * DIM)
         for batch in batches:
-            for text in batch.column("text").cast(pa.binary()):
-                hashes = word_hashes(text.as_py())
-                for at in range(0, len(hashes), WORDS_AT_ONCE):
-                    part = hashes[at : at + WORDS_AT_ONCE]
-                    places, own = vocab.places(part), index_vectors(part)
-                    for step in range(1, REACH + 1):
-                        for a, b in ((places[:-step], own[step:]), (places[step:], own[:-step])):
-                            np.add.at(sums, a[a >= 0], b[a >= 0])
-        rows = np.flatnonzero(sums.any(axis=1))
-        vectors = pa.array(sums[rows].tolist(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), vectors], ["word", "vector"])
+            # all texts of the batch in a row, with gaps that are no word's neighbours
+            parts = [word_hashes(text.as_py()) for text in batch.column("text").cast(pa.binary())]
+            gap = np.zeros(REACH, np.uint64)
+            hashes = np.concatenate([x for p in parts for x in (p, gap)] or [gap])
+            real = np.concatenate([x for p in parts for x in (np.ones(len(p), bool), gap.astype(bool))] or [gap.astype(bool)])
+            for at in range(0, len(hashes), WORDS_AT_ONCE):
+                part, there = hashes[at : at + WORDS_AT_ONCE + REACH], real[at : at + WORDS_AT_ONCE + REACH]
+                places, (spots, signs) = np.where(there, vocab.places(part), -1), _entries(part)
+                signs = signs * there[:, None]
+                for step in range(1, REACH + 1):
+                    n = max(0, min(WORDS_AT_ONCE, len(part) - step))
+                    left, right = np.arange(n), np.arange(n) + step
+                    for word, other in ((left, right), (right, left)):
+                        word, other = word[places[word] >= 0], other[places[word] >= 0]
+                        keys = places[word][:, None] * DIM + spots[other]
+                        sums += np.bincount(keys.ravel(), signs[other].ravel(), len(sums))
+        table = sums.reshape(-1, DIM)
+        rows = np.flatnonzero(table.any(axis=1))
+        yield listed(rows, table[rows])
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for word, vector in zip(batch.column("word").to_pylist(), batch.column("vector").to_pylist(), strict=True):
-                sums[word] = sums[word] + np.array(vector) if word in sums else np.array(vector)
-        vectors = pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), vectors], ["word", "vector"])
+            table = batch.column("vector").flatten().to_numpy().reshape(-1, DIM)
+            for word, vector in zip(batch.column("word").to_pylist(), table, strict=True):
+                sums[word] = sums[word] + vector if word in sums else vector.copy()
+        yield listed(np.array(list(sums), np.int64), np.array(list(sums.values()) or np.empty((0, DIM))))
 
     schema = "word long, vector array<long>"
     parts = sample.select("text").mapInArrow(contexts, schema).repartition("word").mapInArrow(added, schema)
