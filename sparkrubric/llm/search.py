@@ -37,28 +37,32 @@ def text_terms(text: bytes | None) -> tuple[int, np.ndarray, np.ndarray]:
     return len(hashes), terms, counts
 
 
-def _terms(bits: np.ndarray | None):
-    """With ``bits``: only terms whose bit is set."""
-
-    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = None if bits is None else np.unpackbits(bits).astype(bool)
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lengths, all_terms, all_counts, ends = [], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [0]
+        for text in batch.column("text").cast(pa.binary()):
+            n, own, counts = text_terms(text.as_py())
+            lengths.append(n)
+            all_terms.append(own)
+            all_counts.append(counts)
+            ends.append(ends[-1] + len(own))
+        flat = [pa.array(np.concatenate(all_terms)), pa.array(np.concatenate(all_counts), pa.int32())]
+        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), v) for v in flat]
+        columns = [batch.column("doc_id"), pa.array(lengths, pa.int32()), *lists]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "length", "terms", "counts"])
+
+
+def _frequencies(bits: np.ndarray):
+    """In how many rows of a batch each term lies, for terms whose bit is set."""
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.unpackbits(bits).astype(bool)
         for batch in batches:
-            lengths, all_terms, all_counts, ends = [], [], [], [0]
-            for text in batch.column("text").cast(pa.binary()):
-                n, own, counts = text_terms(text.as_py())
-                if flags is not None:
-                    asked = flags[own & (FILTER_BITS - 1)]
-                    own, counts = own[asked], counts[asked]
-                lengths.append(n)
-                all_terms.append(own)
-                all_counts.append(counts)
-                ends.append(ends[-1] + len(own))
-            flat = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (all_terms, all_counts)]
-            offsets = pa.array(ends, pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(v, k)) for v, k in zip(flat, (pa.int64(), pa.int32()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lengths, pa.int32()), *lists], ["doc_id", "length", "terms", "counts"])
-
-    return terms
+            terms = batch.column("terms").flatten().to_numpy(zero_copy_only=False)
+            terms, df = np.unique(terms[flags[terms & (FILTER_BITS - 1)]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(df, pa.int64())], ["term", "df"])
+
+    return frequencies
 
 
 def _term_bits(queries: DataFrame) -> np.ndarray:
@@ -77,14 +81,16 @@ class Shard:
     """Inverted index of some documents, with their own term lists to score candidates exactly."""
 
     def __init__(self, ids: list, lengths: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], mean_length: float) -> None:
-        self.ids, self.terms, self.counts = ids, terms, counts
+        self.ids = ids
         self.norm = K1 * (1 - B + B * lengths / (mean_length or 1.0))
-        sizes = [len(t) for t in terms]
-        docs = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
-        flat, tf = np.concatenate([*terms, np.empty(0, np.int64)]), np.concatenate([*counts, np.empty(0, np.int64)])
-        order = np.argsort(flat, kind="stable")
-        flat, self.docs = flat[order], docs[order]
-        self.impacts = (tf[order] * (K1 + 1) / (tf[order] + self.norm[self.docs])).astype(np.float32)
+        self.ends = np.cumsum([0, *map(len, terms)])
+        self.own_terms = np.concatenate([*terms, np.empty(0, np.int64)])
+        self.own_counts = np.concatenate([*counts, np.empty(0, np.int32)])
+        docs = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(self.ends))
+        order = np.argsort(self.own_terms, kind="stable")
+        flat, self.docs, tf = self.own_terms[order], docs[order], self.own_counts[order]
+        del order, docs
+        self.impacts = (tf * (K1 + 1) / (tf + self.norm[self.docs])).astype(np.float32)
         starts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.empty(0, int)
         self.known, self.starts = flat[starts], np.r_[starts, len(flat)]
         self.most = np.maximum.reduceat(self.impacts, starts) if len(starts) else np.empty(0, np.float32)
@@ -105,12 +111,13 @@ class Shard:
         return np.bincount(keys[rows], values[rows] * np.repeat(weights, sizes), size)
 
     def score(self, doc: int, terms: np.ndarray, weights: np.ndarray) -> float:
-        own = self.terms[doc]
+        mine = slice(self.ends[doc], self.ends[doc + 1])
+        own = self.own_terms[mine]
         if not len(own):
             return 0.0
         at = np.minimum(np.searchsorted(own, terms), len(own) - 1)
         hit = own[at] == terms
-        tf = self.counts[doc][at[hit]]
+        tf = self.own_counts[mine][at[hit]]
         return float((weights[hit] * (tf * (K1 + 1) / (tf + self.norm[doc]))).sum())
 
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
@@ -169,27 +176,28 @@ def _search(k: int, mean_length: float):
             found: list[tuple] = []
             shards, kinds, ids, queries, lengths = (batch.column(c).to_pylist() for c in ("shard", "kind", "doc_id", "query", "length"))
             terms, counts, weights = (batch.column(c) for c in ("terms", "counts", "weights"))
-            for n in range(len(batch)):
-                if shards[n] != shard:
-                    shard, index, rows = shards[n], None, []
-                own = terms[n].values.to_numpy(zero_copy_only=False)
-                if kinds[n] == 0:
-                    rows.append((ids[n], lengths[n], own.copy(), counts[n].values.to_numpy(zero_copy_only=False).copy()))
+            for i in range(len(batch)):
+                if shards[i] != shard:
+                    shard, index, rows = shards[i], None, []
+                own, numbers = (x[i].values.to_numpy(zero_copy_only=False) for x in (terms, weights if kinds[i] else counts))
+                if kinds[i] == 0:
+                    rows.append((ids[i], lengths[i], own.copy(), numbers.copy()))
                     continue
                 if index is None:
                     columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-                    index = Shard(list(columns[0]), np.array(columns[1], float), list(columns[2]), list(columns[3]), mean_length)
                     rows = []
-                for score, doc in index.top(own, weights[n].values.to_numpy(zero_copy_only=False), k):
-                    found.append((queries[n], ids[n], index.ids[doc], score))
+                    index = Shard(list(columns[0]), np.array(columns[1], float), columns[2], columns[3], mean_length)
+                    del columns
+                for score, doc in index.top(own, numbers, k):
+                    found.append((queries[i], ids[i], index.ids[doc], score))
             kinds_of = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
-            columns = [pa.array([f[n] for f in found], kind) for n, kind in enumerate(kinds_of)]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            arrays = [pa.array([f[j] for f in found], kind) for j, kind in enumerate(kinds_of)]
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
     return searched
 
 
-def search(documents: DataFrame, queries: DataFrame, k: int = 10, shard_documents: int = 16384) -> DataFrame:
+def search(documents: DataFrame, queries: DataFrame, k: int = 10, shard_documents: int = 32768) -> DataFrame:
     """``(query_id, rank, doc_id, score)``: the ``k`` best rows of ``documents(doc_id, text)`` for each row of
     ``queries(doc_id, text)``, whose whole text is the query; its different terms count once each.
 
@@ -200,29 +208,31 @@ def search(documents: DataFrame, queries: DataFrame, k: int = 10, shard_document
     spark = documents.sparkSession
     ready_for_python(spark)
     asked = queries.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    asked = asked.mapInArrow(_terms(None), TERMS_SCHEMA).where(F.size("terms") > 0)
+    asked = asked.mapInArrow(_terms, TERMS_SCHEMA).where(F.size("terms") > 0)
     asked = written(asked.select(F.monotonically_increasing_id().alias("query"), "doc_id", "terms"), "queries")
     texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    # terms that no query asks for stay behind; lengths count them
-    rows = written(texts.mapInArrow(_terms(_term_bits(asked)), TERMS_SCHEMA), "terms")
+    rows = written(texts.mapInArrow(_terms, TERMS_SCHEMA), "terms")
     total = rows.agg(F.count("*").alias("n"), F.sum("length").alias("length")).first()
     n, mean_length = total["n"], (total["length"] or 0) / max(1, total["n"])
 
-    frequency = written(rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")), "frequency")
+    # document frequencies of the queries' terms (and few others: the filter is by hash)
+    frequency = rows.select("terms").mapInArrow(_frequencies(_term_bits(asked)), "term long, df long")
+    frequency = written(frequency.groupBy("term").agg(F.sum("df").alias("df")), "frequency")
     pairs = asked.select("query", "doc_id", F.explode("terms").alias("term")).join(frequency, "term")
     idf = F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    pairs = pairs.groupBy("query").agg(F.max("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("term", idf.alias("idf")))).alias("pairs"))
+    pairs = pairs.groupBy("query").agg(
+        F.max("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("term", idf.alias("idf")))).alias("pairs")
+    )
 
     n_shards = max(1, -(-n // shard_documents))
-    none = F.lit(None)
     shard = F.pmod(F.xxhash64("doc_id", "length", "terms"), F.lit(n_shards)).cast("int")
     index_rows = rows.select(
-        shard.alias("shard"), F.lit(0).alias("kind"), "doc_id", none.cast("long").alias("query"), "length", "terms", "counts",
-        none.cast("array<double>").alias("weights"),
+        shard.alias("shard"), F.lit(0).alias("kind"), "doc_id", F.lit(None).cast("long").alias("query"), "length", "terms", "counts",
+        F.lit(None).cast("array<double>").alias("weights"),
     )
     query_rows = pairs.select(
         F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"), F.lit(1).alias("kind"), "doc_id", "query",
-        none.cast("int").alias("length"), F.col("pairs.term").alias("terms"), none.cast("array<int>").alias("counts"),
+        F.lit(None).cast("int").alias("length"), F.col("pairs.term").alias("terms"), F.lit(None).cast("array<int>").alias("counts"),
         F.col("pairs.idf").alias("weights"),
     )
     dealt = index_rows.unionByName(query_rows).repartition("shard").sortWithinPartitions("shard", "kind")
