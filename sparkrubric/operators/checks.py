@@ -652,6 +652,61 @@ def run_check(rows: DataFrame, keys: list[str], name: str, **params) -> DataFram
     return _evaluate(rows, keys, [(None, check)]).select(*keys, "satisfied")
 
 
+def run_literal_checks(rows: DataFrame, keys: list[str], specs: dict[str, dict]) -> DataFrame:
+    """``keys`` and one boolean column per check, for checks whose parameters are the same for every plan.
+
+    Checks are columns side by side, so item rows are neither multiplied nor is a parameter parsed again.  The items of a
+    plan are brought together once; checks over the whole plan then take one aggregation, checks over a unit two, and
+    none of them a further exchange.  For plans too large for one task use ``run_checks``, which adds up partial sums.
+    """
+    i = item_view()
+    rows = with_item_columns(rows).repartition(*keys)
+    by_unit: dict[str, list[tuple[str, Check]]] = {}
+    for name, params in specs.items():
+        check = REGISTRY[name](i, LiteralParams(params))
+        by_unit.setdefault("" if check.unit is None else str(check.unit), []).append((name, check))
+    out = None
+    for unit, checks in by_unit.items():
+        found = _side_by_side(rows, keys, checks, checks[0][1].unit if unit else None)
+        out = found if out is None else out.join(found, keys)
+    return out
+
+
+def _side_by_side(rows: DataFrame, keys: list[str], checks: list[tuple[str, Check]], unit: Column | None) -> DataFrame:
+    columns, merged, flags = {}, [], []
+    for n, (_, check) in enumerate(checks):
+        columns |= {f"_v{n}_{m}": value for m, value in enumerate(check.values)}
+        columns[f"_e{n}"] = one(check.error) if check.error is not None else F.lit(0)
+        if check.token is not None:
+            columns[f"_t{n}"] = check.token
+    prepared = rows.select(*keys, *([unit.alias("_unit")] if unit is not None else []), *[c.alias(x) for x, c in columns.items()])
+
+    def totals(n: int) -> SimpleNamespace:
+        tokens = F.col(f"_t{n}") if checks[n][1].token is not None else F.lit(0)
+        return SimpleNamespace(v=[F.col(f"_v{n}_{m}") for m in range(len(checks[n][1].values))], tokens=tokens)
+
+    for x in columns:
+        add = {"_v": F.sum, "_e": F.max, "_t": F.count_distinct}[x[:2]]
+        merged.append(add(x).alias(x))
+    if unit is not None:
+        per_unit = prepared.groupBy(*keys, "_unit").agg(*merged)
+        inside = F.col("_unit").isNotNull()
+        for n, (_, check) in enumerate(checks):
+            for label, test in (("_b", check.bad), ("_g", check.good)):
+                per_unit = per_unit.withColumn(f"{label}{n}", one(inside & test(totals(n))) if test else F.lit(0))
+                flags.append(F.sum(f"{label}{n}").alias(f"{label}{n}"))
+        again = [(F.max(x) if x[:2] == "_e" else F.sum(x)).alias(x) for x in columns]
+        per_plan = per_unit.groupBy(*keys).agg(*again, *flags)
+    else:
+        per_plan = prepared.groupBy(*keys).agg(*merged)
+    verdicts = []
+    for n, (name, check) in enumerate(checks):
+        s = totals(n)
+        s.bad, s.good = (F.col(f"_b{n}"), F.col(f"_g{n}")) if unit is not None else (F.lit(0), F.lit(0))
+        verdicts.append(((F.col(f"_e{n}") == 0) & F.coalesce(check.ok(s), F.lit(False))).alias(name))
+    return per_plan.select(*keys, *verdicts)
+
+
 def run_checks(rows: DataFrame, keys: list[str], names: list[str] | None = None) -> DataFrame:
     """``keys, check_id, check_fn, satisfied, error`` for rows that pair every item with every check of its plan.
 

@@ -50,17 +50,6 @@ def checked_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     resolved = en.resolve_by_join(items, keys, []).join(attributes, "entity_id", "left")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     rows = resolved.unionByName(orders.select("o_orderkey"), allowMissingColumns=True)
-    specs = F.array(
-        *[
-            F.struct(F.lit(n).alias("check_id"), F.lit(n).alias("check_fn"), *ck.unpacked(ck.describe_params(p)))
-            for n, p in CHECKS.items()
-        ]
-    )
-    # all checks in one pass over the parsed items
-    paired = rows.withColumn("spec", F.explode(specs)).select("*", "spec.*").drop("spec")
-    checked = ck.run_checks(paired, ["o_orderkey"], list(CHECKS)).join(orders, "o_orderkey")
-    met = F.col("satisfied").cast("int")
-    share = lambda name: F.round(F.avg(F.when(F.col("check_id") == name, met)), 6).alias(name)
-    return checked.groupBy("o_orderpriority").agg(
-        *[share(n) for n in CHECKS], F.count_if(F.col("check_id") == next(iter(CHECKS))).alias("orders")
-    )
+    checked = ck.run_literal_checks(rows, ["o_orderkey"], CHECKS).join(orders, "o_orderkey")
+    share = lambda name: F.round(F.avg(F.col(name).cast("int")), 6).alias(name)
+    return checked.groupBy("o_orderpriority").agg(*[share(n) for n in CHECKS], F.count(F.lit(1)).alias("orders"))
