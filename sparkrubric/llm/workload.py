@@ -62,7 +62,55 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
-@reg.add("op8_line_templates")
+LINES_SQL = """
+WITH lines AS (
+    SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
+        unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS n
+    FROM documents WHERE text IS NOT NULL
+),
+tokens AS (
+    SELECT doc_id, text, n, list_transform(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+'),
+        lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS t
+    FROM lines
+),
+leaves AS (SELECT *, len(t) AS k, t[1:3] AS lead FROM tokens WHERE len(list_filter(t, lambda w: w <> '<*>')) > 0),
+busy AS (
+    SELECT k, lead FROM leaves WHERE k > 3 GROUP BY k, lead
+    HAVING count(DISTINCT text) * 2 >= 10 AND count(DISTINCT t) > 1
+),
+placed AS (
+    SELECT doc_id, text, n, k, lead, unnest(t[4:]) AS w, unnest(generate_series(4, k)) AS p
+    FROM leaves JOIN busy USING (k, lead)
+),
+sizes AS (SELECT k, lead, p, count(*) AS size FROM placed GROUP BY k, lead, p),
+constants AS (
+    SELECT k, lead, p, w FROM (SELECT k, lead, p, w, count(*) AS n FROM placed GROUP BY k, lead, p, w)
+    JOIN sizes USING (k, lead, p) WHERE 2 * n > size
+),
+general AS (
+    SELECT DISTINCT text, n FROM placed JOIN constants USING (k, lead, p, w)
+    GROUP BY doc_id, text, n, k HAVING count(*) / (k - 3) >= 0.6
+),
+templates AS (
+    SELECT l.doc_id, l.text, l.n, CASE WHEN g.n IS NOT NULL THEN 'leaf ' || k || ' ' || array_to_string(lead, ' ')
+        ELSE 'line ' || array_to_string(t, ' ') END AS template
+    FROM leaves l LEFT JOIN general g ON g.text = l.text AND g.n = l.n
+),
+recurring AS (
+    SELECT template, min((doc_id, n)) AS first FROM templates GROUP BY template HAVING count(DISTINCT text) >= 10
+),
+later AS (SELECT doc_id, n FROM templates JOIN recurring USING (template) WHERE (doc_id, n) <> first),
+kept AS (
+    SELECT doc_id, string_agg(line, chr(10) ORDER BY n) AS text FROM lines ANTI JOIN later USING (doc_id, n) GROUP BY doc_id
+),
+counted AS (SELECT doc_id, count(*) AS n FROM later GROUP BY doc_id)
+SELECT doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::INTEGER AS n_lines, coalesce(c.n, 0)::INTEGER AS n_dropped,
+    CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(k.text, '')) END AS kept_sha256
+FROM documents d LEFT JOIN kept k USING (doc_id) LEFT JOIN counted c USING (doc_id)
+"""
+
+
+@reg.add("op8_line_templates", LINES_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.drop_templates(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -240,7 +288,31 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-@reg.add("op10_bm25_search")
+SEARCH_SQL = """
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[a-z0-9[:^ascii:]]+') AS w FROM documents
+),
+lengths AS (SELECT doc_id, len(w) AS length, avg(len(w)) OVER () AS mean FROM words),
+counts AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM words) GROUP BY doc_id, term),
+weights AS (
+    SELECT term, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf
+    FROM (SELECT term, count(*) AS df FROM counts GROUP BY term), (SELECT count(*) AS n FROM documents)
+),
+scored AS (
+    SELECT q.doc_id AS query_id, c.doc_id, sum(idf * c.tf * 2.2 / (c.tf + 1.2 * (0.25 + 0.75 * length / mean))) AS score
+    FROM counts q JOIN weights USING (term) JOIN counts c USING (term) JOIN lengths l ON l.doc_id = c.doc_id
+    WHERE q.doc_id % 100 = 0 GROUP BY ALL
+),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id)::INTEGER AS rank FROM scored
+)
+SELECT query_id, rank, doc_id, round(score, 6) AS score FROM ranked WHERE rank <= 10
+"""
+
+
+@reg.add("op10_bm25_search", SEARCH_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    return search.search(documents, documents.where("doc_id % 100 = 0"))
+    found = search.search(documents, documents.where("doc_id % 100 = 0"))
+    return found.withColumn("score", F.round("score", 6))
