@@ -69,8 +69,12 @@ def tokenize_words(text: Column | str) -> Column:
     return F.transform(raw_words(text), F.lower)
 
 
-def token_count(text: Column | str) -> Column:
-    return F.regexp_count(_col(text), F.lit(TOKEN_PATTERN))
+def token_count(text: Column | str, n_words: Column | None = None) -> Column:
+    """Number of tokens; with the number of words at hand only what lies between the words is cut up."""
+    if n_words is None:
+        return F.regexp_count(_col(text), F.lit(TOKEN_PATTERN))
+    between = F.regexp_replace(_col(text), WORD_PATTERN, " ")
+    return n_words + F.regexp_count(between, F.lit(f"{NUMBER_PATTERN}|{NON_SPACE}"))
 
 
 def space_split(text: Column | str) -> Column:

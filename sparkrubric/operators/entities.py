@@ -186,8 +186,9 @@ def term_mentions(
 
     Texts and terms meet in an equi join on a key every mention must share, then ``contains`` decides.  A mention may
     begin and end inside a word, so a term of ``run + 2`` words or more is keyed by ``run`` of its inner words, which
-    the text must hold whole; a shorter term is keyed by its first four characters.  Only keys travel through the
-    joins; the text is fetched again for the candidate pairs.
+    the text must hold whole; a shorter term is keyed by its first four characters.  Texts are cut into runs of only those
+    lengths that terms need, so none are made where no term is short, or none is long.  Only keys travel through the
+    joins; text and term are fetched again for the candidate pairs.
     """
     q = 4
     norm_terms = terms.select(F.col(term_key), tx.normalize_match(term).alias("_term"))
@@ -201,12 +202,21 @@ def term_mentions(
 
     def candidates(blocked: DataFrame, grams: Column) -> DataFrame:
         keyed = norm_texts.select(text_key, F.explode(grams).alias("_block"))
-        return keyed.join(blocked, "_block").select(text_key, term_key, "_term").distinct()
-
-    short_grams = F.flatten(F.array(*[char_grams(F.col("_text"), n) for n in range(1, q + 1)]))
-    pairs = candidates(by_words, word_grams(F.col("_text"), run)).unionByName(candidates(by_chars, short_grams))
+        return keyed.join(blocked.select(term_key, "_block"), "_block").select(text_key, term_key).distinct()
+
+    lengths = [r["n"] for r in by_chars.select(F.char_length("_block").alias("n")).distinct().collect()]  # q of them at most
+    pairs = None
+    if not by_words.isEmpty():
+        pairs = candidates(by_words, word_grams(F.col("_text"), run))
+    if sizes := sorted(n for n in lengths if n):
+        short = candidates(by_chars, F.flatten(F.array(*[char_grams(F.col("_text"), n) for n in sizes])))
+        pairs = short if pairs is None else pairs.unionByName(short)
+    if pairs is None:
+        none = terms.select(term_key).limit(0)
+        return none.withColumn(text_key, F.lit(None).cast(texts.schema[text_key].dataType)).select(text_key, term_key)
     return (
         pairs.join(norm_texts, text_key)
+        .join(norm_terms, term_key)
         .where(F.col("_text").contains(F.col("_term")))
         .select(text_key, term_key)
     )

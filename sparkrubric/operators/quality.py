@@ -148,18 +148,26 @@ def punctuation(df: DataFrame, text: str) -> DataFrame:
     c = F.col(text)
     blank = F.coalesce(c, F.lit("")).rlike(f"^{tx.SPACE}*$")
 
-    def count(pattern: str) -> Column:
-        return F.regexp_count(c, F.lit(pattern))
+    def count(pattern: str, sign: str | None = None) -> Column:
+        """``sign`` must be found for the pattern to be; most texts lack the rare ones, and a search stops at the first."""
+        found = F.regexp_count(c, F.lit(pattern))
+        return found if sign is None else F.when(c.rlike(sign), found).otherwise(0)
 
     def unless_blank(value: Column) -> Column:
         return F.when(blank, F.lit(0)).otherwise(value)
 
     words = tx.space_word_count(c)
     out = (
-        df.withColumn("space_before_punct", unless_blank(count(SPACE_BEFORE)))
-        .withColumn("missing_space_after", unless_blank(count(MISSING_AFTER) - count(MISSING_AFTER_DECIMAL)))
-        .withColumn("double_spaces", unless_blank(count(MULTI_SPACE)))
-        .withColumn("other_issues", unless_blank(count(SPACE_AFTER_OPEN) + count(SPACE_BEFORE_CLOSE)))
+        df.withColumn("space_before_punct", unless_blank(count(SPACE_BEFORE, f"{tx.SPACE}[.,;:!?]")))
+        .withColumn(
+            "missing_space_after",
+            unless_blank(count(MISSING_AFTER, MISSING_AFTER) - count(MISSING_AFTER_DECIMAL, MISSING_AFTER_DECIMAL)),
+        )
+        .withColumn("double_spaces", unless_blank(F.when(c.contains("  "), count(MULTI_SPACE)).otherwise(0)))
+        .withColumn(
+            "other_issues",
+            unless_blank(count(SPACE_AFTER_OPEN, r"[(\[{„«]") + count(SPACE_BEFORE_CLOSE, rf"{tx.SPACE}[)\]}}»]")),
+        )
         .withColumn(
             "total_issues",
             F.col("space_before_punct")
@@ -273,7 +281,7 @@ def text_quality(
         .withColumn("_known", F.filter("_words", _is_known))
         .withColumn("_bad", F.filter("_known", lambda w: ~_is_correct(w)))
         .withColumn("_english", F.filter("_words", lambda w: _isin(w, listed)))
-        .withColumn("n_tokens", tx.token_count("_text"))
+        .withColumn("n_tokens", tx.token_count("_text", F.size("_words")))
         .withColumn("n_words", F.size("_words"))
         .withColumn("has_diacritics", tx.has_romanian_diacritics("_text"))
         .withColumn("dia_missing", F.size("_bad"))

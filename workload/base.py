@@ -33,6 +33,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SMALL_PER_CORE = 32 << 20
+
 # The documents hold no Romanian letter, so accented letters are mapped onto them before Romanian text is scored.
 PLANT_FROM, PLANT_TO = "éèêçñüöäßàùôíóú", "ăâîșțşţășțâîșțş"
 
@@ -45,9 +47,16 @@ def planted_sql(text: str = "text") -> str:
     return f"translate({text}, '{PLANT_FROM}', '{PLANT_TO}')"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a small table over all cores, as its file may be one split; a large table stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL_PER_CORE else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the planted text as ``ro_text``."""
-    return table(spark, sf_dir, "documents").withColumn("ro_text", planted("text"))
+    return spread(table(spark, sf_dir, "documents")).withColumn("ro_text", planted("text"))
 
 
 def quote(text: str) -> str:

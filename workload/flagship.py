@@ -9,7 +9,7 @@ from sparkrubric.functions import outputs as op
 from sparkrubric.operators import checks as ck
 from sparkrubric.operators import entities as en
 from sparkrubric.operators import scoring as sc
-from workload.base import table
+from workload.base import spread, table
 
 CHECKS = {
     "check_budget_limit": {"max_budget": 5000},
@@ -33,7 +33,7 @@ FROM orders LEFT JOIN c ON c.o = o_orderkey LEFT JOIN d ON d.o = o_orderkey GROU
 
 def checked_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    lines = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber"))
     plan = F.concat(
         F.lit('{"day'), F.col("l_linenumber").cast("string"), F.lit('": ["'), F.upper("p_name"), F.lit('"]}')
     )

@@ -15,7 +15,7 @@ from sparkrubric.operators import quality as ql
 from sparkrubric.operators import reports as rp
 from sparkrubric.operators import scoring as sc
 from sparkrubric.sources import tables as tb
-from workload.base import Registry, count_sql, documents, match_sql, quote, r6, table, trim_sql, words_sql
+from workload.base import Registry, count_sql, documents, match_sql, quote, r6, spread, table, trim_sql, words_sql
 from workload.plan_queries import _ALL_SQL, _IT, order_check_results, order_items
 from workload.text_queries import report_sql
 
@@ -162,7 +162,7 @@ def outputs(spark, sf):
         fixed = F.lit("".join(parts))
         whole = F.concat(fixed, F.col("text")) if leads else F.concat(F.col("text"), fixed)
         text = F.when(kind == n, whole) if text is None else text.when(kind == n, whole)
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         F.col("doc_id").alias("instance_id"), F.col("source").alias("run_id"), "lang", text.alias("output")
     )
 
@@ -349,9 +349,8 @@ _FOUND = f"""
 
 
 def mentioned(spark, sf):
-    return en.term_mentions(
-        table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "benchmark"), "item_id", "text"
-    )
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return en.term_mentions(docs, "doc_id", "text", table(spark, sf, "benchmark"), "item_id", "text")
 
 
 @reg.add("mention_join", f"WITH {_FOUND} SELECT doc_id, item_id FROM found")

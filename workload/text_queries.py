@@ -18,6 +18,7 @@ from workload.base import (
     planted_sql,
     quote,
     r6,
+    spread,
     sql_list,
     strip_sql,
     table,
@@ -317,7 +318,7 @@ _CS = f"""
                round(exp(-20 * rate), 6) AS codeswitch_score, flagged AS flagged_words FROM ({_CS})""",
 )
 def _(spark, sf):
-    return ql.code_switching(table(spark, sf, "documents"), "text").select(
+    return ql.code_switching(spread(table(spark, sf, "documents")), "text").select(
         "doc_id", "total_words", "english_words", r6("english_rate").alias("english_rate"),
         r6("codeswitch_score").alias("codeswitch_score"), F.array_join("flagged_words", ",").alias("flagged_words"),
     )
@@ -328,7 +329,7 @@ def _(spark, sf):
     f"SELECT lang, count(*) FILTER (WHERE rate > 0.15) AS likely_english, count(*) AS n FROM ({_CS}) GROUP BY lang",
 )
 def _(spark, sf):
-    scored = ql.code_switching(table(spark, sf, "documents"), "text")
+    scored = ql.code_switching(spread(table(spark, sf, "documents")), "text")
     return scored.groupBy("lang").agg(
         F.count_if("is_likely_english").alias("likely_english"), F.count(F.lit(1)).alias("n")
     )
@@ -404,7 +405,7 @@ _TRI = f"""
           FROM w LEFT JOIN rep USING (doc_id))""",
 )
 def _(spark, sf):
-    return ql.repetition(table(spark, sf, "documents"), "text").select(
+    return ql.repetition(spread(table(spark, sf, "documents")), "text").select(
         "doc_id", "repetition_words", "repeated_phrases", "type_token_ratio",
         r6("repetition_score").alias("repetition_score"),
     )
@@ -425,7 +426,7 @@ def _(spark, sf):
     """,
 )
 def _(spark, sf):
-    return ql.capitalization(table(spark, sf, "documents"), "text").select(
+    return ql.capitalization(spread(table(spark, sf, "documents")), "text").select(
         "doc_id", "lowercase_sentence_starts", "all_caps_words", r6("capitalization_score").alias("capitalization_score")
     )
 
