@@ -92,6 +92,7 @@ def latency_summary(outputs: DataFrame, group: list[str], latency: str = "latenc
         F.avg(latency).alias("avg_latency"),
         F.min(latency).alias("min_latency"),
         F.max(latency).alias("max_latency"),
+        *[F.percentile(latency, q / 100).alias(f"p{q}_latency") for q in (50, 95, 99)],
     )
 
 

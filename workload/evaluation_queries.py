@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkrubric.operators import entities as en
+from sparkrubric.operators import reports as rp
 from sparkrubric.operators import scoring as sc
 from sparkrubric.sources import tables as tb
+from sparkrubric.sources.lineage import materialize
 from workload.base import Registry, documents, quote, r6, trim_sql
 from workload.text_queries import DOCS, report_sql
 
@@ -252,3 +254,41 @@ def _(spark, sf):
     return found.select(
         "instance_id", "total_count", F.size("missing").alias("missing_count"), F.size("hallucinated").alias("hallucinated_count"), r6("F").alias("F")
     )
+
+
+@reg.add(
+    "run_findings",
+    _METRICS
+    + f""",
+        unmet(w, v, check_fn, satisfied) AS (VALUES {_CHECK_ROWS}),
+        notes AS (
+            SELECT unnest([CASE WHEN n_bad > 0 THEN 'missing diacritics' END, CASE WHEN n_english > 0 THEN 'English words' END,
+                CASE WHEN total_issues > 0 THEN 'punctuation' END, CASE WHEN rate > 0.15 THEN 'mostly English' END,
+                CASE WHEN n_words < 100 THEN 'too short' END]) AS subject
+            FROM report WHERE g < {rp.QUALITY_NOTE_BELOW} AND NOT ({NO_OUTPUT})
+        )
+        SELECT 'check' AS kind, check_fn AS subject, count(*) AS n FROM documents
+            JOIN unmet ON w = doc_id % 4 AND v = (doc_id // 4) % {VARIANTS} WHERE NOT satisfied AND NOT ({NO_OUTPUT}) GROUP BY 1, 2
+        UNION ALL SELECT 'missing entity', 'A2', count(*) FILTER (WHERE missed > 0 AND NOT missing) FROM scored
+        UNION ALL SELECT 'quality', subject, count(*) FROM notes WHERE subject IS NOT NULL GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    keys = ["run_id", "instance_id"]
+    parsed = materialize(sc.parse_run(tb.latest(outputs(spark, sf), keys, ["row_pos"])).drop("output", "row_pos"))
+    prepared = materialize(tb.prepare_instances(instances(spark, sf)))
+    metrics = sc.evaluate(parsed, prepared, keys)
+    found = rp.findings(metrics, sc.check_results(parsed, prepared, keys), keys)
+    return found.groupBy("kind", "subject").agg(F.count(F.lit(1)).alias("n"))
+
+
+_ENTITIES = "CASE WHEN doc_id % 4 = 2 THEN '' ELSE regexp_extract(ro_text, '\\p{L}+') || '; " + NEVER + "' END"
+_CONSTRAINTS = ", ".join(quote("; ".join(c["description_ro"] for c in INSTANCES[w]["constraints"])) for w in WORLDS)
+
+
+@reg.add(
+    "instance_overview",
+    f"""SELECT 'doc_' || doc_id AS instance_id, ['TRAVEL', 'SCHEDULE', 'FACT', 'RECIPE'][1 + doc_id % 4] AS world_type,
+               'N/A' AS difficulty, {_ENTITIES} AS entities, [{_CONSTRAINTS}][1 + doc_id % 4] AS constraints FROM {DOCS}""",
+)
+def _(spark, sf):
+    return rp.overview(instances(spark, sf)).drop("prompt_ro")

@@ -761,11 +761,13 @@ def _(spark, sf):
 @reg.add(
     "latency_summary",
     """SELECT event_type, count(value) AS n, round(avg(value), 6) AS avg_latency, min(value) AS min_latency,
-              max(value) AS max_latency FROM events GROUP BY 1""",
+              max(value) AS max_latency, round(quantile_cont(value, 0.5), 6) AS p50_latency,
+              round(quantile_cont(value, 0.95), 6) AS p95_latency, round(quantile_cont(value, 0.99), 6) AS p99_latency
+       FROM events GROUP BY 1""",
 )
 def _(spark, sf):
     s = rp.latency_summary(table(spark, sf, "events"), ["event_type"], "value")
-    return s.withColumn("avg_latency", r6("avg_latency"))
+    return s.withColumns({c: r6(c) for c in ("avg_latency", "p50_latency", "p95_latency", "p99_latency")})
 
 
 # --- order and position --------------------------------------------------------------------------------------------------
