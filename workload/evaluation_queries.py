@@ -256,6 +256,24 @@ def _(spark, sf):
     )
 
 
+@reg.add(
+    "faithfulness_lemmas",
+    _METRICS
+    + """SELECT 'doc_' || doc_id AS instance_id, total AS total_count, missed AS missing_count,
+        round(pow(CASE WHEN total = 0 THEN 1.0 ELSE (total - missed) / total END, 3), 6) AS "F" FROM scored WHERE NOT missing""",
+)
+def _(spark, sf):
+    """The lemma variant: articulated forms, lemmas of the explanation, no penalty for unplanned mentions."""
+    parsed = sc.parse_run(tb.latest(outputs(spark, sf), ["run_id", "instance_id"], ["row_pos"]))
+    parsed = materialize(parsed.select("instance_id", "explanation", "refs"))
+    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("explanation"), F.lit("[a-z]+"), F.lit(0)))).alias("word")
+    lookup = parsed.select(words).where("word LIKE '%ing'").distinct().withColumn("lemma", F.left("word", F.char_length("word") - 3))
+    prepared = tb.prepare_instances(instances(spark, sf), articulated=True).select("instance_id", "entities")
+    joined = parsed.join(prepared, "instance_id").join(en.lemma_map(parsed, ["instance_id"], "explanation", lookup), "instance_id")
+    found = en.faithfulness(joined, lemmas="lemmas")
+    return found.select("instance_id", "total_count", F.size("missing").alias("missing_count"), r6("F").alias("F"))
+
+
 @reg.add(
     "run_findings",
     _METRICS
