@@ -292,13 +292,31 @@ def _(spark, sf):
     )
 
 
-@reg.add("search_forms")
+# a part "blue bolt" of brand "Brand#7" is searched for as "bluea boltea" and "brand#7": the endings that words in -a, in
+# -ea and in a digit take, written down per kind of form
+_SEARCH_FORMS_SQL = """
+    WITH n AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS x, split_part(p_name, ' ', 2) AS y, lower(p_brand) AS b FROM part),
+    shared AS (
+        SELECT *, x || 'a ' || y || 'ea' AS t,
+            [x || 'ei ' || y || 'ee', x || 'ei ' || replace(y || 'ee', 'ea', 'e'), x || 'ei ' || y || 'ea'] AS coordinated FROM n
+    )
+    SELECT p_partkey,
+        array_to_string(list_sort(list_distinct([t, b, x || 'a ' || y || 'eei'] || coordinated
+            || list_transform(['a', 'e', 'elor', 'ele', 'ei', 'ii'], lambda s: x || s || ' ' || y || 'ea')
+            || list_transform(['a', 'e', 'elor', 'ele', 'ei', 'ii'], lambda s: x || 'a ' || y || 'e' || s)
+            || list_transform(['ul', 'ului', 'ui', 'i', 'ii', 'ilor', 'uri', 'urile', 'urilor'], lambda s: b || s))), '|') AS forms,
+        array_to_string(list_sort(list_distinct([t, b, x || 'a', y || 'ea', 'brand'] || coordinated
+            || list_transform(['aua', 'ei', 'ele', 'elor'], lambda s: x || s || ' ' || y || 'ea')
+            || list_transform(['aua', 'ei', 'ele', 'elor'], lambda s: x || 'a ' || y || 'e' || s)
+            || list_transform(['ul', 'lui', 'ului', 'ii', 'ilor', 'urile', 'urilor', 'ele', 'elor'], lambda s: b || s))), '|') AS articulated
+    FROM shared"""
+
+
+@reg.add("search_forms", _SEARCH_FORMS_SQL)
 def _(spark, sf):
     names = F.array(F.concat(F.split("p_name", " ")[0], F.lit("a "), F.split("p_name", " ")[1], F.lit("ea")), "p_brand")
-    both = table(spark, sf, "part").select(
-        "p_partkey", mo.search_forms(names).alias("f"), mo.search_forms_articulated(names).alias("a")
+    return table(spark, sf, "part").select(
+        "p_partkey",
+        F.array_join(F.array_sort(mo.search_forms(names)), "|").alias("forms"),
+        F.array_join(F.array_sort(mo.search_forms_articulated(names)), "|").alias("articulated"),
     )
-    return both.select(
-        "p_partkey", F.size("f").alias("n_forms"), F.size("a").alias("n_articulated"),
-        F.array_contains("f", F.lit("x")).alias("odd"),
-    )
