@@ -205,8 +205,12 @@ def near_duplicates(documents: DataFrame, radius: int = 3, shard_limit: int = 40
 def one_of_each(documents: DataFrame, radius: int = 3) -> DataFrame:
     """One document of each group, with all columns: the one with the smallest doc_id (of several texts of that id, the one
     with the smallest hash; of equal rows, one).  Rows without an id can't be told apart and stay."""
-    groups = near_duplicates(documents, radius).where("doc_id IS NOT NULL").groupBy("component")
-    kept = groups.agg(F.min(F.struct("doc_id", "key")).alias("first")).select("first.*")
+    return first_of_each(documents, near_duplicates(documents, radius))
+
+
+def first_of_each(documents: DataFrame, grouped: DataFrame) -> DataFrame:
+    """``one_of_each`` for groups ``(doc_id, key, component)`` that are known already."""
+    kept = grouped.where("doc_id IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("first")).select("first.*")
     kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key"))
     rows = documents.select(F.struct(*documents.columns).alias("row"))
     doc_id, key = F.col("row.doc_id").cast("long"), F.xxhash64(F.col("row.text").cast("string"))

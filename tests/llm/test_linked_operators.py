@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparkrubric.llm import classifier, components, language, lines, mixing, pieces, search, simhash
+from sparkrubric.llm import classifier, components, language, lines, mixing, pieces, search, similar, simhash
 from tests.llm import cases
 
 
@@ -225,3 +225,65 @@ def test_lines_default_is_used_by_the_pipeline(spark):
     staged = corpus_pipeline.line_dedup(spark, docs, "")
     assert staged.columns == corpus_pipeline.COLUMNS
     assert staged.count() <= lines.drop_templates(docs).count()
+
+
+def jaccard_groups(texts, least=0.8):
+    """The smallest place of each text's group."""
+    sets = []
+    for text in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets.append({" ".join(words[i : i + 5]) for i in range(len(words) - 4)} or {" ".join(words)})
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 10 * least * len(sets[i] | sets[j]) - 1e-9:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+def near_rows():
+    """Texts with copies at 0.8 to 0.95 of them, just below, chains, a hot group and odd rows."""
+    rng = random.Random(11)
+    texts = []
+    for n in range(12):
+        old = cases.words(rng, 150)
+        texts.append(" ".join(old))
+        for changes in (1, 2, 3, 4, 8):
+            new = list(old)
+            for k in range(changes):
+                new[5 + k * 17] = f"changed{n}x{k}"
+            texts.append(" ".join(new))
+        texts.append(" ".join([*old[20:], *cases.words(rng, 20)]))
+    chain = cases.words(rng, 200)
+    for _ in range(8):
+        texts.append(" ".join(chain))
+        chain = [*chain[15:], *cases.words(rng, 15)]
+    hot = cases.words(rng, 120)
+    for _ in range(60):
+        new = list(hot)
+        for at in rng.sample(range(120), 3):
+            new[at] = f"new{rng.randrange(1000)}"
+        texts.append(" ".join(new))
+    texts += [None, "", " \n", "one two", "One  TWO", "one two three", texts[0].upper()]
+    return [(i, t, "en", "src0", 1) for i, t in enumerate(texts)] + [(None, texts[0], "en", "src0", 1)]
+
+
+def test_near_copies_of_the_pipeline(spark):
+    data = near_rows()
+    roots = jaccard_groups([r[1] for r in data])
+    single = sorted({data[r][0] for r in roots})
+    found = similar.near_copies(cases.table(spark, data, clashes=True)).collect()
+    assert Counter(r["doc_id"] for r in found) == Counter(r[0] for r in data)
+    group = {r["doc_id"]: r["component"] for r in found if r["doc_id"] is not None}
+    pairs = {(group[i], roots[i]) for i in group}
+    assert len(pairs) == len(set(group.values())) == len(set(roots))
+    kept = [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, cases.table(spark, data), "").collect()]
+    assert sorted(x for x in kept if x is not None) == single and kept.count(None) == 1
+    assert corpus_pipeline.near_dedup(spark, cases.table(spark, []), "").count() == 0
