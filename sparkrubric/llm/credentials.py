@@ -73,12 +73,22 @@ def ownership(found: DataFrame) -> DataFrame:
     )
 
 
-def scan(documents: DataFrame, owner: str = "source", repository: str = "doc_id", copied_by: int = 2) -> DataFrame:
+def text_ownership(found: DataFrame) -> DataFrame:
+    """``(hash, text_owners, texts)``: in how many different texts a value lies, and how many owners those have if copies
+    of a text count once, for the smallest of its owners."""
+    first = found.groupBy("hash", "key").agg(F.min(F.struct("owner")).alias("owner"))
+    return first.groupBy("hash").agg(F.countDistinct("owner").alias("text_owners"), F.count("*").alias("texts"))
+
+
+def scan(
+    documents: DataFrame, owner: str = "source", repository: str = "doc_id", copied_by: int = 2, copied_in: int | None = None
+) -> DataFrame:
     """``(doc_id, found)`` of every row of ``documents(doc_id, text)`` and its owner and repository columns.
 
     ``found`` lists the spans by start and kind: ``kind, start, end`` (code points, end exclusive), ``owners``,
-    ``repositories`` and ``live``: held by fewer than ``copied_by`` owners and of some variety.  A ``generic`` span is
-    listed only if it looks live and overlaps no other.  A null text has no spans; a null owner or repository counts as one
+    ``repositories`` and ``live``: held by fewer than ``copied_by`` owners and of some variety.  With ``copied_in``, a value
+    must also lie in fewer than so many different texts, and copies of a text count once, for owners too.  A ``generic``
+    span is listed only if it looks live and overlaps no other.  A null text has no spans; a null owner or repository counts as one
     of its own; rows with a null or repeated doc_id stay; other columns are ignored; an empty table gives an empty one.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -90,6 +100,9 @@ def scan(documents: DataFrame, owner: str = "source", repository: str = "doc_id"
     found = written(candidates(rows), "candidates")
     known = found.join(written(ownership(found), "ownership"), "hash")
     live = F.col("varied") & (F.col("owners") < copied_by)
+    if copied_in is not None:
+        known = known.join(written(text_ownership(found), "texts"), "hash")
+        live = F.col("varied") & (F.col("text_owners") < copied_by) & (F.col("texts") < copied_in)
     by_start = Window.partitionBy("doc_id", "key").orderBy("start", "end")
     base = F.col("kind") < BASE
     before = F.max(F.when(base, F.col("end"))).over(by_start.rowsBetween(Window.unboundedPreceding, -1))

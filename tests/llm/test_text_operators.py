@@ -150,6 +150,21 @@ def test_secrets(spark):
     assert credentials.scan(docs.limit(0)).count() == 0
 
 
+def test_secrets_by_owners_and_texts(spark):
+    hot, copied, shared = "Hot1Example2Value3Abcdefg", "Once4Written5Twice6Hijkl", "Two7Texts8Two9Owners0Mno"
+    data = [(n, f"sample {n} {hot} end", "src0") for n in range(5)]  # an example all over one source
+    data += [(10 + n, f"mine {copied} end", f"src{n}") for n in range(3)]  # one text, copied as a whole
+    data += [(20 + n, f"text {n} {shared} end", f"src{n}") for n in range(2)]
+    docs = spark.createDataFrame([(i, t, None, s, 1) for i, t, s in data], cases.SCHEMA)
+
+    def listed(**bounds):
+        return {r["doc_id"] for r in credentials.scan(docs, **bounds).collect() if r["found"]}
+
+    assert listed(copied_by=3, copied_in=3) == {10, 11, 12, 20, 21}
+    assert listed(copied_by=2, copied_in=3) == {10, 11, 12}
+    assert listed() == {0, 1, 2, 3, 4}  # owners alone, as the SQL twin has it
+
+
 def brute_lines(data, depth=3, agreement=0.6, min_texts=3):
     def tokens(line):
         return tuple("<*>" if re.search("[0-9]", w) else w for w in words_of(line))
