@@ -693,6 +693,14 @@ def _(spark, sf):
 SOURCES = [f"src{n}" for n in range(20)]
 
 
+def wide_by_source(results):
+    """One column per source: those of ``SOURCES``, then any others that occur, ``null`` for rows without a source."""
+    named = results.withColumn("source", F.coalesce("source", F.lit("null"))).groupBy("words", "source").agg(F.max("G").alias("G"))
+    others = named.where(~F.col("source").isin(SOURCES)).select("source").distinct().orderBy("source").collect()
+    columns = SOURCES + [r["source"] for r in others]
+    return rp.model_table(named, "words", "source", columns, r6("G")).select("words", *[f"`{c}`" for c in columns])
+
+
 @reg.add(
     "model_table",
     report_sql()
@@ -704,8 +712,7 @@ def _(spark, sf):
     # one "instance" per text length, the best score of each source as its model's result
     scored = ql.text_quality(documents(spark, sf), "ro_text", detail=False)
     results = scored.groupBy(F.col("n_words").alias("words"), "source").agg(F.max("G").alias("G"))
-    wide = rp.model_table(results, "words", "source", SOURCES, r6("G"))
-    return wide.select("words", *SOURCES)
+    return wide_by_source(results)
 
 
 # --- aggregates over plans ---------------------------------------------------------------------------------------------
