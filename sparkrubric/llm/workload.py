@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrubric.llm import classifier, credentials, language, lines, mixing, pieces, repeats, rules, search, simhash
+from sparkrubric.llm import bags, classifier, credentials, language, lines, mixing, pieces, repeats, rules, search, setsketch, simhash, spelling
 from workload.base import Registry, table
 
 reg = Registry()
@@ -316,3 +316,125 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     found = search.search(documents, documents.where("doc_id % 100 = 0"))
     return found.withColumn("score", F.round("score", 6))
+
+
+NEAR_SQL = """
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x20\\x09-\\x0D]+') AS w
+    FROM documents
+),
+classes AS (SELECT w, min(doc_id) AS first FROM words WHERE len(w) > 0 GROUP BY w),
+shingles AS (
+    SELECT DISTINCT first, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS shingle
+    FROM (SELECT first, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM classes)
+),
+sizes AS (SELECT first, count(*) AS n FROM shingles GROUP BY first),
+shared AS (
+    SELECT a.first AS a, b.first AS b, count(*) AS n FROM shingles a JOIN shingles b USING (shingle) WHERE a.first <> b.first GROUP BY 1, 2
+),
+links AS (
+    SELECT a, b FROM shared s JOIN sizes x ON x.first = s.a JOIN sizes y ON y.first = s.b
+    WHERE 100 * s.n >= 85 * (x.n + y.n - s.n)
+),
+reached AS (SELECT first AS a, first AS b FROM classes UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b),
+roots AS (SELECT a AS first, min(b) AS component_id FROM reached GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id,
+    doc_id = coalesce(component_id, doc_id) AS kept
+FROM words LEFT JOIN classes USING (w) LEFT JOIN sizes USING (first) LEFT JOIN roots USING (first)
+"""
+
+
+@reg.add("op11_setsketch_near_dedup", NEAR_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+BAGS_SQL = """
+WITH terms AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+    FROM documents
+),
+asked AS (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+    FROM benchmark
+),
+wanted AS (SELECT item_id, term, count(*) AS repeats FROM asked GROUP BY ALL),
+total AS (SELECT count(*) FILTER (WHERE len(w) > 0) AS n, sum(len(w))::BIGINT AS length FROM terms),
+lengths AS (SELECT doc_id, 25 + (75 * len(w) * n) // length AS m FROM terms, total),
+counts AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM terms) GROUP BY ALL),
+weights AS (
+    SELECT term, floor(1000 * ln((2 * n + 2) / (2 * df + 1)))::BIGINT AS w
+    FROM (SELECT term, count(*) AS df FROM counts GROUP BY term), total
+),
+scored AS (
+    SELECT item_id, doc_id, sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+    FROM wanted JOIN weights USING (term) JOIN counts USING (term) JOIN lengths USING (doc_id) GROUP BY ALL
+),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@reg.add("op12_bag_search", BAGS_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bags.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SPELLING_SQL = """
+WITH RECURSIVE crc AS (
+    SELECT list_transform(generate_series(0, 255), lambda c: list_reduce([c, 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS entries
+),
+runs AS (
+    SELECT doc_id, run, count(*) AS n FROM (
+        SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[a-zÀ-ÿ]+')) AS run
+        FROM documents
+    ) GROUP BY ALL
+),
+coded AS (SELECT doc_id, run, n, hex(encode(doc_id || ':' || run)) AS code FROM runs),
+hashed AS (
+    SELECT doc_id, run, n, xor(4294967295, list_reduce(
+        list_prepend(4294967295, list_transform(generate_series(1, len(code) // 2), lambda i: ('0x' || substr(code, 2 * i - 1, 2))::BIGINT)),
+        lambda x, b: xor(x >> 8, entries[(xor(x, b) & 255) + 1]))) AS h
+    FROM coded, crc
+),
+spelled AS (
+    SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed
+),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM spelled WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cut AS (
+    SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS left_over
+    FROM (SELECT word, unnest(generate_series(1, length(word))) AS i FROM words)
+),
+near AS (
+    SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.i = b.i AND a.left_over = b.left_over AND a.word <> b.word
+    UNION SELECT c.word, w.word FROM cut c JOIN words w ON w.word = c.left_over
+    UNION SELECT w.word, c.word FROM cut c JOIN words w ON w.word = c.left_over
+),
+placed AS (
+    SELECT x.word, x.other, w.n, count(*) OVER (PARTITION BY x.word) AS n_near,
+        row_number() OVER (PARTITION BY x.word ORDER BY w.n DESC, x.other) AS place
+    FROM near x JOIN words w ON w.word = x.other
+),
+forms AS (
+    SELECT w.word, CASE WHEN p.n >= 2 * w.n THEN p.other END AS form, w.n, coalesce(p.n_near, 0) AS n_near,
+        CASE WHEN p.n >= 2 * w.n THEN p.n END AS form_n
+    FROM words w LEFT JOIN placed p ON p.word = w.word AND p.place = 1
+),
+followed AS (
+    SELECT word, word AS root FROM forms UNION SELECT f.word, g.form FROM followed f JOIN forms g ON g.word = f.root WHERE g.form IS NOT NULL
+)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n
+FROM forms f JOIN followed r USING (word) JOIN forms g ON g.word = r.root AND g.form IS NULL
+"""
+
+
+@reg.add("op13_spelling_variants", SPELLING_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
