@@ -196,9 +196,9 @@ def group_forms(words: DataFrame) -> DataFrame:
 
     ``form`` is the near word with the largest count, the smallest in code-point order of equal ones, if that count is at
     least twice the word's; ``root`` the last word that following forms reaches.  Counts double along the way, so the way
-    is short, and it is halved each round.  Null words are ignored; an empty table gives an empty one.
+    is short, and it is halved each round.  Null and empty words are ignored; an empty table gives an empty one.
     """
-    words = written(words.where("word IS NOT NULL").select("word", F.col("n").cast("long").alias("n")), "words")
+    words = written(words.where("word <> ''").select("word", F.col("n").cast("long").alias("n")), "words")
     pairs = neighbours(words).join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")
     best = pairs.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("x"), "near")).alias("best"))
     best = words.join(best, "word", "left")
