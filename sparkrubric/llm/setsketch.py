@@ -212,10 +212,12 @@ def _verified(percent: int):
 
 
 def _leader_pairs(buckets: DataFrame, least: float) -> DataFrame:
-    """Each text of a bucket with the bucket's leaders."""
-    leaders = [F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("x"), "node", "n")) for step in range(LEADERS)]
-    led = buckets.groupBy("bucket").agg(F.array_distinct(F.array(*leaders)).alias("leaders"))
-    pairs = buckets.join(led, "bucket").select("node", "n", F.explode("leaders").alias("leader")).where("node <> leader.node")
+    """Each text with at most ``LEADERS`` leaders of its buckets."""
+    leaders = [F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("x"), "node", "n")).alias(f"leader{step}") for step in range(LEADERS)]
+    led = buckets.groupBy("bucket").agg(*leaders)
+    # of its buckets' leaders of one order, a text is compared with the first: a group's texts mostly agree on it
+    firsts = buckets.join(led, "bucket").groupBy("node", "n").agg(*[F.min(f"leader{step}").alias(f"leader{step}") for step in range(LEADERS)])
+    pairs = firsts.select("node", "n", F.explode(F.array(*[f"leader{step}" for step in range(LEADERS)])).alias("leader")).where("node <> leader.node")
     pairs = pairs.where(F.least("n", "leader.n") >= F.lit(least) * F.greatest("n", "leader.n") - F.lit(1e-9))
     ends = [f(F.col("leader.node"), F.col("node")).alias(c) for f, c in ((F.least, "a"), (F.greatest, "b"))]
     return pairs.select(*ends).distinct()
