@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from sparkrubric.llm.storage import ready_for_python, written
 
-RUN = re.compile("[A-Za-zÀ-ÿ]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: On text whose A-Z are lower-cased.
+RUN = re.compile("[a-zÀ-ÿ]+")
 #: One (document, run) in so many loses a letter.
 ALTERED = 97
 PARTIAL_COUNTS = 1 << 16
@@ -50,8 +50,10 @@ def _counts(one_in: int, min_chars: int):
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[str] = Counter()
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                for run, n in Counter(RUN.findall((text.as_py() or "").translate(LOWER))).items():
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
+                for run, n in Counter(RUN.findall((text.as_py() or b"").lower().decode())).items():
+                    if len(run) < min_chars:
+                        continue
                     word = altered(doc_id, run, one_in)
                     if len(word) >= min_chars:
                         held[word] += n
