@@ -3,8 +3,8 @@
 The trie's unary chains are merged, so its edges carry labels and a level is a branching, not a letter.  Edges are a
 distributed table; the frontier is a table of states ``(word, position, node, edits)`` that joins the edges once a level.
 A state without an edit only leaves its word's own path in the second half of the word: words are walked in a trie of the
-words and, read backwards, in a trie of the reversed words, and one of the two finds an edit in either half.  So the wide
-nodes near the root are joined by node and letter, one edge for a state.
+words and, read backwards, in a trie of the reversed words, and one of the two finds an edit in either half.  So no state
+branches at the wide nodes near the root.
 """
 
 from __future__ import annotations
@@ -99,8 +99,9 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Walks and edges of distinct ``word``.
 
-    Walks are ``(spelled, backwards, node)``, each word twice, at its root; edges ``(node, letter, label, child, near)``,
-    ``letter`` the first of ``label`` and ``near`` the word that ends at the child, if any.  Roots, words and nodes with
+    Walks are ``(spelled, backwards, at, node)``, each word twice, at the last node of its own path in its first half, as no
+    edit is made before; edges ``(node, letter, label, child, near, onward)``, ``letter`` the first of ``label``, ``near``
+    the word that ends at the child, if any, and ``onward`` the letters that lead on from it.  Roots, words and nodes with
     several children are kept, chains between them become labels.
     """
     ready_for_python(words.sparkSession)
@@ -114,6 +115,7 @@ def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     kept = shape.where("ends OR low < high OR depth = 0").select("node")
     own = steps.join(kept, "node").groupBy("spelled", "backwards")
     own = own.agg(F.sort_array(F.collect_list(F.struct("depth", "node"))).alias("path"))  # as many as the word has letters
+    own = written(own, "walks")
     pairs = F.zip_with(F.slice("path", 1, F.size("path") - 1), F.slice("path", 2, F.size("path") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     edges = own.select("spelled", F.explode(pairs).alias("x"))
     label = F.substring("spelled", F.col("x.a.depth") + 1, F.col("x.b.depth") - F.col("x.a.depth"))
@@ -121,7 +123,13 @@ def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = edges.select(F.col("x.a.node").alias("node"), label.alias("label"), F.col("x.b.node").alias("child"), near.alias("near"))
     edges = edges.groupBy("node", "label", "child").agg(F.max("near").alias("near"))
     edges = edges.select("node", F.substring("label", 1, 1).alias("letter"), "label", "child", "near")
-    return paths.select("spelled", "backwards", F.col("nodes")[0].alias("node")), written(edges, "edges")
+    onward = edges.groupBy(F.col("node").alias("child")).agg(F.array_join(F.collect_list("letter"), "").alias("onward"))  # letters differ
+    edges = edges.join(onward, "child", "left").select("node", "letter", "label", "child", "near", F.coalesce("onward", F.lit("")).alias("onward"))
+    # before the place where the last letter may be left out, too
+    half = F.greatest(F.lit(0), F.least(F.floor(F.length("spelled") / 2), F.length("spelled") - 2))
+    start = F.element_at(F.filter("path", lambda x: x["depth"] <= half), -1)
+    walks = own.select("spelled", "backwards", start["depth"].alias("at"), start["node"].alias("node"))
+    return walks, written(edges, "edges")
 
 
 def _common(label: Column, rest: Column) -> Column:
@@ -164,11 +172,16 @@ def _level(states: DataFrame, edges: DataFrame) -> DataFrame:
     replaced = state(free & late & (k < n) & (at + k < size) & (left(k + 1) == next_of(k + 1, n - k - 1)), at + n, F.lit(1))
     inserted = state(free & (at + j >= half) & (left(j + 1) == next_of(j, n - j - 1)), at + n - 1, F.lit(1))
     deleted = state(free & late & (k < n) & (left(k) == next_of(k + 1, n - k)), at + n + 1, F.lit(1))
-    moved = along.unionByName(away).select("spelled", "backwards", "child", "near", F.explode(F.array(same, replaced, inserted, deleted)).alias("x"))
-    moved = moved.where("x IS NOT NULL").select("spelled", "backwards", "x.*", F.col("child").alias("node"), "near")
+    kept = ["spelled", "backwards", "child", "near", "onward"]
+    moved = along.unionByName(away).select(*kept, F.explode(F.array(same, replaced, inserted, deleted)).alias("x"))
+    moved = moved.where("x IS NOT NULL").select("spelled", "backwards", "x.*", F.col("child").alias("node"), "near", "onward")
     # an edit is left over, or it deletes the word's last letter
     arrived = ((F.col("edits") == 1) & (F.col("at") == size)) | ((F.col("edits") == 0) & (F.col("at") == size - 1))
-    return moved.withColumn("near", F.when(arrived, F.col("near"))).where("at < length(spelled) OR edits = 0 OR near IS NOT NULL")
+    moved = moved.withColumn("near", F.when(arrived, F.col("near")))
+    # what can't go on: no edge leads on, or, after the edit, none with the next letter
+    wanted = F.substring("spelled", F.col("at") + 1, F.lit(1))
+    goes_on = F.when(F.col("edits") == 0, F.col("onward") != "").otherwise((F.col("at") < size) & F.col("onward").contains(wanted))
+    return moved.withColumn("goes_on", goes_on).where("goes_on OR near IS NOT NULL").drop("onward")
 
 
 def neighbours(words: DataFrame) -> DataFrame:
@@ -177,13 +190,13 @@ def neighbours(words: DataFrame) -> DataFrame:
     The number of levels is the largest number of branchings and words on one path; each level's frontier is a table.
     """
     walks, edges = trie(words)
-    states = walks.select("spelled", "backwards", F.lit(0).alias("at"), F.lit(0).alias("edits"), "node")
+    states = walks.withColumn("edits", F.lit(0))
     found = None
     while True:
         level = written(_level(states, edges), "frontier")
         own = level.where("near IS NOT NULL").select("spelled", "backwards", "near")
         found = own if found is None else found.unionByName(own)
-        states = level.where("at < length(spelled) OR edits = 0").drop("near")
+        states = level.where("goes_on").drop("near", "goes_on")
         if states.isEmpty():
             break
 
