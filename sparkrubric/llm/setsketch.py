@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkrubric.llm.components import components
@@ -32,7 +32,7 @@ REGISTERS = BANDS * ROWS
 #: so far from the truth lies the estimate in one case of ten million.
 FAR = 14.0
 LEADERS = 3
-CHUNK = 512
+CHUNK, CHUNK_SHINGLES = 512, 1 << 18
 SHINGLES_AT_ONCE = 1 << 12
 PAIRS_AT_ONCE = 1 << 13
 NO_ID = (1 << 63) - 1
@@ -154,58 +154,85 @@ def _likely(least: float):
     return likely
 
 
-def _cells(least: float):
-    """Likely pairs of different components within a cell: of its two sides, or of its one side.  Rows come sorted by cell."""
+def _cells(percent: int):
+    """Links between components within a cell: of its two sides, or of its one side.  Rows come sorted by cell.
 
-    def pairs(columns: list) -> Iterator[pa.RecordBatch]:
-        cell, side, _, n, root, registers = columns
+    A pair is judged in the first band that it shares, by registers, likelihood and full sets in turn.  Of the links that
+    join the same components one is enough, so a cell returns fewer links than it has rows.
+    """
+    least = percent / 100
+
+    def links(columns: list) -> Iterator[pa.RecordBatch]:
+        cell, side, *_ = columns
         starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        held = 0
+        found: list[tuple[int, int]] = []
         for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(cell)], strict=True):
             second = start + int((side[start:end] == 0).sum())
-            for i in range(start, second):
-                first = second if second < end else i + 1
-                low, high = sorted((n[i] * least, n[i] / least))
-                fits = (root[first:end] != root[i]) & (n[first:end] >= low - 1e-6) & (n[first:end] <= high + 1e-6)
-                far = first + np.flatnonzero(fits)
-                if len(far):
-                    far = far[(registers[far] == registers[i]).sum(axis=1) >= fewest(least)]
-                    found.append((np.full(len(far), i), far))
-                    held += len(far)
-            if held >= PAIRS_AT_ONCE:
-                yield likely(columns, found)
-                found, held = [], 0
-        if held:
-            yield likely(columns, found)
-
-    def likely(columns: list, found: list) -> pa.RecordBatch:
-        one, other = (np.concatenate(x) for x in zip(*found, strict=True))
-        _, _, node, n, _, registers = columns
+            found += cell_links([c[start:end] for c in columns[2:]], second - start)
+        both = np.array(found, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+    def cell_links(columns: list, second: int) -> list[tuple[int, int]]:
+        band, node, n, root, registers, members = columns
+        pairs = []
+        for i in range(second):
+            first = second if second < len(node) else i + 1
+            fits = (root[first:] != root[i]) & (n[first:] >= n[i] * least - 1e-6) & (n[first:] * least <= n[i] + 1e-6)
+            far = first + np.flatnonzero(fits)
+            equal = registers[far] == registers[i]
+            earliest = equal.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+            far = far[(equal.sum(axis=1) >= fewest(least)) & (earliest == band[i])]
+            pairs.append(np.stack([np.full(len(far), i), far]))
+        one, other = np.concatenate(pairs, axis=1) if pairs else np.empty((2, 0), int)
         good = np.zeros(len(one), bool)
         for at in range(0, len(one), PAIRS_AT_ONCE):
             part = slice(at, at + PAIRS_AT_ONCE)
             good[part] = plausible(registers[one[part]], registers[other[part]], n[one[part]], n[other[part]], least)
-        both = np.stack([node[one[good]], node[other[good]]])
-        return pa.RecordBatch.from_arrays([pa.array(both.min(axis=0)), pa.array(both.max(axis=0))], ["a", "b"])
+        one, other = one[good], other[good]
+
+        parent: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while x in parent:
+                x = parent[x]
+            return x
+
+        found = []
+        for i in np.unique(one).tolist():
+            own = np.frombuffer(members[i], np.uint64)
+            for j in other[one == i].tolist():
+                x, y = top(int(root[i])), top(int(root[j]))
+                if x != y and _similar(own, np.frombuffer(members[j], np.uint64), percent):
+                    parent[max(x, y)] = min(x, y)
+                    found.append((int(node[i]), int(node[j])))
+        return found
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list | None = None
         for batch in batches:
             if not len(batch):
                 continue
-            columns = [batch.column(c).to_numpy() for c in ("cell", "side", "node", "n", "root")] + [_registers(batch.column("registers"))]
+            columns = [batch.column(c).to_numpy() for c in ("cell", "side", "band", "node", "n", "root")]
+            columns += [_registers(batch.column("registers")), np.array(batch.column("members").to_pylist(), object)]
             columns = columns if rest is None else [np.concatenate(x) for x in zip(rest, columns, strict=True)]
             cut = int(np.searchsorted(columns[0], columns[0][-1]))
             rest = [c[cut:] for c in columns]
             if cut:
-                yield from pairs([c[:cut] for c in columns])
+                yield from links([c[:cut] for c in columns])
         if rest is not None:
-            yield from pairs(rest)
+            yield from links(rest)
 
     return cells
 
 
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets share ``percent`` of their union."""
+    if not len(a) or not len(b):
+        return False
+    both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def _sets(words_per_shingle: int, bits: np.ndarray):
     """The full set of each text whose bit is set."""
 
@@ -225,9 +252,7 @@ def _verified(percent: int):
         for batch in batches:
             mask = []
             for a, b in zip(batch.column("members_a"), batch.column("members_b"), strict=True):
-                own, other = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                mask.append(100 * both >= percent * (len(own) + len(other) - both))
+                mask.append(_similar(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64), percent))
             yield batch.filter(pa.array(mask, pa.bool_())).select(["a", "b"])
 
     return verified
@@ -245,27 +270,33 @@ def _leader_pairs(buckets: DataFrame, least: float) -> DataFrame:
     return pairs.select(*ends).distinct()
 
 
-def _cell_pairs(buckets: DataFrame, nodes: DataFrame, roots: DataFrame, least: float) -> DataFrame:
-    """Likely pairs of a bucket's texts in different components.
+def _mixed(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of the buckets that hold several components, with the ``root`` of each."""
+    members = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    return members.join(mixed.select("bucket"), "bucket").select("bucket", "band", "node", "n", "root")
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """The cells of each bucket: ``(cell, side, band, node, n, root)``.
 
     The component that most texts of a bucket belong to needs no comparison within, so a bucket's other texts are compared
-    with each other and with those, chunk by chunk.
+    with each other and with those, chunk by chunk.  A chunk has about ``CHUNK`` texts and ``CHUNK_SHINGLES`` shingles.
     """
-    members = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    members = written(members.join(mixed.select("bucket"), "bucket").select("bucket", "node", "n", "root"), "members")
-    sizes = members.groupBy("bucket", "root").count().groupBy("bucket")
-    sizes = sizes.agg(F.sum("count").alias("total"), F.max(F.struct("count", "root")).alias("main"))
+    sizes = members.groupBy("bucket", "root").agg(F.count("*").alias("count"), F.sum("n").alias("shingles")).groupBy("bucket")
+    sizes = sizes.agg(
+        F.sum("count").alias("total"), F.sum("shingles").alias("all_shingles"), F.max(F.struct("count", "root", "shingles")).alias("main")
+    )
     dealt = members.join(sizes, "bucket").withColumn("is_main", F.col("root") == F.col("main.root"))
 
-    def chunks(rows) -> F.Column:
-        return F.ceil(rows / F.lit(CHUNK)).cast("int")
+    def chunks(rows: Column, shingles: Column) -> Column:
+        return F.ceil(F.greatest(rows / F.lit(CHUNK), shingles / F.lit(CHUNK_SHINGLES))).cast("int")
 
-    own = F.pmod(F.xxhash64("node", F.lit(7)), F.when(F.col("is_main"), F.col("n_main")).otherwise(F.col("n_other"))).cast("int")
-    dealt = dealt.withColumn("n_main", chunks(F.col("main.count"))).withColumn("n_other", chunks(F.col("total") - F.col("main.count")))
-    dealt = dealt.withColumn("own", own)
+    dealt = dealt.withColumn("n_main", chunks(F.col("main.count"), F.col("main.shingles")))
+    dealt = dealt.withColumn("n_other", chunks(F.col("total") - F.col("main.count"), F.col("all_shingles") - F.col("main.shingles")))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.when(F.col("is_main"), F.col("n_main")).otherwise(F.col("n_other"))).cast("int"))
 
-    def cell(kind: int, x, y, side) -> F.Column:
+    def cell(kind: int, x: Column, y: Column, side: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), side.cast("int").alias("side"))
 
     own = F.col("own")
@@ -273,46 +304,42 @@ def _cell_pairs(buckets: DataFrame, nodes: DataFrame, roots: DataFrame, least: f
     with_other = F.transform(F.sequence(F.lit(0), F.col("n_other") - 1), lambda i: cell(0, F.least(i, own), F.greatest(i, own), i < own))
     of_main = F.transform(F.sequence(F.lit(0), F.col("n_other") - 1), lambda i: cell(1, own, i, F.lit(0)))
     places = F.when(F.col("is_main"), of_main).otherwise(F.concat(with_main, with_other))
-    dealt = dealt.select("bucket", "node", "n", "root", F.explode(places).alias("x"))
-    dealt = dealt.select(F.xxhash64("bucket", "x.kind", "x.x", "x.y").alias("cell"), F.col("x.side").alias("side"), "node", "n", "root")
-    dealt = dealt.join(nodes.select("node", "registers"), "node").select("cell", "side", "node", "n", "root", "registers")
-    return dealt.repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(_cells(least), "a long, b long").distinct()
+    dealt = dealt.select("bucket", "band", "node", "n", "root", F.explode(places).alias("x"))
+    return dealt.select(F.xxhash64("bucket", "x.kind", "x.x", "x.y").alias("cell"), F.col("x.side").alias("side"), "band", "node", "n", "root")
 
 
-def _links(nodes: DataFrame, rows: DataFrame, words_per_shingle: int, percent: int) -> DataFrame | None:
-    """``(node, root)`` of the linked nodes, or none."""
+def _links(nodes: DataFrame, rows: DataFrame, words_per_shingle: int, percent: int) -> DataFrame:
+    """``(node, root)`` of the linked nodes but the root itself."""
     least = percent / 100
-    buckets = nodes.select("node", "n", F.explode("buckets").alias("bucket"))
+    buckets = nodes.select("node", "n", F.posexplode("buckets").alias("band", "bucket"))
     shared = buckets.groupBy("bucket").count().where("count > 1").select("bucket")
-    buckets = written(buckets.join(shared, "bucket").select("bucket", "node", "n"), "buckets")
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        """The pairs that full sets confirm; of the texts, only those of these pairs are read for it."""
-        first = nodes.select("node", "first.*")
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(first, "node")
-        bits = marked(asked.select("id", "key"))
-        sets = rows.mapInArrow(_sets(words_per_shingle, bits), "node long, members binary")
-        sets = written(sets.dropDuplicates(["node"]), "sets")
-        joined = pairs
+    buckets = written(buckets.join(shared, "bucket").select("bucket", "band", "node", "n"), "buckets")
+
+    def sets(asked: DataFrame) -> DataFrame:
+        """The full sets of some nodes: of the texts, only one for each of these is looked at."""
+        bits = marked(asked.distinct().join(nodes.select("node", "first.*"), "node").select("id", "key"))
+        found = rows.mapInArrow(_sets(words_per_shingle, bits), "node long, members binary")
+        return written(found.dropDuplicates(["node"]), "sets")
+
+    def both(pairs: DataFrame, table: DataFrame) -> DataFrame:
+        """``pairs`` with the columns of ``table`` for either end."""
         for x in ("b", "a"):
-            joined = joined.join(sets.select(F.col("node").alias(x), F.col("members").alias(f"members_{x}")), x)
-        return joined.select("a", "b", "members_a", "members_b").mapInArrow(_verified(percent), "a long, b long")
-
-    pairs = written(_leader_pairs(buckets, least), "pairs")
-    joined = pairs
-    for x in ("b", "a"):
-        joined = joined.join(nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"registers_{x}")), x)
-    joined = joined.select("a", "b", "n_a", "n_b", "registers_a", "registers_b")
-    found = written(checked(written(joined.mapInArrow(_likely(least), "a long, b long"), "likely")), "found")
-    if found.isEmpty():
-        roots = found.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    else:
-        roots = written(components(found), "roots")
-    rest = _cell_pairs(buckets, nodes, roots, least).join(pairs, ["a", "b"], "left_anti")
-    rest = written(rest, "rest")
-    if rest.isEmpty():
+            pairs = pairs.join(table.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in table.columns if c != "node"]), x)
+        return pairs.select("a", "b", *[f"{c}_{x}" for c in table.columns if c != "node" for x in ("a", "b")])
+
+    pairs = _leader_pairs(buckets, least)
+    likely = both(pairs, nodes.select("node", "n", "registers")).mapInArrow(_likely(least), "a long, b long")
+    likely = written(likely, "likely")
+    found = both(likely, sets(likely.select(F.explode(F.array("a", "b")).alias("node")))).mapInArrow(_verified(percent), "a long, b long")
+    found = written(found, "found")
+    roots = written(components(found), "roots")
+    members = written(_mixed(buckets, roots), "members")
+    if members.isEmpty():
         return roots
-    return written(components(found.unionByName(checked(rest))), "roots")
+    dealt = _dealt(members).join(nodes.select("node", "registers"), "node").join(sets(members.select("node")), "node")
+    dealt = dealt.select("cell", "side", "band", "node", "n", "root", "registers", "members").repartition("cell")
+    more = written(dealt.sortWithinPartitions("cell", "side").mapInArrow(_cells(percent), "a long, b long"), "more")
+    return roots if more.isEmpty() else written(components(found.unionByName(more)), "roots")
 
 
 def near_duplicates(documents: DataFrame, words_per_shingle: int = 5, percent: int = 85) -> DataFrame:

@@ -81,6 +81,7 @@ def near_rows():
 @pytest.mark.parametrize("chunk", [512, 4])
 def test_near_duplicates(spark, monkeypatch, chunk):
     monkeypatch.setattr(setsketch, "CHUNK", chunk)
+    monkeypatch.setattr(setsketch, "CHUNK_SHINGLES", chunk << 9)
     data = near_rows()
     found = setsketch.near_duplicates(cases.table(spark, data, clashes=True))
     assert found.columns == ["doc_id", "n_shingles", "component_id", "kept"]
