@@ -74,10 +74,16 @@ def vocabulary(documents: DataFrame, one_in: int = ALTERED, min_chars: int = 5,
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each word and direction: the node of each of its prefixes, by hash, the empty one first."""
-    names = ["spelled", "backwards", "nodes"]
+    """For each word and direction: the node of each of its prefixes, by hash, the empty one first, and the letter that
+    follows it, zero after the last."""
+    kinds = (pa.string(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+
+    def rows(held: list[tuple]) -> pa.RecordBatch:
+        arrays = [pa.array([h[j] for h in held], kind) for j, kind in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays(arrays, ["spelled", "backwards", "nodes", "letters"])
+
     for batch in batches:
-        spelled, turned, nodes = [], [], []
+        held, size = [], 0
         for word in batch.column("word").to_pylist():
             for backwards in (False, True):
                 own = word[::-1] if backwards else word
@@ -86,49 +92,47 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for letter in own:
                     state.update(letter.encode())
                     path.append(state.intdigest())
-                spelled.append(own)
-                turned.append(backwards)
-                nodes.append([x - (1 << 64) if x >> 63 else x for x in path])
-            if len(spelled) >= 1024:
-                yield pa.RecordBatch.from_arrays([pa.array(spelled), pa.array(turned), pa.array(nodes, pa.list_(pa.int64()))], names)
-                spelled, turned, nodes = [], [], []
-        arrays = [pa.array(spelled, pa.string()), pa.array(turned, pa.bool_()), pa.array(nodes, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(arrays, names)
+                held.append((own, backwards, [x - (1 << 64) if x >> 63 else x for x in path], [*map(ord, own), 0]))
+                size += len(path)
+            if size >= PARTIAL_COUNTS:
+                yield rows(held)
+                held, size = [], 0
+        yield rows(held)
 
 
 def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Walks and edges of distinct ``word``.
 
-    Walks are ``(spelled, backwards, at, node)``, each word twice, at the last node of its own path in its first half, as no
-    edit is made before; edges ``(node, letter, label, child, near, onward)``, ``letter`` the first of ``label``, ``near``
-    the word that ends at the child, if any, and ``onward`` the letters that lead on from it.  Roots, words and nodes with
-    several children are kept, chains between them become labels.
+    Walks are ``(spelled, backwards, at, node, end)``, each word twice, at the last node of its own path in its first half,
+    as no edit is made before, and with the node of the whole word; edges ``(node, letter, label, child, ends, onward)``,
+    ``letter`` the first of ``label``, ``ends`` whether the child is a word, and ``onward`` the letters that lead on from it.
+    Roots, words and nodes with several children are kept, chains between them become labels.
     """
     ready_for_python(words.sparkSession)
-    paths = words.select("word").mapInArrow(_prefixes, "spelled string, backwards boolean, nodes array<long>")
-    paths = written(paths, "paths")
-    steps = paths.select("spelled", "backwards", F.posexplode("nodes").alias("depth", "node"))
-    letter = F.substring("spelled", F.col("depth") + 1, F.lit(1))
-    ends = F.col("depth") == F.length("spelled")
-    shape = steps.select("node", "depth", ends.alias("ends"), F.when(~ends, letter).alias("letter")).groupBy("node")
-    shape = shape.agg(F.max("ends").alias("ends"), F.min("letter").alias("low"), F.max("letter").alias("high"), F.min("depth").alias("depth"))
-    kept = shape.where("ends OR low < high OR depth = 0").select("node")
-    own = steps.join(kept, "node").groupBy("spelled", "backwards")
+    schema = "spelled string, backwards boolean, nodes array<long>, letters array<int>"
+    paths = written(words.select("word").mapInArrow(_prefixes, schema), "paths")
+    steps = paths.select("spelled", "backwards", F.posexplode(F.arrays_zip("nodes", "letters")).alias("depth", "x"))
+    steps = steps.select("spelled", "backwards", "depth", "x.*").withColumnRenamed("nodes", "node")
+    letter = F.nullif("letters", F.lit(0))
+    shape = steps.groupBy("node").agg(F.min("letters").alias("least"), F.min(letter).alias("low"), F.max(letter).alias("high"), F.min("depth").alias("depth"))
+    kept = shape.where("least = 0 OR low < high OR depth = 0").select("node")
+    own = steps.select("spelled", "backwards", "depth", "node").join(kept, "node").groupBy("spelled", "backwards")
     own = own.agg(F.sort_array(F.collect_list(F.struct("depth", "node"))).alias("path"))  # as many as the word has letters
     own = written(own, "walks")
     pairs = F.zip_with(F.slice("path", 1, F.size("path") - 1), F.slice("path", 2, F.size("path") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     edges = own.select("spelled", F.explode(pairs).alias("x"))
     label = F.substring("spelled", F.col("x.a.depth") + 1, F.col("x.b.depth") - F.col("x.a.depth"))
-    near = F.when(F.col("x.b.depth") == F.length("spelled"), F.col("spelled"))
-    edges = edges.select(F.col("x.a.node").alias("node"), label.alias("label"), F.col("x.b.node").alias("child"), near.alias("near"))
-    edges = edges.groupBy("node", "label", "child").agg(F.max("near").alias("near"))
-    edges = edges.select("node", F.substring("label", 1, 1).alias("letter"), "label", "child", "near")
+    ends = F.col("x.b.depth") == F.length("spelled")
+    edges = edges.select(F.col("x.a.node").alias("node"), label.alias("label"), F.col("x.b.node").alias("child"), ends.alias("ends"))
+    edges = edges.groupBy("node", "label", "child").agg(F.max("ends").alias("ends"))
+    edges = edges.select("node", F.substring("label", 1, 1).alias("letter"), "label", "child", "ends")
     onward = edges.groupBy(F.col("node").alias("child")).agg(F.array_join(F.collect_list("letter"), "").alias("onward"))  # letters differ
-    edges = edges.join(onward, "child", "left").select("node", "letter", "label", "child", "near", F.coalesce("onward", F.lit("")).alias("onward"))
+    edges = edges.join(onward, "child", "left").select("node", "letter", "label", "child", "ends", F.coalesce("onward", F.lit("")).alias("onward"))
     # before the place where the last letter may be left out, too
     half = F.greatest(F.lit(0), F.least(F.floor(F.length("spelled") / 2), F.length("spelled") - 2))
     start = F.element_at(F.filter("path", lambda x: x["depth"] <= half), -1)
-    walks = own.select("spelled", "backwards", start["depth"].alias("at"), start["node"].alias("node"))
+    end = F.element_at("path", -1)["node"].alias("end")
+    walks = own.select("spelled", "backwards", start["depth"].alias("at"), start["node"].alias("node"), end)
     return walks, written(edges, "edges")
 
 
@@ -144,14 +148,13 @@ def _common(label: Column, rest: Column) -> Column:
 
 
 def _level(states: DataFrame, edges: DataFrame) -> DataFrame:
-    """The states after one more edge each, with ``near`` where one of them ends at a word one edit away."""
+    """The states after one more edge each; ``arrived`` where one of them ends at a word one edit away."""
     size, half = F.length("spelled"), F.floor(F.length("spelled") / 2).cast("int")
-    here = F.substring("spelled", F.col("at") + 1, F.lit(1))
-    along = states.withColumn("letter", here).join(edges, ["node", "letter"])
+    along = F.col("letter") == F.substring("spelled", F.col("at") + 1, F.lit(1))
+    away = (F.col("edits") == 0) & (F.col("at") >= half)
     rest = F.substring("spelled", F.col("at") + 1, size)
-    along = along.withColumn("k", _common(F.col("label"), rest)).drop("letter")
-    away = states.where((F.col("edits") == 0) & (F.col("at") >= half)).withColumn("here", here)
-    away = away.join(edges, "node").where("here <> letter").withColumn("k", F.lit(0)).drop("here", "letter")
+    joined = states.join(edges, "node").where(along | away)
+    joined = joined.withColumn("k", F.when(along, _common(F.col("label"), rest)).otherwise(0))
 
     at, k, label, n = F.col("at"), F.col("k"), F.col("label"), F.length("label")
     free = F.col("edits") == 0
@@ -172,16 +175,15 @@ def _level(states: DataFrame, edges: DataFrame) -> DataFrame:
     replaced = state(free & late & (k < n) & (at + k < size) & (left(k + 1) == next_of(k + 1, n - k - 1)), at + n, F.lit(1))
     inserted = state(free & (at + j >= half) & (left(j + 1) == next_of(j, n - j - 1)), at + n - 1, F.lit(1))
     deleted = state(free & late & (k < n) & (left(k) == next_of(k + 1, n - k)), at + n + 1, F.lit(1))
-    kept = ["spelled", "backwards", "child", "near", "onward"]
-    moved = along.unionByName(away).select(*kept, F.explode(F.array(same, replaced, inserted, deleted)).alias("x"))
-    moved = moved.where("x IS NOT NULL").select("spelled", "backwards", "x.*", F.col("child").alias("node"), "near", "onward")
+    moved = joined.select("spelled", "backwards", "child", "ends", "onward", F.explode(F.array(same, replaced, inserted, deleted)).alias("x"))
+    moved = moved.where("x IS NOT NULL").select("spelled", "backwards", "x.*", F.col("child").alias("node"), "ends", "onward")
     # an edit is left over, or it deletes the word's last letter
-    arrived = ((F.col("edits") == 1) & (F.col("at") == size)) | ((F.col("edits") == 0) & (F.col("at") == size - 1))
-    moved = moved.withColumn("near", F.when(arrived, F.col("near")))
+    done = ((F.col("edits") == 1) & (F.col("at") == size)) | ((F.col("edits") == 0) & (F.col("at") == size - 1))
+    moved = moved.withColumn("arrived", F.col("ends") & done)
     # what can't go on: no edge leads on, or, after the edit, none with the next letter
     wanted = F.substring("spelled", F.col("at") + 1, F.lit(1))
     goes_on = F.when(F.col("edits") == 0, F.col("onward") != "").otherwise((F.col("at") < size) & F.col("onward").contains(wanted))
-    return moved.withColumn("goes_on", goes_on).where("goes_on OR near IS NOT NULL").drop("onward")
+    return moved.withColumn("goes_on", goes_on).where("goes_on OR arrived").drop("onward", "ends")
 
 
 def neighbours(words: DataFrame) -> DataFrame:
@@ -190,19 +192,20 @@ def neighbours(words: DataFrame) -> DataFrame:
     The number of levels is the largest number of branchings and words on one path; each level's frontier is a table.
     """
     walks, edges = trie(words)
-    states = walks.withColumn("edits", F.lit(0))
+    states = walks.drop("end").withColumn("edits", F.lit(0))
     found = None
     while True:
         level = written(_level(states, edges), "frontier")
-        own = level.where("near IS NOT NULL").select("spelled", "backwards", "near")
+        own = level.where("arrived").select("spelled", "backwards", "node")
         found = own if found is None else found.unionByName(own)
-        states = level.where("goes_on").drop("near", "goes_on")
+        states = level.where("goes_on").drop("arrived", "goes_on")
         if states.isEmpty():
             break
 
     def forwards(word: str) -> Column:
         return F.when(F.col("backwards"), F.reverse(word)).otherwise(F.col(word))
 
+    found = found.distinct().join(walks.select(F.col("end").alias("node"), F.col("spelled").alias("near")), "node")
     return written(found.select(forwards("spelled").alias("word"), forwards("near").alias("near")).distinct(), "neighbours")
 
 
