@@ -205,7 +205,7 @@ def test_pipeline_against_brute_force(spark, tmp_path, library):
 
     texts = {r[0]: r[1] for r in brute_lines(kept, min_texts=10) if r[3] == 0 or re.search("[^\x20\x09-\x0d]", r[1])}
     ids = sorted(texts)
-    roots = groups([brute_fingerprint(texts[i]) for i in ids])
+    roots = jaccard_groups([texts[i] for i in ids])
     single = {i for n, i in enumerate(ids) if roots[n] == n}
     assert len(single) < len(ids)
     left = spark.createDataFrame([(i, texts[i], None, next(r[3] for r in data if r[0] == i), 1) for i in single], cases.SCHEMA)
