@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkrubric.functions import outputs as op
 from sparkrubric.functions import text as tx
+from sparkrubric.operators import approximate as ap
 from sparkrubric.operators import entities as en
 from sparkrubric.operators import ordered as od
 from sparkrubric.operators import quality as ql
@@ -353,6 +354,30 @@ def mentioned(spark, sf):
     return en.term_mentions(docs, "doc_id", "text", table(spark, sf, "benchmark"), "item_id", "text")
 
 
+def approximately_mentioned(spark, sf):
+    """Names of the benchmark's items, the first four words and the next three, in documents with planted typos and
+    negations."""
+    words = F.split("text", "[ \n]+")
+    names = table(spark, sf, "benchmark").select(
+        "item_id", F.posexplode(F.array(F.array_join(F.slice(words, 1, 4), " "), F.array_join(F.slice(words, 5, 3), " "))).alias("position", "name")
+    )
+    typos = F.regexp_replace(F.regexp_replace("text", "er ", "r "), "([a-z])the", "$1hte")
+    docs = spread(table(spark, sf, "documents")).select("doc_id", F.regexp_replace(typos, " (der|of) ", " nu ").alias("text"))
+    return ap.approximate_mentions(docs, "doc_id", "text", names, "item_id", "position", "name")
+
+
+# every window of every text is beyond SQL's means; the tests hold both queries to a version that scores them all
+@reg.add("approximate_mentions")
+def _(spark, sf):
+    return approximately_mentioned(spark, sf).withColumn("score", r6("score"))
+
+
+@reg.add("approximate_best_mention")
+def _(spark, sf):
+    best = ap.best_mentions(approximately_mentioned(spark, sf), "doc_id", "item_id", "position")
+    return best.withColumn("score", r6("score"))
+
+
 @reg.add("mention_join", f"WITH {_FOUND} SELECT doc_id, item_id FROM found")
 def _(spark, sf):
     return mentioned(spark, sf)
