@@ -26,8 +26,8 @@ RUN = re.compile("[a-zÀ-ÿ]+")
 #: One (document, run) in so many loses a letter.
 ALTERED = 97
 PARTIAL_COUNTS = 1 << 16
-#: Powers of two by which the common beginning of two labels is measured; labels are shorter than twice the first.
-STEPS = [1 << n for n in range(30, -1, -1)]
+#: Powers of two by which the common beginning of two labels is measured, for labels shorter than twice the first.
+SHORT_STEPS, STEPS = [16, 8, 4, 2, 1], [1 << n for n in range(30, -1, -1)]
 
 
 def altered(doc_id: int | None, run: str, one_in: int) -> str:
@@ -143,8 +143,8 @@ def _common(label: Column, rest: Column) -> Column:
         fits = (k + step <= F.length(label)) & (F.substring(label, k + 1, step) == F.substring(rest, k + 1, step))
         return F.when(fits, k + step).otherwise(k)
 
-    whole = label == F.substring(rest, F.lit(1), F.length(label))
-    return F.when(whole, F.length(label)).otherwise(F.aggregate(F.array(*map(F.lit, STEPS)), F.lit(0), longer))
+    short, long = (F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), longer) for steps in (SHORT_STEPS, STEPS))
+    return F.when(F.length(label) < 2 * SHORT_STEPS[0], short).otherwise(long)
 
 
 def _level(states: DataFrame, edges: DataFrame) -> DataFrame:
@@ -154,7 +154,10 @@ def _level(states: DataFrame, edges: DataFrame) -> DataFrame:
     away = (F.col("edits") == 0) & (F.col("at") >= half)
     rest = F.substring("spelled", F.col("at") + 1, size)
     joined = states.join(edges, "node").where(along | away)
-    joined = joined.withColumn("k", F.when(along, _common(F.col("label"), rest)).otherwise(0))
+    whole = F.col("label") == F.substring(rest, F.lit(1), F.length("label"))
+    # after an edit only whole labels count
+    measured = along & (F.col("edits") == 0)
+    joined = joined.withColumn("k", F.when(whole, F.length("label")).when(measured, _common(F.col("label"), rest)).otherwise(0))
 
     at, k, label, n = F.col("at"), F.col("k"), F.col("label"), F.length("label")
     free = F.col("edits") == 0
