@@ -20,91 +20,124 @@ from pyspark.sql import functions as F
 from sparkrubric.llm.storage import ready_for_python, written
 
 WILDCARD = b"<*>"
-VARIABLE = re.compile(rb"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
-LINE_SCHEMA = "doc_id long, text_key long, line int, n_tokens int, leaf long, masked long, tail binary"
+DIGITS = b"0123456789"
+DIGIT = re.compile(rb"[0-9]")
+FILTER_BITS = 1 << 23
+LINE_SCHEMA = "doc_id long, text_key long, line int, n_tokens int, leaf long, masked long"
+MEMBER_SCHEMA = "text_key long, line int, leaf long, tail string"
+
+
+def _tokens(line: bytes) -> list[bytes]:
+    tokens = line.split()
+    if len(line.translate(None, DIGITS)) < len(line):
+        has_digit = DIGIT.search
+        tokens = [WILDCARD if has_digit(x) else x for x in tokens]
+    return tokens
+
+
+def _leaf(tokens: list[bytes], depth: int) -> int:
+    return xxhash.xxh64_intdigest(b"%d " % len(tokens) + b" ".join(tokens[:depth]))
+
+
+def _longs(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
 def _lines(depth: int):
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in LINE_SCHEMA.split(", ")]
-        digest, short = xxhash.xxh64_intdigest, xxhash.xxh32_intdigest
+        digest = xxhash.xxh64_intdigest
         for batch in batches:
-            ids: list = []
-            tails: list[bytes] = []
-            rows: list[tuple] = []
-            for doc_id, text in zip(batch.column("doc_id"), batch.column("text").cast(pa.binary()), strict=True):
-                text, doc_id = text.as_py(), doc_id.as_py()
-                key = digest(text, 42)
+            ids, keys, places, sizes, leaves, masked = ([] for _ in names)
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
+                text = text.as_py()
+                before = len(places)
                 for n, line in enumerate(text.split(b"\n")):
-                    tokens = VARIABLE.sub(WILDCARD, line).split()
-                    if not tokens or all(x == WILDCARD for x in tokens):
+                    tokens = _tokens(line)
+                    if tokens.count(WILDCARD) == len(tokens):
                         continue
-                    leaf = digest(b"%d " % len(tokens) + b" ".join(tokens[:depth]))
-                    ids.append(doc_id)
-                    rows.append((key, n, len(tokens), leaf, digest(b" ".join(tokens))))
-                    tails.append(np.array([short(x) & 0xFFFF for x in tokens[depth:]], "<u2").tobytes())
-            columns = np.array(rows, np.uint64).reshape(-1, 5).T.copy().view(np.int64)
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-            arrays = [pa.array(ids, pa.int64()), *(pa.array(c).cast(k) for c, k in zip(columns, kinds, strict=True))]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(tails, pa.binary())], names)
+                    places.append(n)
+                    sizes.append(len(tokens))
+                    leaves.append(_leaf(tokens, depth))
+                    masked.append(digest(b" ".join(tokens)))
+                found = len(places) - before
+                ids += [doc_id] * found
+                keys += [digest(text, 42)] * found
+            small = [pa.array(x, pa.int32()) for x in (places, sizes)]
+            columns = [pa.array(ids, pa.int64()), _longs(keys), *small, _longs(leaves), _longs(masked)]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return lines
 
 
-def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(leaf, place, mark, n)``, added up within a batch."""
-    for batch in batches:
-        by_leaf: dict[tuple, list[bytes]] = {}
-        for leaf, tail in zip(batch.column("leaf").to_pylist(), batch.column("tail").to_pylist(), strict=True):
-            by_leaf.setdefault((leaf, len(tail)), []).append(tail)
-        parts = []
-        for (leaf, _), tails in by_leaf.items():
-            marks = np.frombuffer(b"".join(tails), "<u2").reshape(len(tails), -1).astype(np.int64)
-            places = np.broadcast_to(np.arange(marks.shape[1]), marks.shape)
-            keys, n = np.unique((places << 16 | marks).ravel(), return_counts=True)
-            parts.append(np.stack([np.full(len(keys), leaf), keys >> 16, keys & 0xFFFF, n]))
-        columns = np.concatenate(parts, axis=1) if parts else np.empty((4, 0), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["leaf", "place", "mark", "n"])
-
-
-def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``agree``: the share of a line's tail that equals the constants of its leaf."""
-    for batch in batches:
-        shares = []
-        for tail, places, marks in zip(*(batch.column(x).to_pylist() for x in ("tail", "places", "marks")), strict=True):
-            own, places, marks = np.frombuffer(tail, "<u2"), np.array(places, int), np.array(marks, int)
-            fits = places < len(own)
-            shares.append(float((own[places[fits]] == marks[fits]).sum()) / len(own))
-        kept = [batch.column(x) for x in ("text_key", "line", "leaf")]
-        yield pa.RecordBatch.from_arrays([*kept, pa.array(shares, pa.float64())], ["text_key", "line", "leaf", "agree"])
+def _members(depth: int, bits: np.ndarray):
+    """The lines whose leaf's bit is set, with their tokens after the leading ones."""
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in MEMBER_SCHEMA.split(", ")]
+        flags = np.unpackbits(bits).tobytes()
+        for batch in batches:
+            keys, places, leaves, tails = ([] for _ in names)
+            for text in batch.column("text").cast(pa.binary()):
+                text = text.as_py()
+                before = len(places)
+                for n, line in enumerate(text.split(b"\n")):
+                    tokens = _tokens(line)
+                    if len(tokens) <= depth or tokens.count(WILDCARD) == len(tokens):
+                        continue
+                    leaf = _leaf(tokens, depth)
+                    if flags[leaf & (FILTER_BITS - 1)]:
+                        places.append(n)
+                        leaves.append(leaf)
+                        tails.append(b" ".join(tokens[depth:]))
+                if len(places) > before:
+                    keys += [xxhash.xxh64_intdigest(text, 42)] * (len(places) - before)
+            tails = pa.array(tails, pa.binary()).cast(pa.string())
+            columns = [_longs(keys), pa.array(places, pa.int32()), _longs(leaves), tails]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return members
+
+
+def _leaf_bits(leaves: DataFrame) -> np.ndarray:
+    """A bit for each leaf, by its low bits: one megabyte at any size of the data."""
+    bit = F.col("leaf").bitwiseAND(F.lit(FILTER_BITS - 1)) + 1  # Spark's bitmaps count from one
+    parts = leaves.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("n"))
+    parts = parts.agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    bits = np.zeros(FILTER_BITS, bool)
+    for part in parts.collect():
+        own = np.unpackbits(np.frombuffer(part["bits"], np.uint8), bitorder="little")
+        bits[(part["n"] - 1) * len(own) :][: len(own)] = own
+    return np.packbits(bits)
 
 
 def line_templates(documents: DataFrame, depth: int = 3, agreement: float = 0.6, min_texts: int = 10) -> DataFrame:
     """``(doc_id, text_key, line, template)`` of every line that has a token besides wildcards; ``text_key`` is the text's
     ``xxhash64``.  Only leaves that hold lines of ``min_texts`` texts, and not one line alone, are generalised: no
-    template of another leaf can recur more often than its lines do."""
+    template of another leaf can recur more often than its lines do.  Tokens are compared whole, and only lines of such
+    leaves carry them."""
     ready_for_python(documents.sparkSession)
     texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL")
     lines = written(texts.mapInArrow(_lines(depth), LINE_SCHEMA), "lines")
-    leaves = lines.where("length(tail) > 0").select("leaf", "text_key", "masked").distinct()
+    leaves = lines.where(F.col("n_tokens") > depth).select("leaf", "text_key", "masked").distinct()
     leaves = leaves.groupBy("leaf").agg(
         F.approx_count_distinct("text_key").alias("texts"), F.min("masked").alias("low"), F.max("masked").alias("high")
     )
     # the approximate count only decides which leaves are worth a look, with a wide margin
     busy = written(leaves.where((F.col("texts") * 2 >= min_texts) & (F.col("low") < F.col("high"))).select("leaf"), "leaves")
-    members = lines.where("length(tail) > 0").select("text_key", "line", "leaf", "tail").join(busy, "leaf")
-    members = written(members.select("text_key", "line", "leaf", "tail"), "members")
-    counts = members.select("leaf", "tail").mapInArrow(_positions, "leaf long, place long, mark long, n long")
-    counts = counts.groupBy("leaf", "place", "mark").agg(F.sum("n").alias("n"))
+    members = texts.select("text").mapInArrow(_members(depth, _leaf_bits(busy)), MEMBER_SCHEMA).join(busy, "leaf")
+    members = written(members.select("text_key", "line", "leaf", F.split("tail", " ").alias("tail")), "members")
+    counts = members.select("leaf", F.posexplode("tail").alias("place", "token"))
+    counts = counts.groupBy("leaf", "place", "token").agg(F.count("*").alias("n"))
     sizes = members.groupBy("leaf").agg(F.count("*").alias("lines"))
     constants = counts.join(sizes, "leaf").where("2 * n > lines").groupBy("leaf")
-    constants = constants.agg(F.collect_list("place").alias("places"), F.collect_list("mark").alias("marks"))
-    agreeing = members.join(written(constants, "constants"), "leaf").select("text_key", "line", "leaf", "tail", "places", "marks")
-    agreeing = agreeing.mapInArrow(_agreement, "text_key long, line int, leaf long, agree double")
-    general = written(agreeing.where(F.col("agree") >= agreement).select("text_key", "line", "leaf").distinct(), "general")
+    constants = written(constants.agg(F.collect_list(F.struct("place", "token")).alias("constants")), "constants")
+    agreeing = F.size(F.filter("constants", lambda c: F.get("tail", c["place"]) == c["token"]))
+    general = members.join(constants, "leaf").where(agreeing / F.size("tail") >= agreement)
+    general = written(general.select("text_key", "line", "leaf").distinct(), "general")
     general = general.select("text_key", "line", F.xxhash64("leaf").alias("general"))
     template = F.coalesce("general", "masked").alias("template")
-    return lines.drop("tail", "leaf").join(general, ["text_key", "line"], "left").select("doc_id", "text_key", "line", template)
+    return lines.drop("n_tokens", "leaf").join(general, ["text_key", "line"], "left").select("doc_id", "text_key", "line", template)
 
 
 def drop_templates(
