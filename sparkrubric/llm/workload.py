@@ -229,9 +229,9 @@ WITH kinds(kind, name, pattern, prefix, least) AS (VALUES
     (3, 'generic', '[A-Za-z0-9+/_-]{20,}', '^$', 20)
 ),
 matches AS (
-    SELECT doc_id, source, kind, name, prefix, least, unnest(m) AS m, unnest(gaps[:len(m)]) AS gap, unnest(generate_series(1, len(m))) AS i
+    SELECT doc_id, source, text, kind, name, prefix, least, unnest(m) AS m, unnest(gaps[:len(m)]) AS gap, unnest(generate_series(1, len(m))) AS i
     FROM (
-        SELECT d.doc_id, d.source, k.*, regexp_extract_all(coalesce(d.text, ''), k.pattern) AS m,
+        SELECT d.doc_id, d.source, d.text, k.*, regexp_extract_all(coalesce(d.text, ''), k.pattern) AS m,
             string_split_regex(coalesce(d.text, ''), k.pattern) AS gaps
         FROM documents d, kinds k
     )
@@ -242,15 +242,16 @@ placed AS (
     FROM matches
 ),
 candidates AS (
-    SELECT doc_id, source, kind, name, (stop - length(m))::BIGINT AS start, stop::BIGINT AS stop, value,
+    SELECT doc_id, source, text, kind, name, (stop - length(m))::BIGINT AS start, stop::BIGINT AS stop, value,
         len(list_distinct(string_split(value, ''))) >= 8 AS varied
     FROM placed
     WHERE length(value) >= least AND (kind < 3 OR regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]'))
 ),
-owned AS (SELECT value, count(DISTINCT source) AS owners FROM candidates GROUP BY value),
+held AS (SELECT value, text, min(coalesce('by ' || source, '')) AS owner FROM candidates GROUP BY value, text),
+owned AS (SELECT value, count(DISTINCT owner) AS owners, count(*) AS texts FROM held GROUP BY value),
 spans AS (
-    SELECT c.*, varied AND owners < 2 AS live FROM candidates c JOIN owned USING (value)
-    WHERE kind < 3 OR varied AND owners < 2 AND NOT EXISTS (
+    SELECT c.*, varied AND owners < 3 AND texts < 10 AS live FROM candidates c JOIN owned USING (value)
+    WHERE kind < 3 OR varied AND owners < 3 AND texts < 10 AND NOT EXISTS (
         SELECT 1 FROM candidates b WHERE b.doc_id = c.doc_id AND b.kind < 3 AND b.start < c.stop AND c.start < b.stop)
 ),
 listed AS (
@@ -266,9 +267,13 @@ FROM documents LEFT JOIN listed USING (doc_id)
 """
 
 
+#: From so many owners, or different texts, on a value is a widely copied example; copies of a text count once.
+OWNERS, TEXTS = 3, 10
+
+
 @reg.add("op5_secret_ownership", SECRETS_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = credentials.scan(table(spark, sf_dir, "documents"))
+    found = credentials.scan(table(spark, sf_dir, "documents"), copied_by=OWNERS, copied_in=TEXTS)
     base = F.filter("found", lambda s: s["kind"] < credentials.BASE)
 
     def count(kind: int):

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from sparkrubric.llm import credentials, language, lines, mixing, repeats, rules
+from sparkrubric.llm import credentials, language, lines, mixing, repeats, rules, workload
 from tests.llm import cases
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -162,7 +164,20 @@ def test_secrets_by_owners_and_texts(spark):
 
     assert listed(copied_by=3, copied_in=3) == {10, 11, 12, 20, 21}
     assert listed(copied_by=2, copied_in=3) == {10, 11, 12}
-    assert listed() == {0, 1, 2, 3, 4}  # owners alone, as the SQL twin has it
+    assert listed() == {0, 1, 2, 3, 4}  # owners alone
+
+
+def test_secrets_query(spark, tmp_path):
+    """The registered query's own bounds: ten texts of one source are an example, one text under three sources isn't."""
+    hot, copied, few = "Hot1Example2Value3Abcdefg", "Once4Written5Twice6Hijkl", "Nine7Texts8One9Owner0Mno"
+    data = [(n, f"sample {n} {hot} end", "src0") for n in range(10)]
+    data += [(20 + n, f"mine {copied} end", f"src{n}") for n in range(3)]
+    data += [(40 + n, f"text {n} {few} end", "src0") for n in range(9)]
+    spark.createDataFrame([(i, t, None, s, 1) for i, t, s in data], cases.SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    found = workload.op5(spark, str(tmp_path)).collect()
+    assert len(found) == len(data)
+    assert {r["doc_id"] for r in found if r["n_live"]} == {20, 21, 22, *range(40, 49)}
+    assert all(bool(r["spans"]) == bool(r["n_live"]) for r in found)
 
 
 def brute_lines(data, depth=3, agreement=0.6, min_texts=3):
@@ -222,6 +237,21 @@ def test_lines(spark):
     assert lines.drop_templates(cases.table(spark, [])).count() == 0
 
 
+def test_lines_compare_whole_tokens(spark):
+    """Different tokens whose short hashes agree are different tokens."""
+    seen: dict[int, str] = {}
+    for letters in itertools.product("abcdefghij", repeat=4):
+        word = "".join(letters)
+        other = seen.setdefault(xxhash.xxh32_intdigest(word) & 0xFFFF, word)
+        if other != word:
+            break
+    data = [(i, f"start of line {other} {w}", None, None, 1) for i, w in enumerate("ann bob cid".split())]
+    data += [(10, f"start of line {word} dee", None, None, 1), (11, f"start of line {other} dee", None, None, 1)]
+    found = cases.same(lines.drop_templates(cases.table(spark, data), agreement=0.5, min_texts=3).select("doc_id", "text", "n_lines", "n_dropped"))
+    assert found == sorted(brute_lines(data, agreement=0.5), key=repr)
+    assert {r[0]: r[3] for r in found} == {0: 0, 1: 1, 2: 1, 10: 0, 11: 1}
+
+
 def test_mixing(spark):
     data = cases.rows(4, 200)
     mixed = mixing.mix(cases.table(spark, data, clashes=True))
