@@ -1,10 +1,11 @@
 """Exact top-k BM25 search: an inverted index for each shard, pruned dynamically by block maxima.
 
-Documents are dealt to shards by hash.  A shard's postings carry their impact, and each term the largest impact in each
-block of ``BLOCK`` documents.  For a query, terms are ordered by the most that they can add; those before the pivot cannot
-lift a document over the current k-th score together, so only documents with a term from the pivot on are candidates, and
-of these only those whose block's maxima reach the threshold are scored.  Weights use statistics of all documents, so a
-shard's scores are final and the shards' best merge exactly.
+Documents are dealt to shards by hash.  A shard's postings carry an upper bound of their impact, and each term the largest
+one in each block of ``BLOCK`` documents.  For a query, a block whose maxima together don't reach the current k-th score is
+skipped as a whole.  Terms are ordered by the most that they can add; those before the pivot cannot lift a document over
+that score together, so in the blocks that are left only documents with a term from the pivot on are candidates, and of
+these only those whose bound reaches the threshold are scored.  Weights use statistics of all documents, so a shard's
+scores are final and the shards' best merge exactly.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ from sparkrubric.llm.storage import ready_for_python, written
 TERM = re.compile(rb"[a-z0-9\x80-\xff]+")
 K1, B = 1.2, 0.75
 BLOCK = 64
-#: Bounds are kept in single precision; this much is added before they rule a document out.
-SLACK = 1e-4
+#: Bounds are held in single precision, rounded up, and summed in double precision; sums of ``n`` terms are off by at most
+#: ``n * 2 ** -53`` of their size, so with this margin they stay bounds for texts of millions of different terms.
+MARGIN = 1 + 1e-9
 FILTER_BITS = 1 << 23
 TERMS_SCHEMA = "doc_id long, length int, terms array<long>, counts array<int>"
 
@@ -77,6 +79,12 @@ def _term_bits(queries: DataFrame) -> np.ndarray:
     return np.packbits(bits)
 
 
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the ranges, one after another, and the ranges' lengths."""
+    sizes = ends - starts
+    return np.repeat(starts - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum()), sizes
+
+
 class Shard:
     """Inverted index of some documents, with their own term lists to score candidates exactly."""
 
@@ -90,7 +98,11 @@ class Shard:
         order = np.argsort(self.own_terms, kind="stable")
         flat, self.docs, tf = self.own_terms[order], docs[order], self.own_counts[order]
         del order, docs
-        self.impacts = (tf * (K1 + 1) / (tf + self.norm[self.docs])).astype(np.float32)
+        impacts = tf * (K1 + 1) / (tf + self.norm[self.docs])
+        self.impacts = impacts.astype(np.float32)
+        low = self.impacts < impacts
+        self.impacts[low] = np.nextafter(self.impacts[low], np.float32(np.inf))
+        del impacts, low
         starts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.empty(0, int)
         self.known, self.starts = flat[starts], np.r_[starts, len(flat)]
         self.most = np.maximum.reduceat(self.impacts, starts) if len(starts) else np.empty(0, np.float32)
@@ -100,15 +112,24 @@ class Shard:
         self.block_of = blocks[places]
         self.block_most = np.maximum.reduceat(self.impacts, places) if len(places) else np.empty(0, np.float32)
         self.block_starts = np.searchsorted(places, self.starts)
+        self.places = np.r_[places, len(flat)]
         self.n_blocks = -(-len(ids) // BLOCK)
 
-    def _added(self, at: np.ndarray, weights: np.ndarray, starts: np.ndarray, keys: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-        """Sum of weighted values by key over the lists of the terms ``at``."""
-        sizes = starts[at + 1] - starts[at]
-        if not sizes.sum():
-            return np.zeros(size)
-        rows = np.repeat(starts[at] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
-        return np.bincount(keys[rows], values[rows] * np.repeat(weights, sizes), size)
+    def _block_bounds(self, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The most that the terms ``at`` can add to a document, by block."""
+        runs, sizes = _ranges(self.block_starts[at], self.block_starts[at + 1])
+        return np.bincount(self.block_of[runs], self.block_most[runs] * np.repeat(weights, sizes), self.n_blocks)
+
+    def _bounds(self, at: np.ndarray, weights: np.ndarray, alive: np.ndarray | None = None) -> np.ndarray:
+        """The most that the terms ``at`` add to each document; only blocks that are ``alive`` are read."""
+        if alive is None:
+            rows, sizes = _ranges(self.starts[at], self.starts[at + 1])
+            return np.bincount(self.docs[rows], self.impacts[rows] * np.repeat(weights, sizes), len(self.ids))
+        runs, sizes = _ranges(self.block_starts[at], self.block_starts[at + 1])
+        kept = alive[self.block_of[runs]]
+        runs, own = runs[kept], np.repeat(weights, sizes)[kept]
+        rows, sizes = _ranges(self.places[runs], self.places[runs + 1])
+        return np.bincount(self.docs[rows], self.impacts[rows] * np.repeat(own, sizes), len(self.ids))
 
     def score(self, doc: int, terms: np.ndarray, weights: np.ndarray) -> float:
         mine = slice(self.ends[doc], self.ends[doc + 1])
@@ -143,16 +164,16 @@ class Shard:
         # a first threshold from the documents that the strongest terms point to
         sizes = self.starts[at + 1] - self.starts[at]
         strong = max(1, int(np.searchsorted(np.cumsum(sizes[::-1]), 64 * k)))
-        first = self._added(at[-strong:], own[-strong:], self.starts, self.docs, self.impacts, len(self.ids))
+        first = self._bounds(at[-strong:], own[-strong:])
         least = min(k, len(first))
         threshold = exact(best[first[best] > 0]) if len(best := np.argpartition(-first, least - 1)[:least]) else 0.0
 
-        total = np.cumsum(bound)
-        pivot = int(np.searchsorted(total + SLACK, threshold))
-        partial = self._added(at[pivot:], own[pivot:], self.starts, self.docs, self.impacts, len(self.ids))
-        rest = self._added(at[:pivot], own[:pivot], self.block_starts, self.block_of, self.block_most, self.n_blocks)
+        pivot = int(np.searchsorted(np.cumsum(bound) * MARGIN, threshold))
+        rest = self._block_bounds(at[:pivot], own[:pivot])
+        alive = (rest + self._block_bounds(at[pivot:], own[pivot:])) * MARGIN >= threshold
+        partial = self._bounds(at[pivot:], own[pivot:], None if alive.all() else alive)
         docs = np.flatnonzero(partial)
-        most = partial[docs] + rest[docs // BLOCK] + SLACK
+        most = (partial[docs] + rest[docs // BLOCK]) * MARGIN
         docs, most = docs[most >= threshold], most[most >= threshold]
         order = np.argsort(-most)
         docs, most = docs[order], most[order]

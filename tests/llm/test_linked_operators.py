@@ -192,6 +192,36 @@ def test_search(spark, shard):
     assert search.search(docs, asked.limit(0)).count() == 0
 
 
+def test_bounds_of_long_texts():
+    """Bounds stay above exact scores where thousands of terms add up, and near ties lose nothing."""
+    rng = np.random.default_rng(7)
+    terms = np.sort(rng.choice(1 << 40, 6000, replace=False)).astype(np.int64)
+    own = [np.sort(rng.choice(terms, n, replace=False)) for n in [*[6000] * 40, *[5990] * 60, *[30] * 100]]
+    counts = [rng.integers(1, 4, len(t)).astype(np.int32) for t in own]
+    shard = search.Shard(list(range(len(own))), np.array([c.sum() for c in counts], float), own, counts, 5000.0)
+    for weights in (rng.uniform(1, 12, len(terms)), np.full(len(terms), 11.7)):
+        exact = [shard.score(d, terms, weights) for d in range(len(own))]
+        at = np.arange(len(shard.known))
+        most = shard._bounds(at, weights[np.searchsorted(terms, shard.known)]) * search.MARGIN
+        assert (most >= exact).all()
+        assert shard.top(terms, weights, 10) == sorted(((s, d) for d, s in enumerate(exact)), key=lambda x: (-x[0], x[1]))[:10]
+
+
+def test_blocks_are_skipped():
+    """A shard whose blocks differ: the skipped ones hold no hit."""
+    rng = np.random.default_rng(8)
+    terms = np.arange(50, dtype=np.int64)
+    own = [terms if d // search.BLOCK == 3 else terms[d // search.BLOCK :][:2] for d in range(10 * search.BLOCK)]
+    counts = [rng.integers(1, 9, len(t)).astype(np.int32) for t in own]
+    shard = search.Shard(list(range(len(own))), np.full(len(own), 50.0), own, counts, 50.0)
+    read = []
+    bounds = shard._bounds
+    shard._bounds = lambda at, weights, alive=None: (read.append(alive), bounds(at, weights, alive))[1]
+    exact = [shard.score(d, terms, np.ones(50)) for d in range(len(own))]
+    assert shard.top(terms, np.ones(50), 10) == sorted(((s, d) for d, s in enumerate(exact)), key=lambda x: (-x[0], x[1]))[:10]
+    assert read[-1].tolist() == [b == 3 for b in range(10)]
+
+
 def test_pipeline_against_brute_force(spark, tmp_path, library):
     data = [r for r in cases.rows(10, 150) if r[0] is not None][:-2]
     cases.table(spark, data).write.parquet(f"{tmp_path}/documents.parquet")
