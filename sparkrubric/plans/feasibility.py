@@ -1,14 +1,16 @@
 """Does a plan exist that meets all constraints of an instance?
 
 Each test works on one row: the candidates of an instance are a short array, and a fold keeps the set of reachable
-states, merged after every step.  Candidates that cannot matter are dropped first, so long candidate lists reduce to
+states, merged after every step; menus without repeats are searched depth first instead.  Candidates that cannot matter are dropped first, so long candidate lists reduce to
 a bounded one (``cheapest_per_class``).  Constraints are recognized by check name.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from types import SimpleNamespace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -295,15 +297,31 @@ def _schedule_search(r: SimpleNamespace, x: SimpleNamespace) -> Column:
 
 
 # --- recipe --------------------------------------------------------------------------------------------------
-def recipe_feasible(dishes: Column, days: Column, constraints: Column) -> Column:
-    """One dish per meal and day under the constraints.
+def recipe_feasible(df: DataFrame, dishes: Column, days: Column, constraints: Column, name: str = "feasible") -> DataFrame:
+    """``df`` with a boolean ``name``: can each day have one dish per meal under the constraints?
 
     ``dishes`` are structs with ``meal, vegetarian, vegan, contains_gluten, contains_lactose, prep_time_min, calories``,
     meal being mic_dejun / pranz / cina.  Valid day menus are listed first.  Without a repeat rule the lightest menu
     serves every day.  With it, taking the lightest menu that shares no dish with those before is tried first; where that
-    finds no plan, a state is the set of used dishes plus the count of high-calorie ones, and breakfasts are taken in
-    rising order, so each set of days is built once.
+    finds no plan, the listed menus go to ``plan_search``, a Python function that holds one instance at a time.  Rows that
+    are settled before carry no menus there.
     """
+    exists = plan_search()  # made here, so that it travels to the tasks by itself
+
+    @F.pandas_udf("boolean")
+    def searched(settled: pd.Series, menus: pd.Series, days: pd.Series, limit: pd.Series) -> pd.Series:
+        rows = zip(settled, menus, days, limit, strict=True)
+        return pd.Series([s if m is None else exists(m, int(d), h) for s, m, d, h in rows], dtype=object)
+
+    # a column of its own: Spark can't hand nested lambdas to a Python function in one expression
+    space = f"_{name}_space"
+    listed = df.withColumn(space, recipe_space(dishes, days, constraints))
+    parts = [F.col(space)[field] for field in ("settled", "menus", "days", "limit")]
+    return listed.withColumn(name, searched(*parts)).drop(space)
+
+
+def recipe_space(dishes: Column, days: Column, constraints: Column) -> Column:
+    """``settled`` (does a plan exist; null if only a search can tell), ``menus`` to search, ``days``, ``limit``."""
     c = constraints
     rules = {
         "dishes": dishes,
@@ -328,7 +346,9 @@ def recipe_feasible(dishes: Column, days: Column, constraints: Column) -> Column
         "no_gluten": has_rule(c, "check_no_gluten"),
         "no_lactose": has_rule(c, "check_no_lactose"),
     }
-    return F.when(F.size(dishes) == 0, True).otherwise(bound(rules, _recipe_meals))
+    none = F.lit(None)
+    empty = _verdict(F.lit(True), none, none, none)
+    return F.when(F.size(dishes) == 0, empty).otherwise(bound(rules, _recipe_meals))
 
 
 def _recipe_meals(r: SimpleNamespace) -> Column:
@@ -385,10 +405,11 @@ def _recipe_menus(r: SimpleNamespace, m: SimpleNamespace) -> Column:
         "menus": F.flatten(F.flatten(F.transform(m.b, lambda b: F.transform(m.n, lambda n: dinners(b, n))))),
         "enough": (F.size(m.b) >= r.days) & (F.size(m.n) >= r.days) & (F.size(m.d) >= r.days),
     }
-    return bound(values, lambda x: x.enough & _recipe_days(r, x))
+    return bound(values, lambda x: _recipe_days(r, x))
 
 
 def _recipe_days(r: SimpleNamespace, x: SimpleNamespace) -> Column:
+    """``settled`` where a short argument decides, else the menus that ``plan_search`` is to choose from."""
     lightest = F.array_min(F.transform(x.menus, lambda v: v["heavy"]))
     repeated = (F.size(x.menus) > 0) & (lightest * r.days <= r.heavy_limit)
     none = F.array().cast("array<int>")
@@ -404,26 +425,73 @@ def _recipe_days(r: SimpleNamespace, x: SimpleNamespace) -> Column:
 
     first = F.struct(F.lit(0).alias("n"), F.lit(0).alias("heavy"), none.alias("used"))
     greedy = F.aggregate(F.array_sort(x.menus), first, take, lambda s: (s["n"] == r.days) & (s["heavy"] <= r.heavy_limit))
+    settled = F.when(~x.enough, False).when(~r.no_repeat, F.coalesce(repeated, F.lit(False))).when(greedy, True)
+    packed = F.transform(x.menus, lambda v: F.concat(F.array(v["heavy"], v["first"]), v["others"]))
+    return tx.let(settled, lambda known: _verdict(known, F.when(known.isNull(), packed), r.days, r.heavy_limit))
 
-    def next_day(states: Column, _: Column) -> Column:
-        def grow(s: Column) -> Column:
-            fits = F.filter(
-                x.menus,
-                lambda v: (v["first"] > s["last"])
-                & ~F.arrays_overlap(s["used"], v["others"])
-                & (s["heavy"] + v["heavy"] <= r.heavy_limit),
-            )
-            return F.transform(
-                fits,
-                lambda v: F.struct(
-                    v["first"].alias("last"),
-                    (s["heavy"] + v["heavy"]).alias("heavy"),
-                    F.array_sort(F.concat(s["used"], v["others"])).alias("used"),
-                ),
-            )
 
-        return F.array_distinct(F.flatten(F.transform(states, grow)))
+def _verdict(settled: Column, menus: Column, days: Column, limit: Column) -> Column:
+    return F.struct(
+        settled.cast("boolean").alias("settled"),
+        menus.cast("array<array<int>>").alias("menus"),
+        days.cast("int").alias("days"),
+        limit.cast("double").alias("limit"),
+    )
+
+
+def plan_search() -> Callable[[list, int, float], bool]:
+    """A function ``(menus, days, limit)``: are there ``days`` menus without a common dish, with at most ``limit`` heavy
+    dishes together?  A menu is ``(heavy, breakfast, lunch, dinner)``.
+
+    Depth first over breakfasts.  A branch ends where some meal has too few dishes left in menus that are still open, or
+    where the lightest menus of the dishes it needs are too heavy together; where the same lunches and dinners were used
+    before with as much weight left; and where of dishes that fit into the same menus not the first free one is taken.
+    """
 
-    start = F.struct(F.lit(-1).alias("last"), F.lit(0).alias("heavy"), none.alias("used"))
-    found = F.aggregate(F.sequence(F.lit(1), r.days), F.array(start), next_day, lambda s: F.size(s) > 0)
-    return F.when(r.no_repeat, F.when(greedy, True).otherwise(found)).otherwise(F.coalesce(repeated, F.lit(False)))
+    def exists(menus: list, days: int, limit: float) -> bool:
+        menus = [tuple(int(v) for v in menu) for menu in menus]
+        fits: dict[tuple[int, int], set] = {}
+        for heavy, b, n, d in menus:
+            fits.setdefault((2, n), set()).add((heavy, b, d))
+            fits.setdefault((3, d), set()).add((heavy, b, n))
+        bit, before, last = {}, {}, {}
+        for place, dish in enumerate(sorted(fits)):
+            kind = (dish[0], frozenset(fits[dish]))
+            bit[dish], before[dish] = 1 << place, last.get(kind, 0)
+            last[kind] = 1 << place
+        groups: dict[int, list] = {}
+        for heavy, b, n, d in sorted(menus):
+            uses, after = bit[2, n] | bit[3, d], before[2, n] | before[3, d]
+            groups.setdefault(b, []).append((heavy, b, n, d, uses, after))
+        order = sorted(groups.values(), key=len)
+        failed: dict[tuple[int, int], float] = {}  # by next breakfast and dishes used: the most weight left that failed
+
+        def open_for(level: int, used: int, need: int, slack: float) -> list | None:
+            """Open menus of this breakfast; null if no plan can follow."""
+            live = [menu for group in order[level:] for menu in group if not menu[4] & used]
+            for meal in (1, 2, 3):
+                lightest: dict[int, int] = {}
+                for menu in live:
+                    lightest[menu[meal]] = min(menu[0], lightest.get(menu[meal], menu[0]))
+                if len(lightest) < need or sum(sorted(lightest.values())[:need]) > slack:
+                    return None
+            return [menu for menu in order[level] if not menu[4] & used]
+
+        def found(level: int, used: int, need: int, slack: float) -> bool:
+            if not need:
+                return True
+            at = level
+            while at <= len(order) - need and failed.get((at, used), -1.0) < slack:
+                choices = open_for(at, used, need, slack)
+                if choices is None:
+                    break
+                for heavy, _, _, _, uses, after in choices:
+                    if after & ~used == 0 and heavy <= slack and found(at + 1, used | uses, need - 1, slack - heavy):
+                        return True
+                at += 1
+            failed.update({(k, used): slack for k in range(level, at + 1)})
+            return False
+
+        return found(0, 0, days, float(limit))
+
+    return exists

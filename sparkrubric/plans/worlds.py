@@ -560,9 +560,10 @@ def recipe_worlds(seeds: DataFrame, hard: bool = False) -> DataFrame:
     typed = F.transform(
         items, lambda x: F.struct(x["type"].alias("meal"), *[x[f].alias(f) for f in fields if f not in ("type", "type_en")])
     )
+    tested = fe.recipe_feasible(ruled, typed, F.col("num_days"), F.col("constraints"))
     return _finish(
-        ruled, "recipe", payload, goals, F.transform(items, entity), meta, _recipe_prompt("ro"), _recipe_prompt("en"),
-        fe.recipe_feasible(typed, F.col("num_days"), F.col("constraints")),
+        tested, "recipe", payload, goals, F.transform(items, entity), meta, _recipe_prompt("ro"), _recipe_prompt("en"),
+        F.col("feasible"),
     )
 
 

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -155,7 +156,7 @@ def test_recipes_without_repeats(spark):
 
     def feasible(sizes, days, **rules):
         rules = _constraints(no_duplicates="{}", **rules)
-        return spark.range(1).select(fe.recipe_feasible(dishes(sizes), F.lit(days), rules).alias("ok")).first().ok
+        return fe.recipe_feasible(spark.range(1), dishes(sizes), F.lit(days), rules, "ok").first().ok
 
     for n in (18, 22, 25):  # 54, 66 and 75 dishes
         assert feasible([range(300, 300 + n)] * 3, 2)
@@ -166,6 +167,75 @@ def test_recipes_without_repeats(spark):
     assert not feasible([[1, 9], [1, 3], [2, 10]], 2, max_daily_calories='{"max_calories": 11}')
 
 
+def brute_menus(meals, days, low, high, prep, heavy):
+    """Some order of lunches and dinners beside some breakfasts meets every day's limits."""
+
+    def day(b, n, d):
+        return low <= b[0] + n[0] + d[0] <= high and b[1] + n[1] + d[1] <= prep
+
+    for first in itertools.combinations(meals[0], days):
+        for second in itertools.permutations(meals[1], days):
+            for third in itertools.permutations(meals[2], days):
+                menus = list(zip(first, second, third, strict=True))
+                if all(day(*m) for m in menus) and sum(x[0] > 400 for m in menus for x in m) <= heavy:
+                    return True
+    return False
+
+
+def test_menu_search_against_brute_force(spark):
+    rng = random.Random(11)
+    fields = "meal string, vegetarian boolean, vegan boolean, contains_gluten boolean, contains_lactose boolean, prep_time_min int, calories int"
+    cases = []
+    for n in range(250):
+        # few different values, so that interchangeable dishes occur
+        meals = [[(rng.choice([250, 350, 390, 410, 450, 600]), rng.choice([10, 20, 40])) for _ in range(rng.randint(2, 4))] for _ in range(3)]
+        cases.append((n, meals, rng.choice([2, 3]), rng.choice([900, 1050]), rng.choice([1150, 1250, 1400]), rng.choice([60, 80]), rng.randint(0, 4)))
+    rows = [
+        (n, days, [(m, True, True, False, False, p, c) for m, ds in zip(("mic_dejun", "pranz", "cina"), meals, strict=True) for c, p in ds],
+         f'{{"min_calories": {low}, "max_calories": {high}}}', f'{{"max_prep_time": {prep}}}', f'{{"max_high_calorie": {heavy}, "calorie_threshold": 400}}')
+        for n, meals, days, low, high, prep, heavy in cases
+    ]
+    df = spark.createDataFrame(rows, f"id int, days int, dishes array<struct<{fields.replace(' ', ':').replace(',:', ',')}>>, kcal string, prep string, heavy string")
+
+    def rule(check, params):
+        return F.struct(F.lit(check).alias("check_fn"), params.alias("params"))
+
+    rules = F.array(
+        rule("check_no_duplicates", F.lit("{}")),
+        rule("check_calorie_range", F.col("kcal")),
+        rule("check_max_prep_time_per_day", F.col("prep")),
+        rule("check_max_high_calorie_meals", F.col("heavy")),
+    )
+    got = {r.id: r.ok for r in fe.recipe_feasible(df, F.col("dishes"), F.col("days"), rules, "ok").collect()}
+    want = {n: brute_menus(meals, *rest) for n, meals, *rest in cases}
+    assert got == want
+    assert 30 < sum(want.values()) < 220
+
+
+def test_menu_search_ends_early():
+    """27 dishes over 7 days, and more, with plans and without."""
+    exists = fe.plan_search()
+    rng = random.Random(5)
+    begun, outcomes = time.perf_counter(), []
+    for n in range(40):
+        dishes = 9 if n < 30 else 12
+        kcal = [[rng.randint(250, 600) for _ in range(dishes)] for _ in range(3)]
+        width = rng.choice([20, 40, 80, 150])
+        menus = [
+            (sum(x > 400 for x in (b, s, d)), i, 100 + j, 200 + k)
+            for i, b in enumerate(kcal[0]) for j, s in enumerate(kcal[1]) for k, d in enumerate(kcal[2])
+            if 1275 - width <= b + s + d <= 1275 + width
+        ]
+        outcomes.append(exists(menus, 7, rng.choice([8, 10, 12, 1e18])))
+    assert time.perf_counter() - begun < 40
+    assert any(outcomes) and not all(outcomes)
+    # every dish fits every other: dishes are interchangeable, and the tenth day finds no breakfast
+    full = [(0, i, 100 + j, 200 + k) for i in range(9) for j in range(12) for k in range(12)]
+    assert exists(full, 9, 0) and not exists(full, 10, 0)
+    # more breakfasts than Python's recursion goes deep
+    assert not exists([(1, i, 5000 + i % 2, 6000) for i in range(3000)], 2, 9)
+
+
 def test_infeasible_ids_are_flagged(spark, monkeypatch):
     tried = []
 

@@ -216,8 +216,8 @@ def _(spark, sf):
         lunch_heaviest_meal="{}",
     )
     menus = line_dishes(spark, sf).groupBy("o_orderkey").agg(F.collect_list(dish("p_size")).alias("dishes"))
-    tested = menus.select("o_orderkey", fe.recipe_feasible(F.col("dishes"), F.lit(1), rules).alias("feasible"))
-    return _for_all_orders(spark, sf, tested)
+    tested = fe.recipe_feasible(menus, F.col("dishes"), F.lit(1), rules)
+    return _for_all_orders(spark, sf, tested.select("o_orderkey", "feasible"))
 
 
 # two days of three different dishes each, out of all that a customer has ordered (often more than 56); light enough
@@ -242,7 +242,7 @@ def _(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     lines = line_dishes(spark, sf).join(orders, "o_orderkey").select("o_custkey", "l_partkey", "meal", "p_size").distinct()
     menus = lines.groupBy("o_custkey").agg(F.collect_list(dish("p_size")).alias("dishes"))
-    return menus.select("o_custkey", fe.recipe_feasible(F.col("dishes"), F.lit(2), rules).alias("feasible"))
+    return fe.recipe_feasible(menus, F.col("dishes"), F.lit(2), rules).select("o_custkey", "feasible")
 
 
 # --- inflected forms ---------------------------------------------------------------------------------------------------
