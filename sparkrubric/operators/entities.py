@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkrubric.functions import text as tx
+from sparkrubric.sources.lineage import materialize
 
 HALLUCINATION_FACTOR = 0.9
 
@@ -159,64 +160,96 @@ def faithfulness_score(df: DataFrame, empty: Column) -> DataFrame:
 
 
 # --- mentions between two tables (many texts, one list of terms) ---------------------------------------------
-def char_grams(text: Column, size: int) -> Column:
-    """Distinct runs of ``size`` characters; the whole text when it is shorter."""
+#: Characters in a key of a short term, inner words in a key of a long one.
+CHARS, WORDS = 4, 3
+#: Counters for how often the texts hold a run, and bits that say which runs are keys; neither grows with the data.
+COUNTERS, KEY_BITS = 1 << 18, 1 << 22
 
-    def build(chars: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(chars) - size + 1, F.lit(1)))
-        return F.array_distinct(F.transform(starts, lambda s: F.array_join(F.slice(chars, s, size), "")))
 
-    return tx.let(F.split(text, ""), build)
+def hashed_runs(parts: Column, size: int) -> Column:
+    """Hash of each run of ``size`` neighbouring parts, in order; none when there are fewer parts."""
 
+    def run(at: Column) -> Column:
+        return F.xxhash64(*[F.get(parts, at + k) for k in range(size)])
 
-def word_grams(text: Column, size: int) -> Column:
-    """Distinct runs of ``size`` blank-separated words."""
+    places = F.sequence(F.lit(0), F.size(parts) - size)
+    return F.when(F.size(parts) >= size, F.transform(places, run)).otherwise(F.array().cast("array<long>"))
 
-    def build(words: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - size + 1, F.lit(1)))
-        return F.array_distinct(F.transform(starts, lambda s: F.array_join(F.slice(words, s, size), " ")))
 
-    return tx.let(F.split(text, " "), build)
+def term_runs(term: str, long: Column) -> Column:
+    """Runs that a text holds if it holds the term: inner words of long terms, characters of short ones."""
+    by_words = tx.let(F.split(term, " "), lambda w: hashed_runs(F.slice(w, 2, F.size(w) - 2), WORDS))
 
+    def by_chars(chars: Column) -> Column:
+        runs = F.when(F.size(chars) >= CHARS, hashed_runs(chars, CHARS))
+        for size in range(1, CHARS):
+            runs = runs.when(F.size(chars) == size, hashed_runs(chars, size))
+        return runs
 
-def term_mentions(
-    texts: DataFrame, text_key: str, text: str, terms: DataFrame, term_key: str, term: str, run: int = 3
-) -> DataFrame:
+    return F.array_distinct(F.when(long, by_words).otherwise(tx.let(F.split(term, ""), by_chars)))
+
+
+def text_runs(text: str, words: bool, char_sizes: list[int]) -> Column:
+    """All runs of a text that could be a key of some term."""
+    runs = [tx.let(F.split(text, " "), lambda w: hashed_runs(w, WORDS))] if words else []
+    if char_sizes:
+        runs.append(tx.let(F.split(text, ""), lambda c: F.concat(*[hashed_runs(c, n) for n in char_sizes])))
+    return F.concat(*runs)
+
+
+def rarest_keys(terms: DataFrame, runs: DataFrame) -> DataFrame:
+    """``terms`` with ``_key``, the run of ``_runs`` that the texts hold least often by a sketch of their ``runs``."""
+    counter = F.pmod("_run", F.lit(COUNTERS))
+    counts = runs.select(counter.alias("_counter")).groupBy("_counter").agg(F.count(F.lit(1)).alias("_n"))
+    asked = terms.withColumn("_run", F.explode("_runs")).drop("_runs").withColumn("_counter", counter)
+    rank = F.struct(F.coalesce("_n", F.lit(0)), "_run")
+    return asked.join(counts, "_counter", "left").groupBy(*[c for c in terms.columns if c != "_runs"]).agg(
+        F.min_by("_run", rank).alias("_key")
+    )
+
+
+def key_bits(keys: DataFrame) -> Column:
+    """``KEY_BITS`` bits as one array of longs, with the bit of each ``_key`` set, as a scalar subquery."""
+    bit = F.pmod("_key", F.lit(KEY_BITS))
+    part = F.shiftright(bit, 6).alias("part")
+    mask = F.expr(f"shiftleft(1L, cast(pmod(_key, {KEY_BITS}) % 64 AS int))").alias("mask")
+    parts = keys.select(part, mask).groupBy("part").agg(F.bit_or("mask").alias("mask"))
+    every = keys.sparkSession.range(KEY_BITS // 64).withColumnRenamed("id", "part").join(parts, "part", "left")
+    listed = F.array_sort(F.collect_list(F.struct("part", F.coalesce("mask", F.lit(0).cast("long")).alias("mask"))))
+    return every.agg(F.transform(listed, lambda p: p["mask"]).alias("bits")).scalar()
+
+
+def is_key(run: Column, bits: Column) -> Column:
+    bit = F.pmod(run, F.lit(KEY_BITS))
+    mask = F.get(bits, F.shiftright(bit, 6).cast("int"))
+    return F.getbit(mask, (bit % 64).cast("int")) == 1
+
+
+def term_mentions(texts: DataFrame, text_key: str, text: str, terms: DataFrame, term_key: str, term: str) -> DataFrame:
     """``text_key, term_key`` for every term that is a substring of a text, both match-normalized.
 
-    Texts and terms meet in an equi join on a key every mention must share, then ``contains`` decides.  A mention may
-    begin and end inside a word, so a term of ``run + 2`` words or more is keyed by ``run`` of its inner words, which
-    the text must hold whole; a shorter term is keyed by its first four characters.  Texts are cut into runs of only those
-    lengths that terms need, so none are made where no term is short, or none is long.  Only keys travel through the
-    joins; text and term are fetched again for the candidate pairs.
+    A term's key is one run that any text with the term must hold: a mention may begin and end inside a word, so a term of
+    five words or more takes three of its inner words, a shorter one four of its characters (all, if it has fewer).  Of a
+    term's runs, the one that is rarest in the texts is its key, so a term that begins with a common run doesn't meet all
+    texts.  The scan keeps the texts with a run that is a key, up to chance hits in ``KEY_BITS`` bits; these meet the terms
+    in an equi join and ``contains`` decides.
+
+    Null and empty texts and terms have no mentions.  Rows that repeat a key of either table give a result each; equal
+    rows of ``terms`` count once.
     """
-    q = 4
-    norm_terms = terms.select(F.col(term_key), tx.normalize_match(term).alias("_term"))
-    words = F.split("_term", " ")
-    is_long = F.size(words) >= run + 2
-    by_words = norm_terms.where(is_long).select(
-        term_key, "_term", F.array_join(F.slice(words, 2, run), " ").alias("_block")
-    )
-    by_chars = norm_terms.where(~is_long).select(term_key, "_term", F.left("_term", F.lit(q)).alias("_block"))
-    norm_texts = texts.select(F.col(text_key), tx.normalize_match(text).alias("_text"))
-
-    def candidates(blocked: DataFrame, grams: Column) -> DataFrame:
-        keyed = norm_texts.select(text_key, F.explode(grams).alias("_block"))
-        return keyed.join(blocked.select(term_key, "_block"), "_block").select(text_key, term_key).distinct()
-
-    lengths = [r["n"] for r in by_chars.select(F.char_length("_block").alias("n")).distinct().collect()]  # q of them at most
-    pairs = None
-    if not by_words.isEmpty():
-        pairs = candidates(by_words, word_grams(F.col("_text"), run))
-    if sizes := sorted(n for n in lengths if n):
-        short = candidates(by_chars, F.flatten(F.array(*[char_grams(F.col("_text"), n) for n in sizes])))
-        pairs = short if pairs is None else pairs.unionByName(short)
-    if pairs is None:
-        none = terms.select(term_key).limit(0)
-        return none.withColumn(text_key, F.lit(None).cast(texts.schema[text_key].dataType)).select(text_key, term_key)
-    return (
-        pairs.join(norm_texts, text_key)
-        .join(norm_terms, term_key)
-        .where(F.col("_text").contains(F.col("_term")))
-        .select(text_key, term_key)
-    )
+    normal = terms.select(F.col(term_key).alias("_id"), tx.normalize_match(term).alias("_term"))
+    normal = normal.where("_term <> ''").distinct().withColumn("_long", F.size(F.split("_term", " ")) >= WORDS + 2)
+    short = F.when(~F.col("_long"), F.least(F.char_length("_term"), F.lit(CHARS)))
+    kinds = normal.agg(F.max("_long").alias("words"), F.collect_set(short).alias("sizes")).first()  # CHARS sizes at most
+    if kinds["words"] is None:
+        return texts.select(text_key).join(terms.select(term_key).limit(0), F.lit(False))
+
+    runs = text_runs("_text", kinds["words"], sorted(kinds["sizes"]))
+    held = texts.select(F.col(text_key).alias("_text_id"), tx.normalize_match(text).alias("_text"))
+    asked = normal.select("_id", "_term", term_runs("_term", F.col("_long")).alias("_runs"))
+    keys = materialize(rarest_keys(asked, held.select(F.explode(runs).alias("_run"))), "keys")
+
+    hits = F.array_distinct(F.filter(runs, lambda run: is_key(run, F.col("_bits"))))
+    found = held.withColumn("_bits", key_bits(keys)).select("_text_id", "_text", F.explode(hits).alias("_key"))
+    meet = found.join(keys, "_key").where(F.col("_text").contains(F.col("_term")))
+    return meet.select(F.col("_text_id").alias(text_key), F.col("_id").alias(term_key))
