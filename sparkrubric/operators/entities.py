@@ -163,7 +163,7 @@ def faithfulness_score(df: DataFrame, empty: Column) -> DataFrame:
 #: Characters in a key of a short term, inner words in a key of a long one.
 CHARS, WORDS = 4, 3
 #: Counters for how often the texts hold a run, and bits that say which runs are keys; neither grows with the data.
-COUNTERS, KEY_BITS = 1 << 18, 1 << 22
+COUNTERS, KEY_BITS = 1 << 16, 1 << 22
 
 
 def hashed_runs(parts: Column, size: int) -> Column:
@@ -176,25 +176,32 @@ def hashed_runs(parts: Column, size: int) -> Column:
     return F.when(F.size(parts) >= size, F.transform(places, run)).otherwise(F.array().cast("array<long>"))
 
 
-def term_runs(term: str, long: Column) -> Column:
-    """Runs that a text holds if it holds the term: inner words of long terms, characters of short ones."""
-    by_words = tx.let(F.split(term, " "), lambda w: hashed_runs(F.slice(w, 2, F.size(w) - 2), WORDS))
+def term_runs(term: str) -> Column:
+    """Runs that a text holds if it holds the term: inner words of three words or more, characters of shorter terms."""
 
-    def by_chars(chars: Column) -> Column:
-        runs = F.when(F.size(chars) >= CHARS, hashed_runs(chars, CHARS))
-        for size in range(1, CHARS):
-            runs = runs.when(F.size(chars) == size, hashed_runs(chars, size))
+    def of(parts: Column, longest: int) -> Column:
+        runs = F.when(F.size(parts) >= longest, hashed_runs(parts, longest))
+        for size in range(1, longest):
+            runs = runs.when(F.size(parts) == size, hashed_runs(parts, size))
         return runs
 
-    return F.array_distinct(F.when(long, by_words).otherwise(tx.let(F.split(term, ""), by_chars)))
+    by_words = tx.let(F.split(term, " "), lambda w: of(F.slice(w, 2, F.size(w) - 2), WORDS))
+    by_chars = tx.let(F.split(term, ""), lambda c: of(c, CHARS))
+    return F.array_distinct(F.when(n_inner(term) > 0, by_words).otherwise(by_chars))
 
 
-def text_runs(text: str, words: bool, char_sizes: list[int]) -> Column:
+def n_inner(term: str) -> Column:
+    """Words of a term beside the first and the last."""
+    return F.size(F.split(term, " ")) - 2
+
+
+def text_runs(text: str, word_sizes: list[int], char_sizes: list[int]) -> Column:
     """All runs of a text that could be a key of some term."""
-    runs = [tx.let(F.split(text, " "), lambda w: hashed_runs(w, WORDS))] if words else []
-    if char_sizes:
-        runs.append(tx.let(F.split(text, ""), lambda c: F.concat(*[hashed_runs(c, n) for n in char_sizes])))
-    return F.concat(*runs)
+
+    def of(sizes: list[int], mark: str) -> Column:
+        return tx.let(F.split(text, mark), lambda parts: F.concat(*[hashed_runs(parts, n) for n in sizes]))
+
+    return F.concat(*[of(sizes, mark) for sizes, mark in ((word_sizes, " "), (char_sizes, "")) if sizes])
 
 
 def rarest_keys(terms: DataFrame, runs: DataFrame) -> DataFrame:
@@ -209,14 +216,16 @@ def rarest_keys(terms: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def key_bits(keys: DataFrame) -> Column:
-    """``KEY_BITS`` bits as one array of longs, with the bit of each ``_key`` set, as a scalar subquery."""
+    """``KEY_BITS`` bits as one constant array of longs, with the bit of each ``_key`` set.
+
+    At most ``KEY_BITS / 64`` numbers come to the driver, whatever the number of keys."""
     bit = F.pmod("_key", F.lit(KEY_BITS))
-    part = F.shiftright(bit, 6).alias("part")
     mask = F.expr(f"shiftleft(1L, cast(pmod(_key, {KEY_BITS}) % 64 AS int))").alias("mask")
-    parts = keys.select(part, mask).groupBy("part").agg(F.bit_or("mask").alias("mask"))
-    every = keys.sparkSession.range(KEY_BITS // 64).withColumnRenamed("id", "part").join(parts, "part", "left")
-    listed = F.array_sort(F.collect_list(F.struct("part", F.coalesce("mask", F.lit(0).cast("long")).alias("mask"))))
-    return every.agg(F.transform(listed, lambda p: p["mask"]).alias("bits")).scalar()
+    parts = keys.select(F.shiftright(bit, 6).alias("part"), mask).groupBy("part").agg(F.bit_or("mask").alias("mask"))
+    bits = ["0"] * (KEY_BITS // 64)
+    for part in parts.collect():
+        bits[part["part"]] = str(part["mask"])
+    return F.split(F.lit(",".join(bits)), ",").cast("array<long>")
 
 
 def is_key(run: Column, bits: Column) -> Column:
@@ -229,7 +238,7 @@ def term_mentions(texts: DataFrame, text_key: str, text: str, terms: DataFrame,
     """``text_key, term_key`` for every term that is a substring of a text, both match-normalized.
 
     A term's key is one run that any text with the term must hold: a mention may begin and end inside a word, so a term of
-    five words or more takes three of its inner words, a shorter one four of its characters (all, if it has fewer).  Of a
+    three words or more takes three of its inner words, a shorter one four of its characters (all, if there are fewer).  Of a
     term's runs, the one that is rarest in the texts is its key, so a term that begins with a common run doesn't meet all
     texts.  The scan keeps the texts with a run that is a key, up to chance hits in ``KEY_BITS`` bits; these meet the terms
     in an equi join and ``contains`` decides.
@@ -238,18 +247,24 @@ def term_mentions(texts: DataFrame, text_key: str, text: str, terms: DataFrame,
     rows of ``terms`` count once.
     """
     normal = terms.select(F.col(term_key).alias("_id"), tx.normalize_match(term).alias("_term"))
-    normal = normal.where("_term <> ''").distinct().withColumn("_long", F.size(F.split("_term", " ")) >= WORDS + 2)
-    short = F.when(~F.col("_long"), F.least(F.char_length("_term"), F.lit(CHARS)))
-    kinds = normal.agg(F.max("_long").alias("words"), F.collect_set(short).alias("sizes")).first()  # CHARS sizes at most
-    if kinds["words"] is None:
+    normal = normal.where("_term <> ''").distinct()
+    inner = n_inner("_term")
+    word_size = F.when(inner > 0, F.least(inner, F.lit(WORDS)))
+    char_size = F.when(inner <= 0, F.least(F.char_length("_term"), F.lit(CHARS)))
+    # a few sizes at most
+    sizes = normal.agg(F.collect_set(word_size).alias("words"), F.collect_set(char_size).alias("chars")).first()
+    if not sizes["words"] and not sizes["chars"]:
         return texts.select(text_key).join(terms.select(term_key).limit(0), F.lit(False))
 
-    runs = text_runs("_text", kinds["words"], sorted(kinds["sizes"]))
-    held = texts.select(F.col(text_key).alias("_text_id"), tx.normalize_match(text).alias("_text"))
-    asked = normal.select("_id", "_term", term_runs("_term", F.col("_long")).alias("_runs"))
+    runs = text_runs("_text", sorted(sizes["words"]), sorted(sizes["chars"]))
+    # never null, or Spark infers a filter that normalizes every text once more before the scan's rows are spread
+    body = F.coalesce(tx.normalize_match(text), F.lit(""))
+    held = texts.select(F.col(text_key).alias("_text_id"), body.alias("_text"))
+    asked = normal.select("_id", "_term", term_runs("_term").alias("_runs"))
     keys = materialize(rarest_keys(asked, held.select(F.explode(runs).alias("_run"))), "keys")
 
-    hits = F.array_distinct(F.filter(runs, lambda run: is_key(run, F.col("_bits"))))
-    found = held.withColumn("_bits", key_bits(keys)).select("_text_id", "_text", F.explode(hits).alias("_key"))
+    bits = key_bits(keys)
+    hits = F.array_distinct(F.filter(runs, lambda run: is_key(run, bits)))
+    found = held.select("_text_id", "_text", F.explode(hits).alias("_key"))
     meet = found.join(keys, "_key").where(F.col("_text").contains(F.col("_term")))
     return meet.select(F.col("_text_id").alias(text_key), F.col("_id").alias(term_key))

@@ -54,8 +54,8 @@ def test_a_common_beginning_is_no_key(spark):
     """Every text holds "the ", which both terms begin with; only texts with the rare end reach the join."""
     texts = spark.range(2000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 500 == 0, "see the zoo").otherwise("see the town").alias("text"))
     terms = spark.createDataFrame([(1, "the zoo"), (2, "the zebra")], TERM)
-    runs = texts.select(F.explode(en.text_runs("text", False, [4])).alias("_run"))
-    keyed = en.rarest_keys(terms.withColumn("_runs", en.term_runs("term", F.lit(False))), runs)
-    common = {r[0] for r in texts.where("doc_id = 1").select(F.explode(en.text_runs("text", False, [4]))).collect()}
+    runs = texts.select(F.explode(en.text_runs("text", [], [4])).alias("_run"))
+    keyed = en.rarest_keys(terms.withColumn("_runs", en.term_runs("term")), runs)
+    common = {r[0] for r in texts.where("doc_id = 1").select(F.explode(en.text_runs("text", [], [4]))).collect()}
     assert not common & {r["_key"] for r in keyed.collect()}
     assert en.term_mentions(texts, "doc_id", "text", terms, "item_id", "term").count() == 4

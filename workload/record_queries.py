@@ -342,9 +342,10 @@ def _(spark, sf):
     return keys.where("rank = 1").select("lookup", "entity_id")
 
 
+_FOUND_D = f"d AS MATERIALIZED (SELECT doc_id, {match_sql('text')} AS body FROM documents)"
 _FOUND = f"""
     b AS MATERIALIZED (SELECT item_id, {match_sql('text')} AS term FROM benchmark),
-    d AS MATERIALIZED (SELECT doc_id, {match_sql('text')} AS body FROM documents),
+    {_FOUND_D},
     found AS MATERIALIZED (SELECT doc_id, item_id FROM d JOIN b ON contains(body, term))
 """
 
@@ -354,6 +355,23 @@ def mentioned(spark, sf):
     return en.term_mentions(docs, "doc_id", "text", table(spark, sf, "benchmark"), "item_id", "text")
 
 
+# short names, "the" among them: first word and first two words of the items, as often as documents hold them
+@reg.add(
+    "short_mentions",
+    f"""WITH {_FOUND_D},
+        w AS (SELECT string_split({match_sql('text')}, ' ') AS words FROM benchmark),
+        t AS MATERIALIZED (SELECT DISTINCT unnest([words[1], array_to_string(words[1:2], ' '), 'the']) AS term FROM w)
+        SELECT term, count(*) AS n_docs FROM d JOIN t ON contains(body, term) WHERE term <> '' GROUP BY term""",
+)
+def _(spark, sf):
+    words = F.split(tx.normalize_match("text"), " ")
+    names = F.array(F.get(words, 0), F.array_join(F.slice(words, 1, 2), " "), F.lit("the"))
+    terms = table(spark, sf, "benchmark").select(F.explode(names).alias("term")).distinct()
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    found = en.term_mentions(docs, "doc_id", "text", terms.withColumn("name", F.col("term")), "term", "name")
+    return found.groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
 def approximately_mentioned(spark, sf):
     """Names of the benchmark's items, the first four words and the next three, in documents with planted typos and
     negations."""
