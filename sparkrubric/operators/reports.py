@@ -86,14 +86,72 @@ def constraint_statistics(per_instance: DataFrame, world_type: str, count: str)
     )
 
 
+#: Share of a group's rows on either side of a percentile that its sketch leaves open, ten times the sketch's error.
+PERCENTILES, SKETCH_ACCURACY, OPEN_SHARE = (50, 95, 99), 10_000, 0.001
+
+
 def latency_summary(outputs: DataFrame, group: list[str], latency: str = "latency") -> DataFrame:
-    return outputs.groupBy(*group).agg(
+    """Count, mean, bounds and exact percentiles (linear between neighbours) of a group's latencies, nulls left out.
+
+    A mergeable sketch brackets each percentile; rows below a bracket are counted, and only the different values inside
+    it, a few thousandths of a group, are put in order.  A group without a latency has a count of 0 and nulls."""
+    shares = [min(max(q / 100 + d, 0.0), 1.0) for q in PERCENTILES for d in (-OPEN_SHARE, OPEN_SHARE)]
+    value = F.col(latency).cast("double")
+    summary = outputs.groupBy(*group).agg(
         F.count(latency).alias("n"),
         F.avg(latency).alias("avg_latency"),
         F.min(latency).alias("min_latency"),
         F.max(latency).alias("max_latency"),
-        *[F.percentile(latency, q / 100).alias(f"p{q}_latency") for q in (50, 95, 99)],
+        F.percentile_approx(value, shares, SKETCH_ACCURACY).alias("_at"),
     )
+    same = F.lit(True)
+    for g in group:
+        same = same & F.col(f"r.{g}").eqNullSafe(F.col(f"b.{g}"))
+    rows = outputs.where(value.isNotNull()).select(*group, value.alias("_x")).groupBy(*group, "_x").agg(F.count("_x").alias("_c"))
+    placed = rows.alias("r").join(summary.select(*group, "n", "_at").alias("b"), same).select("r.*", "n", "_at")
+    found = []
+    for k, q in enumerate(PERCENTILES):
+        low, high, x = F.col("_at")[2 * k], F.col("_at")[2 * k + 1], F.col("_x")
+        inside = F.when(x.between(low, high), F.struct(x.alias("x"), F.col("_c").alias("c")))
+        parts = F.struct(
+            F.coalesce(F.sum(F.when(x < low, F.col("_c"))), F.lit(0)).alias("below"),
+            F.max(F.when(x < low, x)).alias("before"),
+            F.array_sort(F.collect_list(inside)).alias("inside"),
+            F.min(F.when(x > high, x)).alias("after"),
+        )
+        found.append(parts.alias(f"_p{q}"))
+    picked = placed.groupBy(*group, "n").agg(*found)
+    exact = picked.select(*group, *[_at_rank(F.col(f"_p{q}"), F.col("n"), q / 100).alias(f"p{q}_latency") for q in PERCENTILES])
+    columns = [f"b.{c}" for c in (*group, "n", "avg_latency", "min_latency", "max_latency")]
+    joined = summary.alias("b").join(exact.alias("r"), same, "left")
+    return joined.select(*columns, *[f"r.p{q}_latency" for q in PERCENTILES])
+
+
+def _at_rank(bracket: Column, n: Column, share: float) -> Column:
+    """The value at rank ``share * (n - 1)`` from 0, between its two neighbours where that is no whole number."""
+    rank = (n - 1) * F.lit(share)
+
+    def at(place: Column) -> Column:
+        def step(s: Column, v: Column) -> Column:
+            upto = s["upto"] + v["c"]
+            here = F.coalesce(s["x"], F.when(place < upto, v["x"]))
+            return F.struct(upto.alias("upto"), here.alias("x"))
+
+        none = F.lit(None).cast("double")
+        # one rank before the bracket and one behind it are known too
+        early = F.when(place == bracket["below"] - 1, bracket["before"])
+        start = F.struct(bracket["below"].alias("upto"), early.alias("x"))
+        lost = F.raise_error(F.lit("a percentile lies outside of its bracket")).cast("double")
+
+        def finish(s: Column) -> Column:
+            behind = F.when(place == s["upto"], bracket["after"])
+            return F.coalesce(s["x"], behind, lost)
+
+        known = F.aggregate(bracket["inside"], start, step, finish)
+        return F.when(place < bracket["below"] - 1, lost).otherwise(F.coalesce(known, none))
+
+    low, high = F.floor(rank), F.ceil(rank)
+    return at(low) + (rank - low) * (at(high) - at(low))
 
 
 # --- comparisons -------------------------------------------------------------------------------------------------
