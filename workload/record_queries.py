@@ -16,6 +16,7 @@ from sparkrubric.operators import quality as ql
 from sparkrubric.operators import reports as rp
 from sparkrubric.operators import scoring as sc
 from sparkrubric.sources import tables as tb
+from sparkrubric.sources.lineage import materialize
 from workload.base import Registry, count_sql, documents, match_sql, quote, r6, spread, table, trim_sql, words_sql
 from workload.plan_queries import _ALL_SQL, _IT, order_check_results, order_items
 from workload.text_queries import report_sql
@@ -453,18 +454,18 @@ def _(spark, sf):
 @reg.add(
     "missing_entity_names",
     f"""WITH {_FOUND},
-        plan AS (SELECT d.doc_id, b.item_id, md5(b.text) AS name FROM documents d JOIN benchmark b ON b.item_id % 4 = d.doc_id % 4
-                 UNION ALL SELECT doc_id, -1, NULL FROM documents)
-        SELECT doc_id, item_id, coalesce(name, '(unknown entity)') AS name FROM plan
-        WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.doc_id = plan.doc_id AND f.item_id = plan.item_id)""",
+        plan AS (SELECT doc_id, unnest([item_id, item_id + 1]) AS item_id FROM found
+                 UNION SELECT doc_id, -1 FROM documents),
+        gone AS (SELECT * FROM plan EXCEPT SELECT doc_id, item_id FROM found)
+        SELECT doc_id, item_id, coalesce(md5(text), '(unknown entity)') AS name FROM gone LEFT JOIN benchmark USING (item_id)""",
 )
 def _(spark, sf):
-    # each document plans all items of its residue, and one that does not exist
-    documents = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 4).alias("residue"))
-    items = table(spark, sf, "benchmark").select("item_id", (F.col("item_id") % 4).alias("residue"))
-    planned = documents.join(items, "residue").select("doc_id", "item_id")
-    planned = planned.unionByName(documents.select("doc_id", F.lit(-1).cast("bigint").alias("item_id")))
-    gone = planned.join(mentioned(spark, sf), ["doc_id", "item_id"], "left_anti")
+    # each document plans the items it mentions, the item after each of them, and one that does not exist
+    held = materialize(mentioned(spark, sf), "mentions")
+    after = held.select("doc_id", F.explode(F.array("item_id", F.col("item_id") + 1)).alias("item_id"))
+    unknown = table(spark, sf, "documents").select("doc_id", F.lit(-1).cast("bigint").alias("item_id"))
+    planned = after.unionByName(unknown).distinct()
+    gone = planned.join(held, ["doc_id", "item_id"], "left_anti")
     names = table(spark, sf, "benchmark").select("item_id", F.md5("text").alias("name"))
     return rp.missing_names(gone, names, [], "item_id", "name")
 
