@@ -1,10 +1,11 @@
 """Approximate mentions: entity names that texts hold with a few letters changed, and whether they are negated.
 
-A match at the threshold must keep so many of a name's runs of two and three letters within one stretch of its length.
-Texts are scanned once for each block of names: counts of kept runs slide along a text for all names of one length at a
-time; places that keep enough are screened by common subsequences held as the bits of a word, and only what passes is
-aligned, by a dynamic program whose row is folded over the stretch's letters.  At 85 percent a name of 20 letters may lose
-15 of its 18 runs of three, so a join on runs is no filter: on prose it passed 40 percent of all stretches.
+A match at the threshold must keep so many of a name's runs of two letters within one stretch of its length, and so many
+of its letters near their places.  Texts are scanned once for each block of names: counts of kept runs slide along a text
+for eight names in a word's bytes; of the places that keep enough, those with enough letters near their places are scored
+by common subsequences held as the bits of a word.  Names above 64 letters are aligned by a dynamic program whose row is
+folded over the stretch's letters.  At 85 percent a name of 20 letters may lose 15 of its 18 runs of three, so a join on
+runs is no filter: on prose it passed 40 percent of all stretches.
 """
 
 from __future__ import annotations
@@ -26,6 +27,12 @@ SLACK = 5
 BLOCK_LETTERS = 1 << 16
 #: Cells of counts and alignments that are held at a time.
 CELLS_AT_ONCE = 1 << 22
+#: Terms that are sought together; their table of runs has so many columns.
+AT_ONCE = 512
+#: Letters of short texts that are scanned together.
+TOGETHER = 1 << 15
+#: Pairs of terms and places that are held at a time, about.
+PAIRS = 1 << 20
 
 # Words and stems that negate a mention; those marked by a closing \b must end there.
 NEGATIONS = [r"\bnu\b", r"\bfără\b", r"\bevit", r"\bexclus", r"\bam\s+ales\s+să\s+nu", r"\bam\s+decis\s+să\s+nu"]
@@ -70,12 +77,6 @@ class Terms:
             for row, needle in enumerate(self.needles):
                 holds[row, np.searchsorted(known, _runs(needle, size))] = True
             self.filters.append((size, known, holds, least_kept(n, size, threshold)))
-        self.alphabet = np.unique(np.concatenate(self.needles))
-        self.masks = np.zeros((len(terms), len(self.alphabet) + 1), np.uint64)
-        if n <= 64:
-            for row, needle in enumerate(self.needles):
-                for j, at in enumerate(np.searchsorted(self.alphabet, needle).tolist()):
-                    self.masks[row, at] |= np.uint64(1 << j)
         #: A match starts so far behind its window, at most: it may be shorter than the term.
         self.behind = SLACK + n - int(np.ceil(n * (threshold / 100) / (2 - threshold / 100) - 1e-9))
 
@@ -96,28 +97,10 @@ class Terms:
                 high = np.minimum(np.arange(width) + self.n - size + 1, len(runs))
                 possible &= kept[:, high] - kept[:, low] >= needed
             rows, places = np.nonzero(possible)
-            if self.n <= 64 and len(rows):
-                good = self.screened(part, rows, places) | (first + places == len(text) - self.n)
-                rows, places = rows[good], places[good]
             for own in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(rows)) + 1):
                 if len(own):
                     yield int(rows[own[0]]), first + places[own]
 
-    def screened(self, part: np.ndarray, rows: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """Whether some stretch from a place on scores the threshold with its term; the last window has more ways."""
-        at = np.searchsorted(self.alphabet, part)
-        at[self.alphabet[np.minimum(at, len(self.alphabet) - 1)] != part] = len(self.alphabet)
-        at = np.pad(at, (0, self.n), constant_values=len(self.alphabet))
-        all_bits = np.uint64((1 << self.n) - 1)
-        bits = np.full(len(rows), all_bits)  # a bit is cleared for each letter of the common subsequence
-        good = np.zeros(len(rows), bool)
-        for t in range(self.n):
-            same = bits & self.masks[rows, at[places + t]]
-            bits = (bits + same) | (bits - same)
-            common = self.n - np.bitwise_count(bits & all_bits).astype(np.int32)
-            good |= 200 * common >= (self.threshold - 1e-6) * (self.n + t + 1)
-        return good
-
     def mentions(self, text: np.ndarray) -> Iterator[tuple[int, float, int]]:
         """Number, score and first place of the best window of each term that the text mentions."""
         if len(text) < self.n:
@@ -138,6 +121,177 @@ class Terms:
             yield self.numbers[row], score, at
 
 
+class ShortTerms:
+    """Terms of up to 64 letters, of any lengths, sought together."""
+
+    def __init__(self, terms: list[tuple[int, str]], threshold: float) -> None:
+        """``terms`` are numbers and normalized names; eight of one length share a word."""
+        self.threshold = threshold
+        rows: list[tuple[int, str] | None] = []
+        self.lanes: list[tuple[int, int, int]] = []  # length, first and last word
+        for n in sorted({len(term) for _, term in terms}):
+            own = [x for x in terms if len(x[1]) == n]
+            self.lanes.append((n, len(rows) // 8, (len(rows) + len(own) + 7) // 8))
+            rows += own + [None] * (-len(own) % 8)
+        self.numbers = np.array([-1 if x is None else x[0] for x in rows])
+        self.n = np.array([0 if x is None else len(x[1]) for x in rows])
+        needles = [_letters("" if x is None else x[1]) for x in rows]
+        self.alphabet = np.unique(np.concatenate(needles))
+        placed = [np.searchsorted(self.alphabet, needle) for needle in needles]
+        self.known = np.unique(np.concatenate([self.runs(x) for x in placed]))
+        holds = np.zeros((len(self.known) + 1, len(rows)), np.uint8)
+        self.longest = int(self.n.max())
+        # the places of each letter in a term as bits, read forwards and backwards
+        self.places = np.zeros((2, len(rows), len(self.alphabet) + 1), np.uint64)
+        for row, needle in enumerate(placed):
+            holds[np.searchsorted(self.known, self.runs(needle)), row] = 1
+            for j, at in enumerate(needle.tolist()):
+                self.places[0, row, at] |= np.uint64(1 << j)
+                self.places[1, row, at] |= np.uint64(1 << len(needle) - 1 - j)
+        self.holds = np.ascontiguousarray(holds.view("<u8").T)
+        needed = np.array([max(0, least_kept(int(n), 2, threshold)) for n in self.n], np.uint8)
+        #: With it added, a byte that counts enough reaches 128.
+        self.short_of = np.where(self.n > 0, 128 - needed, 0).astype(np.uint8).view("<u8")[:, None]
+        share = threshold / 100
+        least = np.ceil(self.n * share / (2 - share) - 1e-9).astype(np.int64)  # letters of the shortest stretch that can match
+        self.shortest = int(least[self.n > 0].min())
+        #: So many letters of a stretch may be none of the term's.
+        self.extra = np.floor(self.n * (1 - share) + 1e-6).astype(np.int64)
+        #: So a letter of the stretch meets places of the term within a band, by place in the stretch and row.
+        self.band = np.zeros((self.longest, len(rows)), np.uint64)
+        for t in range(self.longest):
+            for row in range(len(rows)):
+                low, high = max(0, t - self.extra[row]), min(t + self.n[row] - least[row], 63)
+                self.band[t, row] = (1 << int(high) + 1) - (1 << int(low)) if high >= low else 0
+        #: So many letters of no term lie between two texts.
+        self.gap = self.longest + SLACK + 1
+
+    def runs(self, at: np.ndarray) -> np.ndarray:
+        """The runs of two letters, given by their places in the alphabet, as numbers."""
+        return at[:-1] * (len(self.alphabet) + 1) + at[1:]
+
+    def mentions(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, float, int]]:
+        """Text, number, score and first place of the best window of each term that a text mentions."""
+        sizes = np.array([len(text) for text in texts], np.int64)
+        starts = np.cumsum(sizes + self.gap) - sizes
+        letters = len(self.alphabet)
+        at = np.full(int(starts[-1] + sizes[-1]) + 2 * self.gap, letters)
+        begins, ends = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)  # of each place's text
+        for start, text in zip(starts.tolist(), texts, strict=True):
+            own = np.searchsorted(self.alphabet, text)
+            own[self.alphabet[np.minimum(own, letters - 1)] != text] = letters
+            at[start : start + len(text)] = own
+            begins[start : start + len(text)], ends[start : start + len(text)] = start, start + len(text)
+        runs = self.runs(at)
+        held = np.searchsorted(self.known, runs)
+        if len(self.known):
+            held[self.known[np.minimum(held, len(self.known) - 1)] != runs] = len(self.known)
+        found = []
+        for rows, places in self.parts(held):
+            inside = np.flatnonzero((places < ends[places]) & (begins[places] + self.n[rows] <= ends[places]))
+            rows, places = rows[inside], places[inside]
+            lasts = np.flatnonzero(places + self.n[rows] == ends[places])
+            for r, scores, windows in (
+                self.stretches(at, rows, places, begins[places], ends[places]),
+                self.whole_windows(at, rows[lasts], places[lasts], ends[places[lasts]]),
+            ):
+                found.append((np.searchsorted(starts, windows, "right") - 1, r, scores, windows))
+        if not found:
+            return
+        of, rows, scores, windows = (np.concatenate(x) for x in zip(*found, strict=True))
+        good = np.flatnonzero(scores >= self.threshold - 1e-9)
+        order = good[np.lexsort((windows[good], -scores[good], rows[good], of[good]))]
+        new = (np.diff(of[order], prepend=-1) != 0) | (np.diff(rows[order], prepend=-1) != 0)
+        best = order[new]
+        at = windows[best] - starts[of[best]]
+        yield from zip(of[best].tolist(), self.numbers[rows[best]].tolist(), scores[best].tolist(), at.tolist(), strict=True)
+
+    def parts(self, held: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The pairs of ``near``, so many at a time that they are worth a step."""
+        at_once = max(1, CELLS_AT_ONCE // (8 * len(self.n)))  # what a step holds stays in a core's cache
+        last = len(held) + 1 - 2 * self.gap
+        pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        for first in range(self.gap, last, at_once):
+            high = min(first + at_once, last)
+            pairs.append(self.near(held, first, high - first))
+            if high == last or sum(len(x) for x, _ in pairs) >= PAIRS:
+                rows, places = (np.concatenate(x) for x in zip(*pairs, strict=True))
+                yield rows, places
+                pairs = []
+
+    def near(self, held: np.ndarray, first: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and places where a stretch can keep enough runs of two letters."""
+        sums = [np.take(self.holds, held[first : first + width + self.gap], axis=1)]  # over 1, 2, 4, ... places
+        reached = np.empty((len(self.holds), width), np.uint64)
+        reached[:] = self.short_of
+        for n, low, high in self.lanes:
+            while 2 << len(sums) - 1 <= n - 1:
+                step = 1 << len(sums) - 1
+                sums.append(sums[-1][:, :-step] + sums[-1][:, step:])
+            done = 0
+            for k in range(len(sums)):
+                if n - 1 >> k & 1:
+                    reached[low:high] += sums[k][low:high, done : done + width]
+                    done += 1 << k
+        reached &= np.uint64(0x8080808080808080)
+        words = np.flatnonzero(reached != 0)
+        lane, place = np.divmod(words, width)
+        found = np.flatnonzero(reached.ravel()[words].view(np.uint8) != 0)
+        return lane[found >> 3] * 8 + (found & 7), place[found >> 3] + first
+
+    def common(self, at: np.ndarray, rows: np.ndarray, places: np.ndarray, back: int = 0) -> Iterator[np.ndarray]:
+        """After each further letter, bits that are cleared for each letter of the common subsequence."""
+        masks, base = self.places[back].ravel(), rows * (len(self.alphabet) + 1)
+        bits = np.full(len(rows), np.uint64(0xFFFFFFFFFFFFFFFF))
+        for t in range(self.longest):
+            same = bits & masks[base + at[places - t if back else places + t]]
+            bits = (bits + same) | (bits - same)
+            yield bits
+
+    def stretches(self, at, rows, places, start, stop) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, scores and first windows of the stretches that reach the threshold, see ``best_window``."""
+        masks, width = self.places[0].ravel(), len(self.alphabet) + 1
+        n, base = self.n[rows], rows * width
+        bits = np.full(len(rows), np.uint64(0xFFFFFFFFFFFFFFFF))
+        out = [(rows[:0], np.zeros(0), places[:0])]
+        for t in range(self.longest):
+            length = t + 1
+            same = bits & masks[base + at[places + t]] & self.band[t][rows]
+            bits = (bits + same) | (bits - same)
+            if length >= 4 and length % 2 == 0:  # no longer stretch makes up for more extra letters
+                alive = np.flatnonzero(np.bitwise_count(bits) <= (self.extra + 64 - length)[rows])
+                rows, places, n, base, bits = rows[alive], places[alive], n[alive], base[alive], bits[alive]
+                start, stop = start[alive], stop[alive]
+            if length < self.shortest:
+                continue
+            common = 64 - np.bitwise_count(bits).astype(np.int64)
+            enough = 200 * common >= (self.threshold - 1e-6) * (n + length)
+            good = np.flatnonzero(enough & (length <= n) & (places + length <= stop))
+            if not len(good):
+                continue
+            p, m, low, end = places[good], n[good], start[good], places[good] + length
+            none = stop[good]
+            begins = np.where(p <= none - m, p, none)
+            ends = np.where(end == none, np.maximum(low, none - m - SLACK), end - m - SLACK)
+            short = np.minimum(begins, np.where(ends >= low, ends, none))
+            first = np.where(length == m, np.maximum(low, p - SLACK), short)
+            real = first < none
+            out.append((rows[good][real], (200.0 * common[good] / (m + length))[real], first[real]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def whole_windows(self, at, rows, places, stop) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, scores and places of last windows, as long as their terms, against the terms' beginnings and ends."""
+        n, best = self.n[rows], np.zeros(len(rows))
+        for back, begin in ((0, places), (1, stop - 1)):
+            bits = np.full(len(rows), np.uint64(0xFFFFFFFFFFFFFFFF))
+            for t, now in enumerate(self.common(at, rows, begin, back)):
+                bits = np.where(t < n, now, bits)
+            for k in range(1, self.longest):
+                common = k - np.bitwise_count(bits & np.uint64((1 << k) - 1))
+                best = np.where(k < n, np.maximum(best, 200.0 * common / (n + k)), best)
+        return rows, best, places
+
+
 def common_lengths(piece: np.ndarray, needle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Longest common subsequences of ``needle`` with every stretch of up to its length.
 
@@ -191,15 +345,45 @@ def best_window(piece: np.ndarray, needle: np.ndarray, n_starts: int, at_end: bo
     return best
 
 
-def _mentions(groups: list[Terms]):
+class LongTerms(Terms):
+    """Terms above 64 letters, text by text."""
+
+    def mentions(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, float, int]]:
+        for row, text in enumerate(texts):
+            for found in super().mentions(text):
+                yield row, *found
+
+
+def grouped(terms: list[tuple[int, str]], threshold: float) -> list[ShortTerms | LongTerms]:
+    """Terms in groups that are sought together."""
+    short = sorted((x for x in terms if len(x[1]) <= 64), key=lambda x: len(x[1]))
+    out: list[ShortTerms | LongTerms] = [ShortTerms(short[k : k + AT_ONCE], threshold) for k in range(0, len(short), AT_ONCE)]
+    for n in sorted({len(term) for _, term in terms if len(term) > 64}):
+        out.append(LongTerms(n, [x for x in terms if len(x[1]) == n], threshold))
+    return out
+
+
+def runs_of_texts(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """First and last of neighbouring texts of ``TOGETHER`` letters or one long one."""
+    low = letters = 0
+    for k, size in enumerate(sizes):
+        if k > low and letters + size > TOGETHER:
+            yield low, k
+            low, letters = k, 0
+        letters += size
+    if low < len(sizes):
+        yield low, len(sizes)
+
+
+def _mentions(groups: list[ShortTerms | LongTerms]):
     def mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, numbers, scores, places = [], [], [], []
-            for row, text in enumerate(batch.column("_text")):
-                letters = _letters(text.as_py())
+            texts = [_letters(text.as_py()) for text in batch.column("_text")]
+            for low, high in runs_of_texts([len(text) for text in texts]):
                 for group in groups:
-                    for number, score, at in group.mentions(letters):
-                        rows.append(row)
+                    for row, number, score, at in group.mentions(texts[low:high]):
+                        rows.append(low + row)
                         numbers.append(number)
                         scores.append(score)
                         places.append(at)
@@ -246,10 +430,7 @@ def approximate_mentions(
     out = None
     for n in range(n_blocks):
         block = named.where(F.pmod(F.xxhash64(entity, position), F.lit(n_blocks)) == n).collect()
-        by_length: dict[int, list[tuple[int, str]]] = {}
-        for at, r in enumerate(block):
-            by_length.setdefault(len(r["_term"]), []).append((at, r["_term"]))
-        groups = [Terms(size, own, threshold) for size, own in sorted(by_length.items())]
+        groups = grouped([(at, r["_term"]) for at, r in enumerate(block)], threshold)
         found = plain.mapInArrow(_mentions(groups), f"_key {key_type}, _number int, score double, start int")
         places = [(at, r[entity], r[position], len(r["_term"])) for at, r in enumerate(block)]
         schema = f"_number int, `{entity}` {number[entity]}, `{position}` {number[position]}, _n int"

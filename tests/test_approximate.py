@@ -121,3 +121,20 @@ def test_alignment():
     letters = lambda x: np.array([*map(ord, x)], np.int32)
     lengths, _ = ap.common_lengths(letters("xabyc"), letters("abc"))
     assert lengths[1].tolist() == [0, 1, 2, 2] and lengths[2].tolist() == [0, 1, 1, 2]
+
+
+@pytest.mark.parametrize(("threshold", "cells", "pairs"), [(85.0, 1 << 22, 1 << 20), (75.0, 1000, 50)])
+def test_all_lengths_are_sought_at_once(monkeypatch, threshold, cells, pairs):
+    """One scan for names of all lengths up to 64 letters and for many texts, with the results of the scan by length."""
+    monkeypatch.setattr(ap, "CELLS_AT_ONCE", cells)
+    monkeypatch.setattr(ap, "PAIRS", pairs)
+    longer = "calea victoriei de la piata revolutiei pana la piata unirii si inapoi "
+    names = [plain(n) for _, _, n in NAMES if n] + [longer[:64], longer[:63], longer[:66], "ateneu", "nu"]
+    bodies = [plain(t) for _, t in texts() if t] + ["de pe " + longer[:40] + "x" + longer[42:] + "acasa", longer[:62]]
+    groups = ap.grouped(list(enumerate(names)), threshold)
+    assert [type(g) for g in groups] == [ap.ShortTerms, ap.LongTerms]
+    letters = [ap._letters(t) for t in bodies]
+    got = {(k, number, round(score, 6), at) for g in groups for k, number, score, at in g.mentions(letters)}
+    one_by_one = [ap.Terms(len(n), [(i, n)], threshold) for i, n in enumerate(names)]
+    want = {(k, i, round(score, 6), at) for k, text in enumerate(letters) for t in one_by_one for i, score, at in t.mentions(text)}
+    assert got == want and len(want) > 40 and {len(names[i]) for _, i, *_ in want} >= {2, 7, 63, 64, 66}
