@@ -32,7 +32,7 @@ AT_ONCE = 512
 #: Letters of short texts that are scanned together.
 TOGETHER = 1 << 15
 #: Pairs of terms and places that are held at a time, about.
-PAIRS = 1 << 20
+PAIRS = 1 << 16
 
 # Words and stems that negate a mention; those marked by a closing \b must end there.
 NEGATIONS = [r"\bnu\b", r"\bfără\b", r"\bevit", r"\bexclus", r"\bam\s+ales\s+să\s+nu", r"\bam\s+decis\s+să\s+nu"]
