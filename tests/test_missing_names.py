@@ -3,7 +3,7 @@
 import __spark_entry__ as entry
 
 DOCS = [(0, "the old mill"), (1, "a red barn and the old mill"), (4, "nothing here"), (6, None)]
-ITEMS = [(0, "Old mill"), (1, "red barn"), (4, "new bridge"), (5, "the old mill"), (6, "blue door")]
+ITEMS = [(0, "Old mill"), (1, "red barn"), (4, "new bridge"), (5, "the old mill"), (6, "blue door"), (6, "blue door")]
 
 
 def test_documents_plan_all_items_of_their_residue(spark, tmp_path):
