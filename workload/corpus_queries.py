@@ -8,7 +8,7 @@ from sparkrubric.functions import morphology as mo
 from sparkrubric.functions import text as tx
 from sparkrubric.plans import feasibility as fe
 from sparkrubric.plans import worlds as wd
-from workload.base import Registry, planted, planted_sql, quote, table, words_sql
+from workload.base import Registry, planted, planted_sql, quote, spread, table, words_sql
 
 reg = Registry()
 
@@ -315,7 +315,7 @@ _SEARCH_FORMS_SQL = """
 @reg.add("search_forms", _SEARCH_FORMS_SQL)
 def _(spark, sf):
     names = F.array(F.concat(F.split("p_name", " ")[0], F.lit("a "), F.split("p_name", " ")[1], F.lit("ea")), "p_brand")
-    return table(spark, sf, "part").select(
+    return spread(table(spark, sf, "part").select("p_partkey", "p_name", "p_brand")).select(
         "p_partkey",
         F.array_join(F.array_sort(mo.search_forms(names)), "|").alias("forms"),
         F.array_join(F.array_sort(mo.search_forms_articulated(names)), "|").alias("articulated"),
