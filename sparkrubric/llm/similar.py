@@ -1,8 +1,8 @@
-"""Near copies by Jaccard similarity: MinHash bands find pairs of texts, their shingle sets decide.
+"""Near copies by Jaccard similarity: SimHash fingerprints and BK-trees find pairs of texts, their shingle sets decide.
 
-A text's shingles are its runs of ``words_per_shingle`` words.  Texts that agree on all hashes of one band share a bucket.
-At 0.8, one pair in about 1,500 shares no bucket; at 0.85, one in 300,000; no other pair is left out.  SimHash doesn't
-serve here: at 0.8, about ten of 64 bits differ, which no blocks of bits hold.
+A text's shingles are its runs of ``words_per_shingle`` words.  At a similarity of 0.8, 15 percent of two fingerprints' bits
+differ, ten of 64; so shards are 200 blocks of 20 bits of a wide fingerprint, and a shard's BK-tree joins codes at
+``RADIUS`` of 64 bits.  What part of the pairs at 0.8 that loses is in the README; no other pair is left out.
 
 A bucket's texts are first compared with one of them, a few times over, and only texts that no chain of links has joined
 by then are compared in pairs.  So a large group of near copies costs a few comparisons for each text.
@@ -19,17 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkrubric.llm.components import components
+from sparkrubric.llm.simhash import wide_buckets, wide_fingerprint
 from sparkrubric.llm.storage import ready_for_python, written
 
-BANDS, ROWS = 40, 8
+#: Differing bits of two codes, up to which a BK-tree joins them.
+RADIUS = 20
 #: Rounds in which the texts of a bucket are compared with one of them.
 STARS = 3
 NO_ID = (1 << 63) - 1
-SHINGLES_AT_ONCE = 1 << 12
 PAIRS_AT_ONCE = 1 << 16
 
-_ODD = np.random.default_rng(42).integers(0, 1 << 64, (3, BANDS * ROWS), np.uint64, endpoint=False) | np.uint64(1)
-
 
 def shingles(text: bytes | None, words_per_shingle: int) -> tuple[int, np.ndarray]:
     """The hash of all words, and the sorted hashes of the different shingles; a shorter text is one shingle."""
@@ -48,41 +47,33 @@ def shingles(text: bytes | None, words_per_shingle: int) -> tuple[int, np.ndarra
     return whole, np.unique(np.array(hashes, np.uint64))
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """A bucket for each band; none for a text without a word."""
-    if not len(hashes):
-        return np.empty(0, np.int64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for at in range(0, len(hashes), SHINGLES_AT_ONCE):
-        part = hashes[at : at + SHINGLES_AT_ONCE, None] * _ODD[0] + _ODD[1]
-        np.minimum(least, part.min(axis=0), out=least)
-    mixed = (least ^ (least >> np.uint64(29))) * _ODD[2]
-    return mixed.reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64).view(np.int64)
-
-
 def _signatures(words_per_shingle: int):
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wholes, sizes, buckets = [], [], []
+            wholes, sizes, codes, further = [], [], [], []
             for text in batch.column("text").cast(pa.binary()):
                 whole, hashes = shingles(text.as_py(), words_per_shingle)
                 wholes.append(whole)
                 sizes.append(len(hashes))
-                buckets.append(bands(hashes))
+                code, bits = wide_fingerprint(hashes)
+                codes.append(code)
+                further.append(bits)
             columns = [
                 batch.column("doc_id"),
                 batch.column("key"),
                 pa.array(np.array(wholes, np.uint64).view(np.int64)),
                 pa.array(sizes, pa.int64()),
-                pa.array(buckets, pa.list_(pa.int64())),
+                pa.array(np.array(codes, np.uint64).view(np.int64)),
+                pa.array(further, pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "node", "n", "buckets"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "node", "n", "code", "further"])
 
     return signatures
 
 
 def _cross(similarity: float):
-    """Pairs of a bucket's texts in different components whose sizes allow the similarity; rows come sorted by bucket."""
+    """Pairs of a bucket's texts in different components whose sizes and codes allow the similarity; rows come sorted by
+    bucket."""
 
     def pairs(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
@@ -90,13 +81,14 @@ def _cross(similarity: float):
         bucket = columns[0]
         starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]).tolist()
         for start, end in zip(starts, [*starts[1:], len(bucket)], strict=True):
-            node, n, root = (c[start:end] for c in columns[1:])
+            node, n, root, code = (c[start:end] for c in columns[1:])
             order = np.argsort(root, kind="stable")
-            node, n, root = node[order], n[order], root[order]
+            node, n, root, code = node[order], n[order], root[order], code[order].view(np.uint64)
             others = np.searchsorted(root, root, side="right")
             for i in range(end - start):
                 far = slice(others[i], None)
                 fits = np.minimum(n[far], n[i]) >= similarity * np.maximum(n[far], n[i]) - 1e-9
+                fits &= np.bitwise_count(code[far] ^ code[i]) <= RADIUS
                 partners = node[far][fits]
                 found.append(np.stack([np.full(len(partners), node[i]), partners]))
                 held += len(partners)
@@ -111,7 +103,7 @@ def _cross(similarity: float):
         return pa.RecordBatch.from_arrays([pa.array(both.min(axis=0)), pa.array(both.max(axis=0))], ["a", "b"])
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.empty(0, np.int64)] * 4
+        rest = [np.empty(0, np.int64)] * 5
         for batch in batches:
             columns = [np.concatenate([r, c.to_numpy(zero_copy_only=False)]) for r, c in zip(rest, batch.columns, strict=True)]
             if not len(columns[0]):
@@ -146,10 +138,11 @@ def _similar(words_per_shingle: int, similarity: float):
 
 
 def _links(nodes: DataFrame, documents: DataFrame, words_per_shingle: int, similarity: float) -> DataFrame | None:
-    """``(node, root)`` of the linked nodes, or none.  ``nodes`` has ``node, first, n, buckets``."""
-    buckets = nodes.select("node", "n", F.explode("buckets").alias("bucket"))
-    shared = buckets.groupBy("bucket").count().where("count > 1").select("bucket")
-    buckets = written(buckets.join(shared, "bucket").select("bucket", "node", "n"), "buckets")
+    """``(node, root)`` of the linked nodes, or none.  ``nodes`` has ``node, first, n, code, further``."""
+    # texts without a word meet no other
+    shared = written(wide_buckets(nodes.where("n > 0"), RADIUS), "shared")
+    held = nodes.where("n > 0").select("node", "n", "code")
+    buckets = written(shared.join(held, "code").select("bucket", "node", "n", "code"), "buckets")
     compared = nodes.join(buckets.select("node").distinct(), "node").select("node", "first.*")
     compared = compared.select("node", F.col("id").alias("of"), F.col("key").alias("of_key"))
     text = F.col("text").cast("string")
@@ -163,12 +156,13 @@ def _links(nodes: DataFrame, documents: DataFrame, words_per_shingle: int, simil
         if roots is not None:
             members = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-        members = written(members.join(mixed.select("bucket"), "bucket").select("bucket", "node", "n", "root"), "members")
+        members = written(members.join(mixed.select("bucket"), "bucket").select("bucket", "node", "n", "root", "code"), "members")
         if step < STARS:
-            leader = F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("x"), "node", "n", "root")).alias("leader")
+            leader = F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("x"), "node", "n", "root", "code")).alias("leader")
             pairs = members.join(members.groupBy("bucket").agg(leader), "bucket").where("root <> leader.root")
             small, large = F.least("n", "leader.n"), F.greatest("n", "leader.n")
             pairs = pairs.where(small >= F.lit(similarity) * large - F.lit(1e-9))
+            pairs = pairs.where(F.bit_count(F.col("code").bitwiseXOR(F.col("leader.code"))) <= RADIUS)
             # the leader comes first: it is the one that many pairs share
             pairs = pairs.select(F.col("leader.node").alias("a"), F.col("node").alias("b"))
         else:
@@ -203,10 +197,11 @@ def near_copies(documents: DataFrame, words_per_shingle: int = 5, similarity: fl
     ready_for_python(documents.sparkSession)
     text = F.col("text").cast("string")
     rows = documents.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("key"), text.alias("text"))
-    marks = rows.mapInArrow(_signatures(words_per_shingle), "doc_id long, key long, node long, n long, buckets array<long>")
+    marks = rows.mapInArrow(_signatures(words_per_shingle), "doc_id long, key long, node long, n long, code long, further binary")
     marks = written(marks, "marks")
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "key")).alias("first")
-    nodes = marks.groupBy("node").agg(first, F.first("n").alias("n"), F.first("buckets").alias("buckets"))
+    same = [F.first(c).alias(c) for c in ("n", "code", "further")]  # all rows of a node have the same words
+    nodes = marks.groupBy("node").agg(first, *same)
     roots = _links(written(nodes, "nodes"), documents, words_per_shingle, similarity)
     if roots is None:
         return marks.select("doc_id", "key", F.col("node").alias("component"))
