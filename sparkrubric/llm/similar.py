@@ -118,21 +118,24 @@ def _cross(similarity: float):
     return cross
 
 
-def _similar(words_per_shingle: int, similarity: float):
+def _sets(words_per_shingle: int):
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t.as_py(), words_per_shingle)[1].tobytes() for t in batch.column("text").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], ["node", "held"])
+
+    return sets
+
+
+def _similar(similarity: float):
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, np.empty(0, np.uint64)
         for batch in batches:
-            found = []
-            texts = [batch.column(x).cast(pa.binary()) for x in ("text_a", "text_b")]
-            for a, b, text_a, text_b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), *texts, strict=True):
-                if a != last:
-                    last, own = a, shingles(text_a.as_py(), words_per_shingle)[1]
-                other = shingles(text_b.as_py(), words_per_shingle)[1]
+            mask = []
+            for held_a, held_b in zip(batch.column("held_a"), batch.column("held_b"), strict=True):
+                own, other = (np.frombuffer(x.as_buffer(), np.uint64) for x in (held_a, held_b))
                 both = len(np.intersect1d(own, other, assume_unique=True))
-                if both >= similarity * (len(own) + len(other) - both) - 1e-9:
-                    found.append((a, b))
-            columns = np.array(found, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(columns[:, 0]), pa.array(columns[:, 1])], ["a", "b"])
+                mask.append(both >= similarity * (len(own) + len(other) - both) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(mask, pa.bool_()))
 
     return similar
 
@@ -148,7 +151,8 @@ def _links(nodes: DataFrame, documents: DataFrame, words_per_shingle: int, simil
     text = F.col("text").cast("string")
     rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), text.alias("text"))
     rows = rows.join(compared, (F.col("id") == F.col("of")) & (F.xxhash64("text") == F.col("of_key")))
-    texts = written(rows.select("node", "text").dropDuplicates(["node"]), "texts")
+    texts = rows.select("node", "text").dropDuplicates(["node"])
+    sets = written(texts.mapInArrow(_sets(words_per_shingle), "node long, held binary"), "sets")
 
     edges = tested = roots = None
     for step in range(STARS + 1):
@@ -178,9 +182,10 @@ def _links(nodes: DataFrame, documents: DataFrame, words_per_shingle: int, simil
             break
         turned = pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))
         tested = pairs.unionByName(turned) if tested is None else tested.unionByName(pairs).unionByName(turned)
-        joined = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        joined = joined.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        found = joined.select("a", "b", "text_a", "text_b").mapInArrow(_similar(words_per_shingle, similarity), "a long, b long")
+        # the join on b is the last: a is the one that many pairs share, and b spreads the comparisons
+        joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("held").alias("held_a")), "a")
+        joined = joined.join(sets.select(F.col("node").alias("b"), F.col("held").alias("held_b")), "b")
+        found = joined.select("a", "b", "held_a", "held_b").mapInArrow(_similar(similarity), "a long, b long")
         found = written(found, "found")
         edges = found if edges is None else edges.unionByName(found)
         roots = written(components(edges), "roots")
