@@ -2,8 +2,9 @@
 
 A match at the threshold must keep so many of a name's runs of two letters within one stretch of its length, and so many
 of its letters near their places.  Texts are scanned once for each block of names: counts of kept runs slide along a text
-for eight names in a word's bytes; of the places that keep enough, those with enough letters near their places are scored
-by common subsequences held as the bits of a word.  Names above 64 letters are aligned by a dynamic program whose row is
+for eight names in a word's bytes; how many are enough depends on the place's first letter, which must be one of the name's.
+Of the places that keep enough, those with enough letters near their places are scored by common subsequences held as the
+bits of a word.  Names above 64 letters are aligned by a dynamic program whose row is
 folded over the stretch's letters.  At 85 percent a name of 20 letters may lose 15 of its 18 runs of three, so a join on
 runs is no filter: on prose it passed 40 percent of all stretches.
 """
@@ -27,6 +28,8 @@ SLACK = 5
 BLOCK_LETTERS = 1 << 16
 #: Cells of counts and alignments that are held at a time.
 CELLS_AT_ONCE = 1 << 22
+#: Runs are counted over multiples of so many places.
+SPANS = 2
 #: Terms that are sought together; their table of runs has so many columns.
 AT_ONCE = 512
 #: Letters of short texts that are scanned together.
@@ -48,6 +51,23 @@ def least_kept(n: int, size: int, threshold: float) -> int:
     return n - size + 1 - int(n * 2 * r * max(size / (1 + r), (size - 1) / (1 - r)) + 1e-9)
 
 
+def least_pairs(n: int, threshold: float, first: int) -> tuple[int, int]:
+    """So many runs of two letters does a term of ``n`` letters keep in a match that leaves out its ``first`` first letters,
+    and within so many letters of the text, if it keeps no more; none within 0 if there is no match.
+
+    As ``least_kept``, for whole numbers of letters and a stretch no longer than the term; a first letter that is left out
+    breaks one run.
+    """
+    r = 1 - threshold / 100
+    best = (n, 0)
+    for out in range(first, n):
+        for extra in range(out + 1):
+            if (1 + r) * out + (1 - r) * extra <= 2 * r * n + 1e-9:
+                kept, letters = max(0, n - 1 - first - 2 * (out - first) - extra), n - out + extra
+                best = min(best, (kept, -letters))
+    return best[0], -best[1]
+
+
 def _letters(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.int32)
 
@@ -125,19 +145,22 @@ class ShortTerms:
     """Terms of up to 64 letters, of any lengths, sought together."""
 
     def __init__(self, terms: list[tuple[int, str]], threshold: float) -> None:
-        """``terms`` are numbers and normalized names; eight of one length share a word."""
+        """``terms`` are numbers and normalized names; eight of about one length share a word."""
         self.threshold = threshold
-        rows: list[tuple[int, str] | None] = []
-        self.lanes: list[tuple[int, int, int]] = []  # length, first and last word
-        for n in sorted({len(term) for _, term in terms}):
-            own = [x for x in terms if len(x[1]) == n]
-            self.lanes.append((n, len(rows) // 8, (len(rows) + len(own) + 7) // 8))
-            rows += own + [None] * (-len(own) % 8)
+        rows: list[tuple[int, str] | None] = sorted(terms, key=lambda x: len(x[1]))
+        rows += [None] * (-len(rows) % 8)
         self.numbers = np.array([-1 if x is None else x[0] for x in rows])
         self.n = np.array([0 if x is None else len(x[1]) for x in rows])
+        # a word's runs are counted over a multiple of four places, enough for its longest term
+        spans = (-(-(self.n.reshape(-1, 8).max(axis=1) - 1) // SPANS) * SPANS).tolist()
+        changes = [k for k in range(len(spans)) if k == 0 or spans[k] != spans[k - 1]]
+        self.lanes = [(spans[k], k, end) for k, end in zip(changes, [*changes[1:], len(spans)], strict=True)]
         needles = [_letters("" if x is None else x[1]) for x in rows]
         self.alphabet = np.unique(np.concatenate(needles))
-        placed = [np.searchsorted(self.alphabet, needle) for needle in needles]
+        #: The place of each letter in the alphabet; the last is for letters beyond it.
+        self.placed = np.full(int(self.alphabet[-1]) + 2, len(self.alphabet))
+        self.placed[self.alphabet] = np.arange(len(self.alphabet))
+        placed = [self.placed[needle] for needle in needles]
         self.known = np.unique(np.concatenate([self.runs(x) for x in placed]))
         holds = np.zeros((len(self.known) + 1, len(rows)), np.uint8)
         self.longest = int(self.n.max())
@@ -149,9 +172,20 @@ class ShortTerms:
                 self.places[0, row, at] |= np.uint64(1 << j)
                 self.places[1, row, at] |= np.uint64(1 << len(needle) - 1 - j)
         self.holds = np.ascontiguousarray(holds.view("<u8").T)
-        needed = np.array([max(0, least_kept(int(n), 2, threshold)) for n in self.n], np.uint8)
-        #: With it added, a byte that counts enough reaches 128.
-        self.short_of = np.where(self.n > 0, 128 - needed, 0).astype(np.uint8).view("<u8")[:, None]
+        #: By the first letter of a stretch: with it added, a byte that counts enough reaches 128.  The last is for any letter.
+        short_of = np.zeros((len(self.alphabet) + 2, len(rows)), np.uint8)
+        #: What counts just enough must lie within so many letters.
+        self.within = np.zeros((len(rows), len(self.alphabet) + 2), np.uint8)
+        fewest = {(n, j): least_pairs(n, threshold, j) for n in set(map(len, needles)) for j in range(n)}
+        for row, needle in enumerate(placed):
+            for j, at in enumerate(needle.tolist()):
+                kept, letters = fewest[len(needle), j]
+                if letters and 128 - kept >= short_of[at, row]:
+                    self.within[row, at] = max(letters, self.within[row, at] if 128 - kept == short_of[at, row] else 0)
+                    short_of[at, row] = 128 - kept
+            if len(needle):
+                short_of[-1, row], self.within[row, -1] = 128 - max(0, least_kept(len(needle), 2, threshold)), len(needle)
+        self.short_of = np.ascontiguousarray(short_of.view("<u8").T)
         share = threshold / 100
         least = np.ceil(self.n * share / (2 - share) - 1e-9).astype(np.int64)  # letters of the shortest stretch that can match
         self.shortest = int(least[self.n > 0].min())
@@ -178,16 +212,17 @@ class ShortTerms:
         at = np.full(int(starts[-1] + sizes[-1]) + 2 * self.gap, letters)
         begins, ends = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)  # of each place's text
         for start, text in zip(starts.tolist(), texts, strict=True):
-            own = np.searchsorted(self.alphabet, text)
-            own[self.alphabet[np.minimum(own, letters - 1)] != text] = letters
-            at[start : start + len(text)] = own
+            at[start : start + len(text)] = self.placed[np.minimum(text, len(self.placed) - 1)]
             begins[start : start + len(text)], ends[start : start + len(text)] = start, start + len(text)
         runs = self.runs(at)
         held = np.searchsorted(self.known, runs)
         if len(self.known):
             held[self.known[np.minimum(held, len(self.known) - 1)] != runs] = len(self.known)
+        # A best stretch begins with a letter of its term, or the one without it would be better; but a stretch of a text's
+        # last window need not have one without it in any window.
+        firsts = np.where((ends - np.arange(len(at)) <= self.longest) & (ends > 0), letters + 1, at)
         found = []
-        for rows, places in self.parts(held):
+        for rows, places in self.parts(held, firsts):
             inside = np.flatnonzero((places < ends[places]) & (begins[places] + self.n[rows] <= ends[places]))
             rows, places = rows[inside], places[inside]
             lasts = np.flatnonzero(places + self.n[rows] == ends[places])
@@ -206,38 +241,71 @@ class ShortTerms:
         at = windows[best] - starts[of[best]]
         yield from zip(of[best].tolist(), self.numbers[rows[best]].tolist(), scores[best].tolist(), at.tolist(), strict=True)
 
-    def parts(self, held: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def parts(self, held: np.ndarray, firsts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The pairs of ``near``, so many at a time that they are worth a step."""
         at_once = max(1, CELLS_AT_ONCE // (8 * len(self.n)))  # what a step holds stays in a core's cache
         last = len(held) + 1 - 2 * self.gap
+        room = self.room(min(at_once, last - self.gap))
         pairs: list[tuple[np.ndarray, np.ndarray]] = []
         for first in range(self.gap, last, at_once):
             high = min(first + at_once, last)
-            pairs.append(self.near(held, first, high - first))
+            pairs.append(self.near(held, firsts, first, high - first, room))
             if high == last or sum(len(x) for x, _ in pairs) >= PAIRS:
                 rows, places = (np.concatenate(x) for x in zip(*pairs, strict=True))
                 yield rows, places
                 pairs = []
 
-    def near(self, held: np.ndarray, first: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    def room(self, width: int) -> list[tuple[int, int, np.ndarray]]:
+        """For sums over 1, 2, 4, ... places: how many, the first word that needs them, and memory; at 0 for the result."""
+        size = width + self.lanes[-1][0]
+        steps = [1, *(1 << k for k in range(1, 7) if 1 << k <= self.lanes[-1][0])]
+        lows = [next((low for n, low, _ in self.lanes if n >= step), 0) for step in steps]
+        needs = zip([0, *steps], [0, *lows], strict=True)
+        return [(step, low, np.zeros((len(self.holds) - low) * size, np.uint64)) for step, low in needs]
+
+    def near(self, held: np.ndarray, firsts: np.ndarray, first: int, width: int, room: list) -> tuple[np.ndarray, np.ndarray]:
         """Rows and places where a stretch can keep enough runs of two letters."""
-        sums = [np.take(self.holds, held[first : first + width + self.gap], axis=1)]  # over 1, 2, 4, ... places
-        reached = np.empty((len(self.holds), width), np.uint64)
-        reached[:] = self.short_of
+        size = width + self.lanes[-1][0]  # of a word's places; additions run over all words at once, into the next one's places
+        whole = (len(self.holds), size)
+        sums: list[tuple[int, int, np.ndarray]] = []
+        for step, low, memory in room[1:]:
+            now = memory[: (len(self.holds) - low) * size]
+            if not sums:
+                np.take(self.holds, held[first : first + size], axis=1, out=now.reshape(whole), mode="clip")
+            else:
+                _, begin, half = sums[-1]
+                half = half[(low - begin) * size :]
+                np.add(half[: -step // 2], half[step // 2 :], out=now[: -step // 2])
+            sums.append((step, low, now))
+        reached = room[0][2][: len(self.holds) * size]
+        np.take(self.short_of, firsts[first : first + size], axis=1, out=reached.reshape(whole), mode="clip")
         for n, low, high in self.lanes:
-            while 2 << len(sums) - 1 <= n - 1:
-                step = 1 << len(sums) - 1
-                sums.append(sums[-1][:, :-step] + sums[-1][:, step:])
             done = 0
-            for k in range(len(sums)):
-                if n - 1 >> k & 1:
-                    reached[low:high] += sums[k][low:high, done : done + width]
-                    done += 1 << k
-        reached &= np.uint64(0x8080808080808080)
-        words = np.flatnonzero(reached != 0)
-        lane, place = np.divmod(words, width)
-        found = np.flatnonzero(reached.ravel()[words].view(np.uint8) != 0)
-        return lane[found >> 3] * 8 + (found & 7), place[found >> 3] + first
+            for step, begin, now in sums:
+                if n & step:
+                    more = now[(low - begin) * size + done : (high - begin) * size + done]
+                    reached[low * size : low * size + len(more)] += more
+                    done += step
+        reached.reshape(whole)[:, width:] = 0
+        words = np.flatnonzero((reached & np.uint64(0x8080808080808080)) != 0)
+        lane, place = np.divmod(words, size)
+        counts = reached[words].view(np.uint8)
+        found = np.flatnonzero(counts >= 128)
+        rows, place = lane[found >> 3] * 8 + (found & 7), place[found >> 3]
+        bare = np.flatnonzero(counts[found] == 128)  # just enough: none may lie behind the letters that this allows
+        r, p = rows[bare], place[bare]
+        begin = self.within[r, firsts[first + p]].astype(np.int64) - 1
+        tail = np.repeat([n for n, _, _ in self.lanes], [8 * (high - low) for _, low, high in self.lanes])[r] - begin
+        dropped = np.zeros(len(rows), bool)
+        for step, low, now in sums:
+            own = np.flatnonzero((tail >= step) & ((tail < 2 * step) | (step == sums[-1][0])))
+            if len(own):
+                cells = ((r[own] >> 3) - low) * size + p[own] + begin[own]
+                byte, held_by = r[own] & 7, now.view(np.uint8)
+                behind = held_by[cells * 8 + byte] | held_by[(cells + tail[own] - step) * 8 + byte]
+                dropped[bare[own[behind > 0]]] = True
+        kept = np.flatnonzero(~dropped)
+        return rows[kept], place[kept] + first
 
     def common(self, at: np.ndarray, rows: np.ndarray, places: np.ndarray, back: int = 0) -> Iterator[np.ndarray]:
         """After each further letter, bits that are cleared for each letter of the common subsequence."""
@@ -251,32 +319,36 @@ class ShortTerms:
     def stretches(self, at, rows, places, start, stop) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows, scores and first windows of the stretches that reach the threshold, see ``best_window``."""
         masks, width = self.places[0].ravel(), len(self.alphabet) + 1
-        n, base = self.n[rows], rows * width
+        kept, row, here, base = np.arange(len(rows)), rows, places, rows * width  # of the pairs that are still followed
         bits = np.full(len(rows), np.uint64(0xFFFFFFFFFFFFFFFF))
         out = [(rows[:0], np.zeros(0), places[:0])]
         for t in range(self.longest):
             length = t + 1
-            same = bits & masks[base + at[places + t]] & self.band[t][rows]
-            bits = (bits + same) | (bits - same)
+            same = np.take(masks, base + np.take(at, here + t))
+            same &= np.take(self.band[t], row)
+            same &= bits
+            more = bits + same
+            bits -= same
+            bits |= more
             if length >= 4 and length % 2 == 0:  # no longer stretch makes up for more extra letters
-                alive = np.flatnonzero(np.bitwise_count(bits) <= (self.extra + 64 - length)[rows])
-                rows, places, n, base, bits = rows[alive], places[alive], n[alive], base[alive], bits[alive]
-                start, stop = start[alive], stop[alive]
+                alive = np.flatnonzero(np.bitwise_count(bits) <= np.take(self.extra, row) + (64 - length))
+                kept, row, here, base, bits = kept[alive], row[alive], here[alive], base[alive], bits[alive]
             if length < self.shortest:
                 continue
+            n = self.n[row]
             common = 64 - np.bitwise_count(bits).astype(np.int64)
             enough = 200 * common >= (self.threshold - 1e-6) * (n + length)
-            good = np.flatnonzero(enough & (length <= n) & (places + length <= stop))
+            good = np.flatnonzero(enough & (length <= n) & (here + length <= stop[kept]))
             if not len(good):
                 continue
-            p, m, low, end = places[good], n[good], start[good], places[good] + length
-            none = stop[good]
+            p, m, low, end = here[good], n[good], start[kept[good]], here[good] + length
+            none = stop[kept[good]]
             begins = np.where(p <= none - m, p, none)
             ends = np.where(end == none, np.maximum(low, none - m - SLACK), end - m - SLACK)
             short = np.minimum(begins, np.where(ends >= low, ends, none))
             first = np.where(length == m, np.maximum(low, p - SLACK), short)
             real = first < none
-            out.append((rows[good][real], (200.0 * common[good] / (m + length))[real], first[real]))
+            out.append((row[good][real], (200.0 * common[good] / (m + length))[real], first[real]))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     def whole_windows(self, at, rows, places, stop) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

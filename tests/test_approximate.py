@@ -138,3 +138,25 @@ def test_all_lengths_are_sought_at_once(monkeypatch, threshold, cells, pairs):
     one_by_one = [ap.Terms(len(n), [(i, n)], threshold) for i, n in enumerate(names)]
     want = {(k, i, round(score, 6), at) for k, text in enumerate(letters) for t in one_by_one for i, score, at in t.mentions(text)}
     assert got == want and len(want) > 40 and {len(names[i]) for _, i, *_ in want} >= {2, 7, 63, 64, 66}
+
+
+def test_few_pairs_are_aligned(monkeypatch):
+    """Of places in prose without a mention, few are left to be scored; one that has a mention is still found at any edge."""
+    rng = random.Random(7)
+    words = ["".join(rng.choice("aeioutnrslcdm") for _ in range(rng.randrange(2, 8))) for _ in range(400)]
+    names = [" ".join(rng.sample(words, 4))[:20] for _ in range(64)]
+    body = " ".join(rng.choice(words) for _ in range(1500))
+    followed = []
+    scored = ap.ShortTerms.stretches
+
+    def counted(self, at, rows, *rest):
+        followed.append(len(rows))
+        return scored(self, at, rows, *rest)
+
+    monkeypatch.setattr(ap.ShortTerms, "stretches", counted)
+    edges = [names[0][2:] + " " + body, body + " " + names[1][:-2], body + names[2][:9] + names[2][10:] + body]
+    (group,) = ap.grouped(list(enumerate(names)), 85.0)
+    found = {(k, number) for k, number, *_ in group.mentions([ap._letters(t) for t in [body, *edges]])}
+    assert {(1, 0), (2, 1), (3, 2)} <= found
+    letters = len(body) + sum(map(len, edges))
+    assert sum(followed) < 0.004 * letters * len(names)
