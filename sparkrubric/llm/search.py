@@ -6,6 +6,10 @@ skipped as a whole.  Terms are ordered by the most that they can add; those befo
 that score together, so in the blocks that are left only documents with a term from the pivot on are candidates, and of
 these only those whose bound reaches the threshold are scored.  Weights use statistics of all documents, so a shard's
 scores are final and the shards' best merge exactly.
+
+Where a shard has terms that lie in many of its documents, as prose does, whole texts as queries leave hardly a block to
+skip.  What these terms add to every document is then taken for many queries at once, as a product of matrices; with the
+lists of the other terms that bounds a document's score so closely that few more than ``k`` are scored.
 """
 
 from __future__ import annotations
@@ -27,6 +31,10 @@ BLOCK = 64
 #: Bounds are held in single precision, rounded up, and summed in double precision; sums of ``n`` terms are off by at most
 #: ``n * 2 ** -53`` of their size, so with this margin they stay bounds for texts of millions of different terms.
 MARGIN = 1 + 1e-9
+#: Up to so many terms of a shard, each in so many documents, are held as a matrix, and so many queries are multiplied with
+#: it at a time.  Sums of so many products in single precision are off by less than this margin.
+FREQUENT, FREQUENT_DOCUMENTS, TOGETHER = 384, 512, 64
+SINGLE_MARGIN = 1 + 1e-4
 FILTER_BITS = 1 << 23
 TERMS_SCHEMA = "doc_id long, length int, terms array<long>, counts array<int>"
 
@@ -114,6 +122,16 @@ class Shard:
         self.block_starts = np.searchsorted(places, self.starts)
         self.places = np.r_[places, len(flat)]
         self.n_blocks = -(-len(ids) // BLOCK)
+        sizes = np.diff(self.starts) if len(flat) else np.empty(0, int)
+        many = np.flatnonzero(sizes >= FREQUENT_DOCUMENTS)
+        many = many[np.argsort(-sizes[many], kind="stable")[:FREQUENT]]
+        #: By place in ``known``: the term's row in the matrix, or -1.
+        self.row_of = np.full(len(self.known), -1, np.int32)
+        self.row_of[many] = np.arange(len(many))
+        self.frequent = np.zeros((len(many), len(ids)), np.float32)
+        for row, at in enumerate(many.tolist()):
+            own = slice(self.starts[at], self.starts[at + 1])
+            self.frequent[row, self.docs[own]] = self.impacts[own]
 
     def _block_bounds(self, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """The most that the terms ``at`` can add to a document, by block."""
@@ -141,15 +159,54 @@ class Shard:
         tf = self.own_counts[mine][at[hit]]
         return float((weights[hit] * (tf * (K1 + 1) / (tf + self.norm[doc]))).sum())
 
-    def top(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """The ``k`` best ``(score, document)`` with a score above zero, ties by id; ``terms`` ascend."""
+    def find(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``known`` of the terms that the shard knows, and their weights."""
         if not len(self.known):
-            return []
+            return np.empty(0, int), weights[:0]
         at = np.minimum(np.searchsorted(self.known, terms), len(self.known) - 1)
         hit = self.known[at] == terms
-        if not hit.any():
+        return at[hit], weights[hit]
+
+    def tops(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
+        """``top`` of several queries."""
+        if not len(self.frequent):
+            return [self.top(terms, weights, k) for terms, weights in queries]
+        found = [self.find(terms, weights) for terms, weights in queries]
+        matrix = np.zeros((len(queries), len(self.frequent)), np.float32)
+        for i, (at, own) in enumerate(found):
+            rows = self.row_of[at]
+            matrix[i, rows[rows >= 0]] = own[rows >= 0]
+        added = matrix @ self.frequent
+        added *= np.float32(SINGLE_MARGIN)
+        return [self._best(*query, *places, most, k) for query, places, most in zip(queries, found, added, strict=True)]
+
+    def _best(self, terms: np.ndarray, weights: np.ndarray, at: np.ndarray, own: np.ndarray, added: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """``top``, if ``added`` is the most that the terms of the matrix add to each document."""
+        rare = self.row_of[at] < 0
+        most = (self._bounds(at[rare], own[rare]) + added) * MARGIN
+        n = min(k, len(most))
+        best = np.argpartition(most, len(most) - n)[len(most) - n :]
+        scored = {doc: self.score(doc, terms, weights) for doc in best.tolist() if most[doc] > 0}
+        threshold = min(scored.values()) if len(scored) == k else 0.0
+        docs = np.flatnonzero((most >= threshold) & (most > 0))
+        for doc in docs[np.argsort(-most[docs])].tolist():
+            if doc not in scored:
+                if most[doc] < threshold:
+                    break
+                scored[doc] = self.score(doc, terms, weights)
+                threshold = sorted(scored.values(), reverse=True)[k - 1] if len(scored) >= k else 0.0
+        return self._ranked(scored, k)
+
+    def _ranked(self, scored: dict[int, float], k: int) -> list[tuple[float, int]]:
+        last = (1 << 63) - 1
+        ranked = sorted((-s, last if self.ids[d] is None else self.ids[d], d) for d, s in scored.items() if s > 0)
+        return [(-s, d) for s, _, d in ranked[:k]]
+
+    def top(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """The ``k`` best ``(score, document)`` with a score above zero, ties by id; ``terms`` ascend."""
+        at, own = self.find(terms, weights)
+        if not len(at):
             return []
-        at, own = at[hit], weights[hit]
         bound = own * self.most[at]
         order = np.argsort(bound)
         at, own, bound = at[order], own[order], bound[order]
@@ -181,26 +238,34 @@ class Shard:
             if most[start] < threshold:
                 break
             threshold = max(threshold, exact(docs[start : start + 2 * k]))
-        last = (1 << 63) - 1
-        ranked = sorted((-s, last if self.ids[d] is None else self.ids[d], d) for d, s in scored.items() if s > 0)
-        return [(-s, d) for s, _, d in ranked[:k]]
+        return self._ranked(scored, k)
 
 
-def _search(k: int, mean_length: float):
+def _search(k: int, n: int, mean_length: float):
     names = ["query", "query_id", "doc_id", "score"]
+    kinds_of = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard: int | None = None
         index: Shard | None = None
         rows: list[tuple] = []
+        asked: list[tuple] = []  # queries of the shard that are not answered yet
+
+        def answers() -> pa.RecordBatch:
+            tops = index.tops([(terms, weights) for _, _, terms, weights in asked], k)
+            found = [(query, ident, index.ids[doc], score) for (query, ident, _, _), top in zip(asked, tops, strict=True) for score, doc in top]
+            asked.clear()
+            return pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], kind) for j, kind in enumerate(kinds_of)], names)
+
         for batch in batches:
-            found: list[tuple] = []
             shards, kinds, ids, queries, lengths = (batch.column(c).to_pylist() for c in ("shard", "kind", "doc_id", "query", "length"))
-            terms, counts, weights = (batch.column(c) for c in ("terms", "counts", "weights"))
+            terms, counts = batch.column("terms"), batch.column("counts")
             for i in range(len(batch)):
                 if shards[i] != shard:
+                    if asked:
+                        yield answers()
                     shard, index, rows = shards[i], None, []
-                own, numbers = (x[i].values.to_numpy(zero_copy_only=False) for x in (terms, weights if kinds[i] else counts))
+                own, numbers = (x[i].values.to_numpy(zero_copy_only=False) for x in (terms, counts))
                 if kinds[i] == 0:
                     rows.append((ids[i], lengths[i], own.copy(), numbers.copy()))
                     continue
@@ -209,11 +274,12 @@ def _search(k: int, mean_length: float):
                     rows = []
                     index = Shard(list(columns[0]), np.array(columns[1], float), columns[2], columns[3], mean_length)
                     del columns
-                for score, doc in index.top(own, numbers, k):
-                    found.append((queries[i], ids[i], index.ids[doc], score))
-            kinds_of = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
-            arrays = [pa.array([f[j] for f in found], kind) for j, kind in enumerate(kinds_of)]
-            yield pa.RecordBatch.from_arrays(arrays, names)
+                df = numbers.astype(float)
+                asked.append((queries[i], ids[i], own.copy(), np.log1p((n - df + 0.5) / (df + 0.5))))
+                if len(asked) == TOGETHER:
+                    yield answers()
+        if asked:
+            yield answers()
 
     return searched
 
@@ -240,24 +306,21 @@ def search(documents: DataFrame, queries: DataFrame, k: int = 10, shard_document
     frequency = rows.select("terms").mapInArrow(_frequencies(_term_bits(asked)), "term long, df long")
     frequency = written(frequency.groupBy("term").agg(F.sum("df").alias("df")), "frequency")
     pairs = asked.select("query", "doc_id", F.explode("terms").alias("term")).join(frequency, "term")
-    idf = F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     pairs = pairs.groupBy("query").agg(
-        F.max("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("term", idf.alias("idf")))).alias("pairs")
+        F.max("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("term", F.col("df").cast("int").alias("df")))).alias("pairs")
     )
 
     n_shards = max(1, -(-n // shard_documents))
     shard = F.pmod(F.xxhash64("doc_id", "length", "terms"), F.lit(n_shards)).cast("int")
     index_rows = rows.select(
         shard.alias("shard"), F.lit(0).alias("kind"), "doc_id", F.lit(None).cast("long").alias("query"), "length", "terms", "counts",
-        F.lit(None).cast("array<double>").alias("weights"),
     )
     query_rows = pairs.select(
         F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"), F.lit(1).alias("kind"), "doc_id", "query",
-        F.lit(None).cast("int").alias("length"), F.col("pairs.term").alias("terms"), F.lit(None).cast("array<int>").alias("counts"),
-        F.col("pairs.idf").alias("weights"),
+        F.lit(None).cast("int").alias("length"), F.col("pairs.term").alias("terms"), F.col("pairs.df").alias("counts"),
     )
     dealt = index_rows.unionByName(query_rows).repartition("shard").sortWithinPartitions("shard", "kind")
-    found = dealt.mapInArrow(_search(k, mean_length), "query long, query_id long, doc_id long, score double")
+    found = dealt.mapInArrow(_search(k, n, mean_length), "query long, query_id long, doc_id long, score double")
     best = Window.partitionBy("query").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "doc_id", "score")

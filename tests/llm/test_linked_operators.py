@@ -207,6 +207,27 @@ def test_bounds_of_long_texts():
         assert shard.top(terms, weights, 10) == sorted(((s, d) for d, s in enumerate(exact)), key=lambda x: (-x[0], x[1]))[:10]
 
 
+def test_queries_are_multiplied_together(monkeypatch):
+    """Prose with terms in many documents: all queries of a shard at once give the exact best, and few documents are scored."""
+    monkeypatch.setattr(search, "FREQUENT_DOCUMENTS", 30)
+    monkeypatch.setattr(search, "FREQUENT", 25)
+    rng = np.random.default_rng(11)
+    drawn = [np.unique(np.minimum(rng.zipf(1.4, n), 5000), return_counts=True) for n in rng.integers(0, 120, 700)]
+    own, counts = [t.astype(np.int64) for t, _ in drawn] * 2, [c.astype(np.int32) for _, c in drawn] * 2  # each twice: ties
+    ids = [None, *rng.permutation(len(own) - 1).tolist()]
+    shard = search.Shard(ids, np.array([c.sum() for c in counts], float), own, counts, 60.0)
+    weight = rng.uniform(0.1, 9, 5001)
+    queries = [own[d] for d in range(100)] + [np.array([1, 2]), np.array([7000]), np.empty(0, np.int64), np.arange(1, 5001)]
+    queries = [(t, weight[t] if t.max(initial=0) <= 5000 else np.ones(len(t))) for t in queries]
+    score, scored = shard.score, []
+    shard.score = lambda *args: (scored.append(args[0]), score(*args))[1]
+    found = shard.tops(queries, 10)
+    assert len(shard.frequent) == 25 and len(scored) <= 24 * len(queries)
+    for (terms, weights), got in zip(queries, found, strict=True):
+        exact = sorted((-score(d, terms, weights), math.inf if ids[d] is None else ids[d], d) for d in range(len(own)))
+        assert got == [(-s, d) for s, _, d in exact[:10] if s < 0]
+
+
 def test_blocks_are_skipped():
     """A shard whose blocks differ: the skipped ones hold no hit."""
     rng = np.random.default_rng(8)
