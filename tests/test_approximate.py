@@ -160,3 +160,26 @@ def test_few_pairs_are_aligned(monkeypatch):
     assert {(1, 0), (2, 1), (3, 2)} <= found
     letters = len(body) + sum(map(len, edges))
     assert sum(followed) < 0.004 * letters * len(names)
+
+
+@pytest.mark.parametrize("threshold", [70.0, 85.0, 95.0])
+def test_least_pairs_is_a_bound(threshold):
+    """No match keeps fewer runs than its first letter allows, or just as many in a longer stretch than it says."""
+    rng = random.Random(5)
+    reached = 0
+    for _ in range(20000):
+        n = rng.randrange(1, 30)
+        out = sorted(rng.sample(range(n), min(n - 1, rng.randrange(0, 7))))
+        left = [j for j in range(n) if j not in out]
+        extra = rng.randrange(0, len(out) + 1)  # a stretch is no longer than its term
+        stretch = [*left]
+        for _ in range(extra):
+            stretch.insert(rng.randrange(1, len(stretch) + 1), -1)
+        if 200 * len(left) / (n + len(stretch)) < threshold:
+            continue
+        kept = sum(b == a + 1 and a >= 0 for a, b in zip(stretch, stretch[1:], strict=False))
+        least, letters = ap.least_pairs(n, threshold, left[0])
+        assert kept >= least and letters and (kept > least or len(stretch) <= letters)
+        reached += kept == least
+    assert reached > 100
+    assert ap.least_pairs(20, 85.0, 0) == (9, 15) and ap.least_pairs(20, 85.0, 6) == (20, 0)
