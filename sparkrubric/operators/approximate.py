@@ -30,6 +30,8 @@ BLOCK_LETTERS = 1 << 16
 CELLS_AT_ONCE = 1 << 22
 #: Runs are counted over multiples of so many places.
 SPANS = 2
+#: A table holds the places of runs if they have no more numbers than this.
+RUN_NUMBERS = 1 << 18
 #: Terms that are sought together; their table of runs has so many columns.
 AT_ONCE = 512
 #: Letters of short texts that are scanned together.
@@ -155,6 +157,7 @@ class ShortTerms:
         spans = (-(-(self.n.reshape(-1, 8).max(axis=1) - 1) // SPANS) * SPANS).tolist()
         changes = [k for k in range(len(spans)) if k == 0 or spans[k] != spans[k - 1]]
         self.lanes = [(spans[k], k, end) for k, end in zip(changes, [*changes[1:], len(spans)], strict=True)]
+        self.spans = np.repeat(spans, 8)
         needles = [_letters("" if x is None else x[1]) for x in rows]
         self.alphabet = np.unique(np.concatenate(needles))
         #: The place of each letter in the alphabet; the last is for letters beyond it.
@@ -162,6 +165,11 @@ class ShortTerms:
         self.placed[self.alphabet] = np.arange(len(self.alphabet))
         placed = [self.placed[needle] for needle in needles]
         self.known = np.unique(np.concatenate([self.runs(x) for x in placed]))
+        #: The place of each run in ``known``, if runs have few numbers.
+        numbers = (len(self.alphabet) + 1) ** 2
+        self.run_at = np.full(numbers if numbers <= RUN_NUMBERS else 0, len(self.known))
+        if len(self.run_at):
+            self.run_at[self.known] = np.arange(len(self.known))
         holds = np.zeros((len(self.known) + 1, len(rows)), np.uint8)
         self.longest = int(self.n.max())
         # the places of each letter in a term as bits, read forwards and backwards
@@ -215,9 +223,12 @@ class ShortTerms:
             at[start : start + len(text)] = self.placed[np.minimum(text, len(self.placed) - 1)]
             begins[start : start + len(text)], ends[start : start + len(text)] = start, start + len(text)
         runs = self.runs(at)
-        held = np.searchsorted(self.known, runs)
-        if len(self.known):
-            held[self.known[np.minimum(held, len(self.known) - 1)] != runs] = len(self.known)
+        if len(self.run_at):
+            held = self.run_at[runs]
+        else:
+            held = np.searchsorted(self.known, runs)
+            if len(self.known):
+                held[self.known[np.minimum(held, len(self.known) - 1)] != runs] = len(self.known)
         # A best stretch begins with a letter of its term, or the one without it would be better; but a stretch of a text's
         # last window need not have one without it in any window.
         firsts = np.where((ends - np.arange(len(at)) <= self.longest) & (ends > 0), letters + 1, at)
@@ -288,17 +299,18 @@ class ShortTerms:
                     done += step
         reached.reshape(whole)[:, width:] = 0
         words = np.flatnonzero((reached & np.uint64(0x8080808080808080)) != 0)
-        lane, place = np.divmod(words, size)
         counts = reached[words].view(np.uint8)
         found = np.flatnonzero(counts >= 128)
-        rows, place = lane[found >> 3] * 8 + (found & 7), place[found >> 3]
+        words = words[found >> 3]
+        lane = words // size  # with a constant divisor much faster than divmod
+        rows, place = lane * 8 + (found & 7), words - lane * size
         bare = np.flatnonzero(counts[found] == 128)  # just enough: none may lie behind the letters that this allows
         r, p = rows[bare], place[bare]
         begin = self.within[r, firsts[first + p]].astype(np.int64) - 1
-        tail = np.repeat([n for n, _, _ in self.lanes], [8 * (high - low) for _, low, high in self.lanes])[r] - begin
+        tail = self.spans[r] - begin
         dropped = np.zeros(len(rows), bool)
-        for step, low, now in sums:
-            own = np.flatnonzero((tail >= step) & ((tail < 2 * step) | (step == sums[-1][0])))
+        for step, low, now in sums[1:3]:  # two such sums cover nearly all tails; what they miss is scored
+            own = np.flatnonzero((tail >= 4) if step == 4 else (tail == 2) | (tail == 3))
             if len(own):
                 cells = ((r[own] >> 3) - low) * size + p[own] + begin[own]
                 byte, held_by = r[own] & 7, now.view(np.uint8)
